@@ -258,7 +258,7 @@ SHAPES = [
     (rf"(?:(?P<noon>O)|(?P<midnight>I)){_DAY}\.?(?P<m>M)\.?{_YEAR}L?E?", "day"),
     (rf"(?:(?P<noon>O)|(?P<midnight>I))(?P<m>M)\.?{_DAY}{_YEAR}L?E?", "day"),
     (rf"{_DAY}-[abo](?P<m>M)\.?{_YEAR}", "day"),
-    (rf"{_DAY}(?P<m>M)\\.?-[abo]M\\.?{_YEAR}", "day"),
+    (rf"{_DAY}(?P<m>M)\.?-[abo]M\.?{_YEAR}", "day"),
     (rf"(?P<m>M)\.?{_DAY}-[abo]{_YEAR}", "day"),
     (rf"Y(?P<j>[abc]){_YEAR}", "ordinal"),
     (rf"{_YEAR}-(?P<j>c)", "ordinal"),
