@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, split
+from evidex.llm import groups, names, split
 from evidex.session import table
 
 QUERIES = {}
@@ -68,3 +68,13 @@ e AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
 reach AS (SELECT c AS node, c AS other FROM ties UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other)
 SELECT node AS case_id, min(other) AS group_id FROM reach GROUP BY node
 """
+
+
+# --- p4: variant spellings of names -----------------------------------------------------------------------------------
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entity rows that name the same person, unit, program or place."""
+    e = table(spark, d, "entities")
+    return names.pairs_of_groups(names.name_groups(e, "id", "kind", "name", "description"))
