@@ -1,10 +1,11 @@
 """Variant spellings of names: sparse n-gram cosine join, a check of each pair by name parts, average linkage.
 
 1. Every name is folded and parsed into a form; equal forms are one item however many rows share them.
-2. Forms become weighted character n-gram vectors (term frequency times inverse document frequency, unit length). Pairs
-   with a cosine of at least min_cosine are found exactly by prefix filtering: a form is indexed under its rarest grams
-   only until the rest is too light to reach the threshold alone, so two forms that reach it share an indexed gram.
-3. A pair is weighed by the parts of the names (numbers, kinds of unit, surname, given name, initials).
+2. The part that variants spell alike (surname, place name, number) becomes a vector of character n-grams weighted by
+   inverse document frequency. All pairs of distinct parts with a cosine of at least min_cosine are found exactly by prefix
+   filtering: a part is indexed under its rarest grams only until the rest is too light to reach the threshold alone, so
+   two parts that reach it share an indexed gram.
+3. A pair of forms with such parts is weighed by all parts of the names (kinds of unit, given name, initials).
 4. Pairs above the threshold span components, which average linkage cuts into groups.
 """
 
@@ -123,6 +124,8 @@ def parse_form(kind: str, name: str) -> str:
     words = _words(name)
     if kind == "unit":
         nums = [re.sub(r"\D", "", w).lstrip("0") for w in words if w[0].isdigit()]
+        if re.fullmatch(r"\s*\d+\s+[A-Z]{2}\s*", name):  # a number and initials
+            return "|".join((nums[0], name.split()[1].lower()))
         rest = [UNIT_WORDS.get(w, w) for w in words if not w[0].isdigit() and w not in ("the", "no", "number")]
         return "|".join((" ".join(nums), " ".join(sorted(rest))))
     if kind == "location":
@@ -135,18 +138,26 @@ def parse_form(kind: str, name: str) -> str:
     return "|".join(("", "".join(words)))
 
 
-def grams(kind: str, form: str, n: int = 3) -> dict[str, int]:
-    """Character n-grams of the parts of a form, padded; numbers also whole."""
-    out: Counter[str] = Counter()
-    parts = form.split("|")
-    if kind == "person":
-        parts = parts[:3]
-    for p in " ".join(parts).split():
-        if p.isdigit():
-            out[f"#{p}"] += 2
-        s = f"_{p}_"
-        out.update(s[i : i + n] for i in range(max(1, len(s) - n + 1)))
-    return dict(out)
+def key_part(kind: str, form: str) -> str:
+    """The part of a form that variants spell alike but for typing errors: surname, unit number, place or program name."""
+    p = form.split("|")
+    return p[0] if kind in ("person", "unit") else p[-1]
+
+
+def first_letters(kind: str, form: str) -> list[str]:
+    """First letters that the given name of a person may have in full; one empty letter for other kinds."""
+    if kind != "person":
+        return [""]
+    g = form.split("|")[1]
+    return sorted({g[:1]} | {x[0] for x in given_fulls(g)})
+
+
+def grams(kind: str, key: str) -> list[str]:
+    """Character trigrams of a padded name; of a number (units, aircraft) the whole, because numbers have no variants."""
+    if kind in ("unit", "aircraft"):
+        return [f"#{key}"]
+    s = f"_{key}_"
+    return sorted({s[i : i + 3] for i in range(max(1, len(s) - 2))})
 
 
 def _given_score(a: str, b: str) -> float:
@@ -251,26 +262,33 @@ def average_linkage(edges: list[tuple[int, int, float]], threshold: float) -> di
     return out
 
 
-def similar_forms(forms: DataFrame, min_cosine: float) -> DataFrame:
-    """Pairs (a, b), a < b, of forms (columns fid, kind, grams map) with a cosine of at least min_cosine, and the cosine."""
-    g = forms.select("fid", "kind", F.explode("grams").alias("gram", "tf"))
-    totals = forms.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    idf = g.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals), "kind").select("kind", "gram", F.log1p(F.col("n") / F.col("df")).alias("idf"))  # totals: one row a kind
-    w = g.join(idf, ["kind", "gram"]).select("fid", "kind", "gram", (F.col("tf") * F.col("idf")).alias("w"), "idf")
-    per = W.partitionBy("fid")
-    order = per.orderBy(F.desc("idf"), "gram")
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per)))
-    # weight of this gram and of all that follow: while it can reach the threshold, the gram is indexed
-    w = w.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, W.unboundedFollowing)))
-    index = w.filter(F.col("rest") >= min_cosine * min_cosine - 1e-9).select("kind", "gram", "fid")
-    pairs = index.alias("a").join(index.alias("b"), ["kind", "gram"]).filter("a.fid < b.fid").select(F.col("a.fid").alias("a"), F.col("b.fid").alias("b")).distinct()
-    vec = w.groupBy("fid").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))  # as many entries as a name has grams
-    both = pairs.join(vec.select(F.col("fid").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("fid").alias("b"), F.col("v").alias("vb")), "b")
+def similar_keys(keys: DataFrame, min_cosine: float) -> DataFrame:
+    """(kind, a, b), a < b: keys (columns kind, key, grams) whose n-gram vectors have a cosine of at least min_cosine.
+
+    A gram weighs the root of its inverse document frequency. Keys that differ in length by more than two are left out:
+    two edits, the most that a later check allows, can't bridge that.
+    """
+    g = keys.select("kind", "key", F.explode("grams").alias("gram"))
+    totals = keys.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    df = g.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals), "kind")  # totals: one row a kind
+    w = g.join(df.select("kind", "gram", F.log1p(F.col("n") / F.col("df")).alias("w2")), ["kind", "gram"])
+    # unit length; rest: squared weight of a gram and of all more frequent ones
+    e = F.reverse(F.array_sort(F.collect_list(F.struct("w2", "gram"))))  # as many entries as a name has grams
+    vec = w.groupBy("kind", "key").agg(e.alias("e"), F.sum("w2").alias("total"))
+    vec = vec.withColumn("weights", F.map_from_entries(F.transform("e", lambda x: F.struct(x["gram"], F.sqrt(x["w2"] / F.col("total"))))))
+    rest = lambda x, i: F.aggregate(F.slice(F.col("e"), i + 1, F.size("e")), F.lit(0.0), lambda s, y: s + y["w2"]) / F.col("total")
+    indexed = F.transform(F.filter(F.transform("e", lambda x, i: F.struct(x["gram"].alias("gram"), rest(x, i).alias("rest"))), lambda x: x["rest"] >= min_cosine * min_cosine - 1e-9), lambda x: x["gram"])
+    index = vec.select("kind", F.explode(indexed).alias("gram"), "key")
+    x, y = index.select("kind", "gram", F.col("key").alias("a")), index.select("kind", "gram", F.col("key").alias("b"))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2)
+    pairs = x.join(y, ["kind", "gram"]).filter(near).select("kind", "a", "b").distinct()
+    va, vb = (vec.select("kind", F.col("key").alias(k), F.col("weights").alias(f"v{k}")) for k in "ab")
+    both = pairs.join(va, ["kind", "a"]).join(vb, ["kind", "b"])
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    return both.filter(dot >= min_cosine).select("kind", "a", "b")
 
 
-def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None = None, min_cosine: float = 0.35, threshold: float = 0.62) -> DataFrame:
+def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None = None, min_cosine: float = 0.34, threshold: float = 0.62) -> DataFrame:
     """(key, kind, group) for every row of df whose name and kind are not null; group is the smallest key of its group.
 
     about: an optional column whose text before a comma rules out pairs that differ in it. Defined results: rows with a
@@ -285,27 +303,31 @@ def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None
     def form(kinds: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([parse_form(k.strip().lower(), n) for k, n in zip(kinds, names, strict=True)], dtype=object)
 
-    @F.pandas_udf("map<string,int>")
-    def gram_map(kinds: pd.Series, forms: pd.Series) -> pd.Series:
-        return pd.Series([grams(k, f) for k, f in zip(kinds, forms, strict=True)], dtype=object)
+    @F.pandas_udf("struct<k:string,letters:array<string>,grams:array<string>>")
+    def parts(kinds: pd.Series, forms: pd.Series) -> pd.DataFrame:
+        keys = [key_part(k, f) for k, f in zip(kinds, forms, strict=True)]
+        return pd.DataFrame({"k": keys, "letters": [first_letters(k, f) for k, f in zip(kinds, forms, strict=True)], "grams": [grams(k, x) for k, x in zip(kinds, keys, strict=True)]})
 
     note = F.lower(F.trim(F.split(F.col(about), ",")[0])) if about else F.lit(None).cast("string")
     rows = df.select(F.col(key).alias("key"), F.lower(F.trim(F.col(kind))).alias("kind"), F.col(name).alias("name"), note.alias("note"))
     rows = rows.filter("key is not null and kind is not null and trim(name) <> ''").select("key", "kind", form("kind", "name").alias("form"), F.coalesce("note", F.lit("")).alias("note"))
-    fid = F.sha2(F.concat_ws("\u0001", "kind", "form", "note"), 256)
+    fid = F.md5(F.concat_ws("\u0001", "kind", "form", "note"))
     rows = written(rows.withColumn("fid", fid).distinct(), f"{root}/rows")
-    forms = rows.select("fid", "kind", "form", "note").distinct().withColumn("grams", gram_map("kind", "form"))
-    forms = written(forms, f"{root}/forms")
-    pairs = similar_forms(forms.select("fid", "kind", "grams"), min_cosine)
+    forms = rows.select("fid", "kind", "form", "note").distinct().withColumn("p", parts("kind", "form"))
+    forms = written(forms.select("fid", "kind", "form", "note", "p.*"), f"{root}/forms")
+    keys = forms.select("kind", F.col("k").alias("key"), "grams").filter("key <> ''").dropDuplicates(["kind", "key"])
+    near = similar_keys(keys, min_cosine)
+    same = keys.select("kind", F.col("key").alias("a"), F.col("key").alias("b"))
+    near = near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
 
     @F.pandas_udf("double")
     def score(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for k, a, b, na, nb in it:
             yield pd.Series([pair_score(*x) for x in zip(k, a, b, na, nb, strict=True)], dtype=float)
 
-    fa = forms.select(F.col("fid").alias("a"), "kind", F.col("form").alias("form_a"), F.col("note").alias("note_a"))
-    fb = forms.select(F.col("fid").alias("b"), F.col("form").alias("form_b"), F.col("note").alias("note_b"))
-    edges = pairs.join(fa, "a").join(fb, "b").select("a", "b", score("kind", "form_a", "form_b", "note_a", "note_b").alias("s"))
+    side = lambda x: forms.select("kind", F.col("k").alias(x), F.explode("letters").alias("letter"), *(F.col(c).alias(f"{c}_{x}") for c in ("fid", "form", "note")))
+    pairs = side("a").join(near, ["kind", "a"]).join(side("b"), ["kind", "b", "letter"]).filter("fid_a < fid_b").drop("letter", "a", "b").distinct()
+    edges = pairs.select(F.col("fid_a").alias("a"), F.col("fid_b").alias("b"), score("kind", "form_a", "form_b", "note_a", "note_b").alias("s"))
     edges = written(edges.filter(F.col("s") >= 0.5 * threshold), f"{root}/edges")
     comp = connected_components(edges.filter(F.col("s") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     comp = written(comp, f"{root}/comp")
