@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, names, split
+from evidex.llm import groups, names, spam, split
 from evidex.session import table
 
 QUERIES = {}
@@ -78,3 +78,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of entity rows that name the same person, unit, program or place."""
     e = table(spark, d, "entities")
     return names.pairs_of_groups(names.name_groups(e, "id", "kind", "name", "description"))
+
+
+# --- p10: keyword-stuffed and link-list pages -------------------------------------------------------------------------
+
+
+@query
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and verdict of every document."""
+    return spam.flag_pages(spam.page_scores(table(spark, d, "documents"), "doc_id", "text"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents made of repeated keywords, links or tags."""
+    return p10_scores(spark, d).filter("reason is not null").select("doc_id").distinct()
