@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, names, spam, split
+from evidex.llm import groups, leak, names, spam, split
 from evidex.session import table
 
 QUERIES = {}
@@ -93,3 +93,19 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents made of repeated keywords, links or tags."""
     return p10_scores(spark, d).filter("reason is not null").select("doc_id").distinct()
+
+
+# --- p8: evaluation passages in the corpus ----------------------------------------------------------------------------
+
+
+@query
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items whose passages they repeat, the share and the spans."""
+    items = table(spark, d, "eval_items").select("item_id", "passage").limit(100_000).collect()  # a fixed table of 300 rows
+    return leak.find_leaks(table(spark, d, "documents"), "doc_id", "text", [(r[0], r[1]) for r in items])
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat at least a third of an item's passage."""
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
