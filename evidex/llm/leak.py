@@ -80,14 +80,15 @@ class Passages:
                 g = tuple(a[k : k + phrase].tolist())
                 owners[g].add(i)
                 places[g].append((i, k))
-        # a standing notice: a run of phrases that several items share
+        # a standing notice: a run of phrases that the same items share
         self.counts: dict[int, np.ndarray] = {}
         for i, a in self.ids.items():
-            shared = [len(owners[tuple(a[k : k + phrase].tolist())]) >= notice_items for k in range(len(a) - phrase + 1)]
+            own_of = [owners[tuple(a[k : k + phrase].tolist())] for k in range(len(a) - phrase + 1)]
             ok, k = np.ones(len(a), dtype=bool), 0
-            while k < len(shared):
-                e = k
-                while e < len(shared) and shared[e]:
+            while k < len(own_of):
+                e, same = k, own_of[k]
+                while e < len(own_of) and len(same & own_of[e]) >= notice_items:
+                    same = same & own_of[e]
                     e += 1
                 if e - k + phrase - 1 >= notice_words:
                     ok[k : e + phrase - 1] = False

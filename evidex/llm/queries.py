@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, leak, names, spam, split
+from evidex.llm import groups, leak, names, quality, spam, split
 from evidex.session import table
 
 QUERIES = {}
@@ -109,3 +109,24 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat at least a third of an item's passage."""
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+# --- p2: text quality of pages ----------------------------------------------------------------------------------------
+
+
+def _page_quality(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "page_results").select("source_file_id", "page_number", "text")
+    return quality.judge(quality.text_statistics(pages, "text"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are not blank and whose lines are for the most part a list, table, form or junk."""
+    return _page_quality(spark, d).filter("verdict not in ('prose', 'empty')").select("source_file_id", "page_number").distinct()
+
+
+@query
+def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics anew and verdict of every page; copies of a page give one row."""
+    cols = "source_file_id page_number char_count printable_ratio alpha_ratio word_count mean_word_length symbol_ratio common_share line_count end_punctuation_share bullet_share body_share verdict".split()
+    return _page_quality(spark, d).select(*cols, F.array_join("failed_rules", " ").alias("failed_rules")).distinct()
