@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, leak, names, quality, spam, split
+from evidex.llm import groups, leak, matching, names, quality, spam, split
 from evidex.session import table
 
 QUERIES = {}
@@ -130,3 +130,21 @@ def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics anew and verdict of every page; copies of a page give one row."""
     cols = "source_file_id page_number char_count printable_ratio alpha_ratio word_count mean_word_length symbol_ratio common_share line_count end_punctuation_share bullet_share body_share verdict".split()
     return _page_quality(spark, d).select(*cols, F.array_join("failed_rules", " ").alias("failed_rules")).distinct()
+
+
+# --- p1: incidents and source records of one sighting -------------------------------------------------------------------
+
+
+@query
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of incidents and source records that could be one sighting, with the posterior of a match."""
+    regions = [(r[0], r[1]) for r in table(spark, d, "region_zones").select("region", "country").limit(10_000).collect()]  # a fixed table of 24 rows
+    left = matching.prepare(table(spark, d, "incidents"), "a", {"id": "case_id", "place": "location_text", "dated": "occurred_at_text", "day": "occurred_at", "title": "title", "account": "summary", "phrase": "shape_description", "region": "region", "seconds": "duration_seconds", "feet": "altitude_feet"}, regions)
+    right = matching.prepare(table(spark, d, "source_records"), "b", {"id": "identity_key", "place": "incident_location_hint", "dated": "incident_date_hint", "title": "title", "account": "description"}, regions)
+    return matching.match(left, right).select(F.col("a").alias("case_id"), F.col("b").alias("identity_key"), F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of an incident and a source record that are one sighting."""
+    return p1_matches(spark, d).filter("confidence >= 0.5").select("case_id", "identity_key").distinct()
