@@ -54,6 +54,8 @@ for _full, _short in GIVEN.items():
 
 def fold(s: str) -> str:
     """Lower case without accents."""
+    if s.isascii():
+        return s.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, leak, matching, names, quality, spam, split
+from evidex.llm import groups, leak, matching, names, quality, repair, spam, split
 from evidex.session import table
 
 QUERIES = {}
@@ -148,3 +148,12 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of an incident and a source record that are one sighting."""
     return p1_matches(spark, d).filter("confidence >= 0.5").select("case_id", "identity_key").distinct()
+
+
+# --- p7: repair of scanned pages ----------------------------------------------------------------------------------------
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of pages that are furniture, end in a cut word or hold a misread word."""
+    return repair.line_kinds(table(spark, d, "page_results"), "source_file_id", "page_number", "text")
