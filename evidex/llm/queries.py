@@ -157,3 +157,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of pages that are furniture, end in a cut word or hold a misread word."""
     return repair.line_kinds(table(spark, d, "page_results"), "source_file_id", "page_number", "text")
+
+
+@query
+def p7_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as continuous readable paragraphs."""
+    return repair.repair_pages(table(spark, d, "page_results"), "source_file_id", "page_number", "text")
+
+
+@query
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every source file as continuous readable paragraphs, page by page."""
+    pages = repair.pages_of(table(spark, d, "source_files"), "id", "ocr_text").distinct()
+    done = repair.repair_pages(pages, "id", "page_number", "text")
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "repaired")))  # the pages of one text that was one value before
+    return done.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["repaired"]), "\n\n").alias("repaired"))
