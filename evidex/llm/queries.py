@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import groups, leak, matching, names, quality, repair, spam, split
+from evidex.llm import groups, leak, matching, mix, names, quality, repair, spam, split
 from evidex.session import table
 
 QUERIES = {}
@@ -172,3 +172,23 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     done = repair.repair_pages(pages, "id", "page_number", "text")
     parts = F.array_sort(F.collect_list(F.struct("page_number", "repaired")))  # the pages of one text that was one value before
     return done.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["repaired"]), "\n\n").alias("repaired"))
+
+
+# --- p9: mixing sources to target weights -------------------------------------------------------------------------------
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = mix.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text").select("doc_id", "source", "tokens")
+    return mix.mix(docs, "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
+
+
+@query
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with how often each is used."""
+    return _mixture(spark, d)[0]
+
+
+@query
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached and shortfalls of every target."""
+    return _mixture(spark, d)[1]
