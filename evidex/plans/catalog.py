@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from evidex.plans import core_queries
+from evidex.plans import core_queries, scalar_queries
 
-_MODULES = [core_queries]
-QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
+_BOOKS = [scalar_queries.book]
+QUERIES = dict(core_queries.QUERIES)
+ORACLE = dict(core_queries.ORACLE)
+for _b in _BOOKS:
+    QUERIES |= _b.queries
+    ORACLE |= _b.oracle
