@@ -160,8 +160,8 @@ def txt23(t):
     return t("incidents").select("case_id", T.page_slug("occurred_at", "branch", "title", "raw_excerpt").alias("slug"))
 
 
-@add("TXT-24", r"""SELECT event_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(a,'\[([A-Za-z0-9][A-Za-z0-9._/-]{2,})\]',1), lambda x: upper(x)))),' ') AS ids
-FROM (SELECT event_id, 'see '||array_to_string(list_transform(member_case_ids, lambda x: '['||trim(x)||']'),' and ') AS a FROM canonical_events WHERE member_case_ids IS NOT NULL)""")
+@add("TXT-24", r"""SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(a,'\[([A-Za-z0-9][A-Za-z0-9._/-]{2,})\]',1), lambda x: upper(x)))),' '),'') AS ids
+FROM (SELECT event_id, 'see '||coalesce(array_to_string(list_transform(member_case_ids, lambda x: '['||trim(x)||']'),' and '),'') AS a FROM canonical_events WHERE member_case_ids IS NOT NULL)""")
 def txt24(t):
     answer = F.concat(F.lit("see "), F.array_join(F.transform("member_case_ids", lambda x: F.concat(F.lit("["), F.trim(x), F.lit("]"))), " and "))
     return t("canonical_events").filter("member_case_ids is not null").select("event_id", F.array_join(F.array_sort(T.citations(answer)), " ").alias("ids"))
