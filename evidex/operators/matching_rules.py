@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,72 +45,34 @@ def token_pairs(a: DataFrame, b: DataFrame, id_: str, text: str, least: int, sto
     return x.join(y, "t").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
-def similar_in_group(df: DataFrame, id_: str, group: list[str], text: str, least: float, shortest: int = 1) -> DataFrame:
-    """(a, b, ratio), a < b: pairs of one group whose folded texts have at least that ratio; pairs that their lengths rule out are never compared."""
-    d = df.select(F.col(id_), *group, fold_excerpt(text).alias("__t")).filter(F.length("__t") >= shortest)
-    # texts whose lengths differ by more than a bound on the ratio allows never meet: rows meet by length class
-    step = F.floor(F.log(F.length("__t").cast("double")) / F.log(F.lit((2 - least) / least + 1e-9)))
-    x = d.select(F.col(id_).alias("a"), *group, F.col("__t").alias("ta"), F.explode(F.array(step - 1, step, step + 1)).alias("__s"))
-    y = d.select(F.col(id_).alias("b"), *group, F.col("__t").alias("tb"), step.alias("__s"))
-    pairs = x.join(y, [*group, "__s"]).filter((F.col("a") < F.col("b")) & (ratio_bound("ta", "tb") >= least))
-    return pairs.select("a", "b", F.round(ratio("ta", "tb"), 6).alias("ratio")).filter(F.col("ratio") >= least)
+def similar_in_group(df: DataFrame, id_: str, group: list[str], text: str, least: float, shortest: int = 1, overlap: float = 0.5) -> DataFrame:
+    """(a, b, ratio), a < b: pairs of one group whose folded texts have at least the ratio `least` and share, of their distinct
+    words, at least `overlap` of the union.
 
-
-def greedy_distinct(df: DataFrame, group: str, position: str, text: str, same: float = 0.92, loose: float = 0.85, agree: tuple[str, ...] = (), shortest: int = 40) -> DataFrame:
-    """df without rows that repeat an earlier kept row of their group.
-
-    A row repeats one with an equal folded text, or, both being long enough, with at least the ratio `same`, or `loose` where
-    all columns of agree are equal and not blank; blank texts are always kept. Depends on the order by position, so a group
-    is taken as a whole: groups are the fragments of one document.
+    Texts of a group are never paired as a whole: distinct texts meet only under one of their rarest words (prefix filtering,
+    which loses no pair with that overlap), and pairs that their lengths rule out are not compared. Rows of one text
+    are tied to the smallest id among them, which alone stands for the text in pairs with other texts.
     """
-    from evidex.functions.text import similarity_ratio
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, kind="stable")
-        kept: list[tuple[str, tuple]] = []
-        rows = []
-        for i, (t, *rest) in enumerate(zip(pdf[text], *(pdf[c] for c in agree), strict=True)):
-            t = " ".join(t.lower().split()) if isinstance(t, str) else ""
-            facts = tuple(None if x is None or x != x or x == "" else x for x in rest)
-            repeat = False
-            for u, other in kept if t else ():
-                if t == u:
-                    repeat = True
-                elif len(t) >= shortest and len(u) >= shortest and 2 * min(len(t), len(u)) / (len(t) + len(u)) >= min(same, loose):
-                    r = similarity_ratio(t, u)
-                    repeat = r >= same or (bool(agree) and r >= loose and None not in facts and facts == other)
-                if repeat:
-                    break
-            if not repeat:
-                rows.append(i)
-                kept.append((t, facts))
-        return pdf.iloc[rows]
-
-    return df.groupBy(group).applyInPandas(keep, df.schema)
-
-
-def flag_duplicates(df: DataFrame, group: str, position: str, text: str, score: str, least: float = 0.8) -> DataFrame:
-    """df with flagged_duplicate: of each similar pair of a group, in order, the row with the lower score, of a tie the second; flagged rows are passed over."""
-    from evidex.functions.text import similarity_ratio
-
-    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, kind="stable").reset_index(drop=True)
-        ts = [t if isinstance(t, str) else "" for t in pdf[text]]
-        out = [False] * len(pdf)
-        for i in range(len(pdf)):
-            if out[i]:
-                continue
-            for j in range(i + 1, len(pdf)):
-                if out[j] or not ts[i] or not ts[j] or 2 * min(len(ts[i]), len(ts[j])) / (len(ts[i]) + len(ts[j])) < least:
-                    continue
-                if similarity_ratio(ts[i], ts[j]) >= least:
-                    out[i if pdf[score][i] < pdf[score][j] else j] = True
-        pdf["flagged_duplicate"] = out
-        return pdf
-
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    return df.groupBy(group).applyInPandas(flag, StructType([*df.schema.fields, StructField("flagged_duplicate", BooleanType())]))
+    d = df.select(F.col(id_).alias("id"), *group, fold_excerpt(text).alias("t")).filter(F.length("t") >= shortest)
+    texts = d.select(*group, "t").distinct().withColumn("k", F.xxhash64(*group, "t"))
+    words = texts.select(*group, "k", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    df_ = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    ordered = words.join(df_, "w").groupBy(*group, "k", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))  # the words of one text
+    size = F.size("ws")
+    # a pair with Jaccard overlap o shares a word among the first n - ceil(o * n) + 1 of either in rarity order
+    index = ordered.select(*group, "k", "t", F.explode(F.slice("ws", F.lit(1), (size - F.ceil(size * overlap) + 1).cast("int"))).alias("w"), F.transform("ws", lambda x: x["w"]).alias("all"))
+    x = index.select(*group, "w", F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("all").alias("wa"))
+    y = index.select(*group, "w", F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("all").alias("wb"))
+    same = F.size(F.array_intersect("wa", "wb"))
+    near = x.join(y, [*group, "w"]).filter((F.col("ka") < F.col("kb")) & (ratio_bound("ta", "tb") >= least) & (same >= overlap * (F.size("wa") + F.size("wb") - same)))
+    near = near.select(*group, "ta", "tb").distinct()
+    first = d.groupBy(*group, "t").agg(F.min("id").alias("rep"))
+    other = near.join(first.select(*group, F.col("t").alias("ta"), F.col("rep").alias("a")), [*group, "ta"]).join(first.select(*group, F.col("t").alias("tb"), F.col("rep").alias("b")), [*group, "tb"])
+    copies = d.join(first, [*group, "t"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("t").alias("ta"), F.col("t").alias("tb"))
+    pairs = other.select("a", "b", "ta", "tb").unionByName(copies)
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("ta"), F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("tb")).distinct()
+    return pairs.select("a", "b", F.round(F.when(F.col("ta") == F.col("tb"), F.lit(1.0)).otherwise(ratio("ta", "tb")), 6).alias("ratio")).filter(F.col("ratio") >= least)
 
 
 def ladder(rules: list[tuple[str, Column]], default: str) -> Column:
