@@ -69,3 +69,28 @@ def citation_check(answers: DataFrame, id_: str, cited: str, allowed: DataFrame,
     s = allowed.select(F.col(key).alias("citation"), F.col(status).alias("__s")).dropDuplicates(["citation"])
     verdict = F.when(F.col("__s").isNull(), "unknown").when(F.col("__s") == "excluded", "excluded").when(F.col("__s") == "source_only", "source_only").otherwise("valid")
     return c.join(s, "citation", "left").select(id_, "citation", verdict.alias("verdict"))
+
+
+def inverted_lists(queries: DataFrame, items: DataFrame, id_: str, vector: str, k: int, lists: int = 16, probes: int = 10, sample: int = 2000) -> DataFrame:
+    """(id, other, similarity, rank): approximate nearest items: every item lies in the list of its nearest centre, and only
+    the lists of the `probes` nearest centres of a query are searched.
+
+    The centres are vectors of a sample of at most `sample` rows (the smallest hashes of the ids), spread by taking the one
+    farthest from those taken so far; every row is indexed.
+    """
+    spark = items.sparkSession
+    u = unit(items, id_, vector)
+    rows = [r["v"] for r in u.orderBy(F.xxhash64(id_)).limit(sample).collect()]  # a bounded sample, by parameter
+    centres = rows[:1]
+    best = [sum(a * b for a, b in zip(r, centres[0], strict=True)) for r in rows] if rows else []
+    while rows and len(centres) < min(lists, len(rows)):
+        c = rows[min(range(len(rows)), key=best.__getitem__)]
+        centres.append(c)
+        best = [max(x, sum(a * b for a, b in zip(r, c, strict=True))) for x, r in zip(best, rows, strict=True)]
+    c = spark.createDataFrame([(i, v) for i, v in enumerate(centres)], "list int, c array<double>")
+    near = u.crossJoin(F.broadcast(c)).select(id_, "list", dot(F.col("v"), F.col("c")).alias("s"))  # at most `lists` rows
+    home = near.groupBy(id_).agg(F.max_by("list", F.struct("s", -F.col("list"))).alias("list")).join(u, id_).select(F.col(id_).alias("other"), "list", "v")
+    qs = unit(queries, id_, vector).withColumnRenamed("v", "q")
+    probe = top_per(near.join(qs.select(id_), id_, "left_semi"), [id_], [F.desc("s"), "list"], probes).select(id_, "list").join(qs, id_)
+    hits = home.join(probe, "list").filter(F.col("other") != F.col(id_)).select(id_, "other", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
+    return top_per(hits, [id_], [F.desc("similarity"), "other"], k)
