@@ -1,9 +1,9 @@
 """Consolidating pairwise ties into groups: connected components by seed-tree pruning.
 
-Every round, each vertex proposes the smallest id of its neighbourhood to all its neighbours (min selection). A vertex
-that proposes a smaller id than its own to nobody else's advantage is not minimal: it drops out of the graph and is
-hung below its minimum in the propagation forest (pruning); its remaining candidates are tied to that minimum. When no
-edge is left the remaining vertices are the seeds, and their ids flow down the forest, latest round first.
+Every round, each vertex tells its neighbours and itself the smallest id of its neighbourhood (min selection). A vertex that
+is told no id of its own is nobody's minimum: it drops out of the graph and is hung below the least id it was told in the
+propagation forest, and the other ids it was told are tied to that least one (pruning). When no edge is left, the vertices
+that never dropped out are the seeds, and their ids flow down the forest, latest round first.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.session import scratch_dir, written
+from evidex.session import drop_scratch, keep_only, scratch_dir, written
 
 
 def clean_id(c: Column | str) -> Column:
@@ -63,18 +63,23 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         turned = rest.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         k += 1
         graph = written(turned.distinct(), f"{root}/g{k}")
+        drop_scratch(spark, f"{root}/h{k - 1}")
+        if k > 1:  # the first graph names all vertices
+            drop_scratch(spark, f"{root}/g{k - 1}")
     # seeds: all nodes that never dropped out; their ids flow down, the last to drop first
     if forest:
         dropped = forest[0]
         for f in forest[1:]:
             dropped = dropped.unionByName(f)
-        seeds = both.select(F.col("u").alias("node")).distinct().join(dropped.select("node"), "node", "left_anti")
+        seeds = spark.read.schema(graph.schema).parquet(f"{root}/g0").select(F.col("u").alias("node")).distinct().join(dropped.select("node"), "node", "left_anti")
         label = written(seeds.select("node", F.col("node").alias("component")), f"{root}/l{k}")
         for i in range(len(forest) - 1, -1, -1):
             down = forest[i].join(label.select(F.col("node").alias("parent"), "component"), "parent").select("node", "component")
             label = written(label.unionByName(down), f"{root}/l{i}")
+            drop_scratch(spark, f"{root}/l{i + 1}")
+        keep_only(spark, root, "l0")
     else:
-        label = both.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
+        label = graph.select(F.col("u").alias("node"), F.col("u").alias("component"))
     if nodes is None:
         return label
     n = nodes.select("node").filter("node is not null").distinct()

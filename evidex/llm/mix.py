@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidex.session import scratch_dir, written
+from evidex.session import drop_scratch, scratch_dir, written
 
 #: Where the public tokenizers' files lie; a parameter of count_tokens().
 TOKENIZERS = os.environ.get("EVIDEX_TOKENIZERS", "/opt/tokenizers")
@@ -120,6 +120,7 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
     upto = F.sum("rate").over(along)
     d = d.withColumn("copies", (F.floor(upto + start + 1e-9) - F.floor(upto - F.col("rate") + start + 1e-9)).cast("int"))
     copies = written(d.select("key", "source", "tokens", F.round("rate", 6).alias("rate"), F.least("copies", F.col("cap").cast("int")).alias("copies")), f"{root}/copies")
+    drop_scratch(spark, f"{root}/sized")
     got = copies.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens_available"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_reached"))
     report = t.join(got, "source", "left").fillna(0, ["documents", "tokens_available", "tokens_reached"])
     out = report.agg(F.sum("tokens_reached").alias("__all"))

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidex.llm.groups import connected_components
-from evidex.session import scratch_dir, written
+from evidex.session import keep_only, scratch_dir, written
 
 # Titles and ranks, without points.
 TITLES = set("mr mrs miss ms dr prof lt lieut lieutenant col colonel cdr comdr commander capt captain maj major sgt sergeant cpl corporal gen general adm admiral pvt private insp inspector".split())
@@ -345,7 +345,8 @@ def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None
 
     # a component holds the distinct spellings of a few names, however many rows have them
     linked = inside.groupBy("component").applyInPandas(link, "fid string, g string")
-    labelled = rows.join(linked, "fid", "left").select("key", "kind", F.coalesce("g", "fid").alias("g"))
+    labelled = written(rows.join(linked, "fid", "left").select("key", "kind", F.coalesce("g", "fid").alias("g")), f"{root}/labelled")
+    keep_only(spark, root, "labelled")
     least = labelled.groupBy("kind", "g").agg(F.min("key").alias("group"))
     return labelled.join(least, ["kind", "g"]).select("key", "kind", "group").distinct()
 
