@@ -55,6 +55,17 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_only(spark: SparkSession, path: str, *names: str) -> None:
+    """Delete all tables under a folder of scratch_dir() but the named ones, which a lazy result still reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        for s in fs.listStatus(p):
+            if s.getPath().getName() not in names:
+                fs.delete(s.getPath(), True)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """df stored at path and read back: a lineage cut that survives the loss of executors."""
     df.write.mode("overwrite").parquet(path)
