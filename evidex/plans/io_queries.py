@@ -90,7 +90,7 @@ _PREF = "SELECT agency, arg_max(id, struct_pack(p:=(lower(trim(file_type))='pdf'
 def src09(t):
     f = t("source_files").filter("agency is not null").withColumn("k", F.lower(F.trim("file_type"))).select("agency", "id", "k").distinct()
     p = R.prefer(f, "agency", F.col("k") == "pdf", "id", "alternate_assets", "id")
-    return p.select("agency", "id", F.size(F.split("alternate_assets", r"\|")).cast("long").alias("alternates"))
+    return p.select("agency", "id", F.coalesce(F.size(F.split("alternate_assets", r"\|")), F.lit(0)).cast("long").alias("alternates"))
 
 
 @add("SRC-10", _PREF.replace("WHERE agency IS NOT NULL", "WHERE agency IS NOT NULL AND url IS NOT NULL"))
