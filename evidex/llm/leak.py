@@ -153,7 +153,8 @@ class FMIndex:
             a = np.r_[a[one == 0], a[one == 1]]
         self.base = np.zeros(1 << self.bits, dtype=np.int64)
         self.base = self._descend(np.arange(1 << self.bits), np.zeros(1 << self.bits, dtype=np.int64))
-        marked = sa % sample == 0
+        # starts of documents are sampled too: ends differ by place, so no step leads across one
+        marked = (sa % sample == 0) | (bwt == 0)
         self.mark_rank = np.r_[0, np.cumsum(marked)].astype(np.int32)
         self.samples = sa[marked].astype(np.int32)
 
@@ -286,13 +287,14 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: list[tuple[int, str]
                 if len(a) < known.phrase:
                     continue
                 if keys and (size + len(a) > block_words or len(keys) >= 10_000):
-                    yield search(keys, ids, known)
+                    if len(found := search(keys, ids, known)):
+                        yield found
                     keys, ids, size = [], [], 0
                 keys.append(k)
                 ids.append(a)
                 size += len(a)
-        if keys:
-            yield search(keys, ids, known)
+        if keys and len(found := search(keys, ids, known)):
+            yield found
 
     out = src.mapInPandas(run, f"key {kind}, item_id long, share double, words long, spans array<struct<a:long,b:long>>")
     return out.withColumnRenamed("key", key)

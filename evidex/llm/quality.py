@@ -19,7 +19,7 @@ COMMON_WORDS = (
 COMMON = r"(?i)\b(?:" + "|".join(COMMON_WORDS) + r")\b"
 WORD = r"(?<![^\s(\"'])[A-Za-zÀ-ÿ'’-]{2,}(?=[.,;:!?)\"']*(?:\s|$))"
 TOKEN = r"\S+"
-SYMBOL = r"[^\p{L}\p{N}_\s.,;:'\"()-]"
+SYMBOL = r"[^\p{L}\p{N}_\s.,;:!?'\"()-]"
 MOJIBAKE = r"�|ï¿½|Ã.|â€.|Â."
 BULLET = r"^\s*(?:[*•·▪◦‣–—o-]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|\[[ xX]?\])\s+\S"
 LABEL = r"(?i)^\s*(?:TAB|ITEM|EXHIBIT|ENCL|ENCLOSURE|ANNEX|FIG|BOX|SERIAL|NO)\.?\s+\w{1,4}\s*[:.)-]"
@@ -68,8 +68,8 @@ def text_statistics(df: DataFrame, text: str) -> DataFrame:
     bullet_share and line_kinds (counts by kind, without page numbers). Defined results: null, empty and blank texts have
     counts and shares of 0; columns of these names that df already has are replaced; other columns and repeated rows pass through.
     """
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    lines = F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(x) != "")
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)^\s+|\s+$", "")
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda x: x.rlike(r"(?U)\S"))
     out = df.withColumn("__t", t).withColumn("__lines", F.explode(F.array(lines)))  # a generator keeps its result from being computed again for every use
     n = F.greatest(F.length("__t"), F.lit(1))
     words = _count(F.col("__t"), r"[A-Za-zÀ-ÿ]{2,}")
