@@ -267,8 +267,9 @@ def average_linkage(edges: list[tuple[int, int, float]], threshold: float) -> di
 def similar_keys(keys: DataFrame, min_cosine: float) -> DataFrame:
     """(kind, a, b), a < b: keys (columns kind, key, grams) whose n-gram vectors have a cosine of at least min_cosine.
 
-    A gram weighs the root of its inverse document frequency. Keys that differ in length by more than two are left out:
-    two edits, the most that a later check allows, can't bridge that.
+    A gram weighs the root of its inverse document frequency. Keys that differ in length by more than two, or by more
+    than four letters put in, left out or changed, are left out: two edits or swaps, the most that a later check allows,
+    can't bridge that.
     """
     g = keys.select("kind", "key", F.explode("grams").alias("gram"))
     totals = keys.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -282,7 +283,7 @@ def similar_keys(keys: DataFrame, min_cosine: float) -> DataFrame:
     indexed = F.transform(F.filter(F.transform("e", lambda x, i: F.struct(x["gram"].alias("gram"), rest(x, i).alias("rest"))), lambda x: x["rest"] >= min_cosine * min_cosine - 1e-9), lambda x: x["gram"])
     index = vec.select("kind", F.explode(indexed).alias("gram"), "key")
     x, y = index.select("kind", "gram", F.col("key").alias("a")), index.select("kind", "gram", F.col("key").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2)
+    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2) & (F.levenshtein("a", "b", 4) >= 0)
     pairs = x.join(y, ["kind", "gram"]).filter(near).select("kind", "a", "b").distinct()
     va, vb = (vec.select("kind", F.col("key").alias(k), F.col("weights").alias(f"v{k}")) for k in "ab")
     both = pairs.join(va, ["kind", "a"]).join(vb, ["kind", "b"])

@@ -42,6 +42,16 @@ def test_average_linkage_against_brute_force():
         assert {frozenset(k for k in range(n) if got[k] == v) for v in set(got.values())} == {frozenset(g) for g in groups}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_cosine_join_against_brute_force(spark):
     r = random.Random(2)
     keys = sorted({"".join(r.choices("abcde", k=r.randrange(4, 9))) for _ in range(120)})
@@ -54,7 +64,7 @@ def test_cosine_join_against_brute_force(spark):
     def cos(a, b):
         return sum(w[a][g] for g in w[a].keys() & w[b].keys()) / math.sqrt(sum(w[a].values()) * sum(w[b].values()))
 
-    assert got == {(a, b) for a in keys for b in keys if a < b and abs(len(a) - len(b)) <= 2 and cos(a, b) >= 0.4}
+    assert got == {(a, b) for a in keys for b in keys if a < b and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 4 and cos(a, b) >= 0.4}
 
 
 def test_groups_and_edge_cases(spark):
