@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions.timestamps import normalise_timestamps
-from evidex.session import table
+from evidex.session import fixed_rows, table
 
 
 def timestamp_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -16,7 +16,7 @@ def timestamp_forms(spark: SparkSession, d: str) -> DataFrame:
     inc = inc.join(zones, "region", "left").select("table_name", "row_key", "raw", "iana_zone")
     rec = table(spark, d, "source_records").select(F.lit("source_records").alias("table_name"), F.col("identity_key").alias("row_key"), F.col("incident_date_hint").alias("raw"), F.lit(None).cast("string").alias("iana_zone"))
     both = inc.unionByName(rec).filter("row_key is not null and raw is not null")
-    fixed = [r[0] for r in zones.select("iana_zone").distinct().limit(1000).collect()]  # a fixed table of 24 rows
+    fixed = [r[0] for r in fixed_rows(zones.select("iana_zone").distinct(), 1000)]
     return normalise_timestamps(both, "raw", "iana_zone", zones=[z for z in fixed if z])
 
 

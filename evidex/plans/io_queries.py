@@ -8,6 +8,7 @@ from evidex.functions import text as T
 from evidex.operators import relational as R
 from evidex.plans.registry import Book
 from evidex.session import scratch_dir
+from evidex.sources import external as X
 from evidex.sources import manifest as M
 from evidex.sources import sinks as S
 
@@ -275,3 +276,55 @@ def snk13(t):
     f = t("source_files").select("byte_size", F.lit(True).alias("known")).distinct()
     r = t("source_records").select("identity_key", "byte_size").distinct().join(f, "byte_size", "left")
     return r.select("identity_key", F.when(F.col("known"), "update").otherwise("insert").alias("action"))
+
+
+# --- the outside world, with a stand-in for the call ------------------------------------------------------------------
+
+
+@add("SRC-12", r"SELECT DISTINCT url, (coalesce(try_cast(regexp_extract(url,'(\d)[^\d]*$',1) AS INTEGER),0)%4+1)::INTEGER AS attempts FROM source_files WHERE url IS NOT NULL")
+def src12(t):
+    """Fetching with retries: a stand-in server answers at an attempt that the address tells."""
+    import re
+
+    def get(url, attempt):
+        m = re.search(r"(\d)[^\d]*$", url)
+        return b"ok" if attempt > (int(m[1]) if m else 0) % 4 else None
+
+    return X.fetch(t("source_files"), "url", get, lambda s: None).select("url", "attempts")
+
+
+@add("SRC-13", r"""SELECT id, page, CASE WHEN length(body)<100 THEN 'ocr' ELSE 'native' END AS method FROM (SELECT id, unnest(range(1,len(l)+1))::INTEGER AS page, unnest(l) AS body FROM (SELECT id, string_split(ocr_text, '--- PAGE ') AS l FROM (SELECT DISTINCT id, ocr_text FROM source_files WHERE ocr_text IS NOT NULL)))""")
+def src13(t):
+    """Pages of documents with a stand-in for the PDF reader and for OCR."""
+    f = t("source_files").filter("ocr_text is not null").select("id", F.encode("ocr_text", "utf-8").alias("content")).distinct()
+    return X.extract_pages(f, "id", "content", lambda b: b.decode().split("--- PAGE "), lambda b, n: "").select("id", "page", "method")
+
+
+@add("SRC-16", "SELECT * FROM (VALUES ('aaro','not implemented'),('nara','not implemented'),('pursue','ready')) AS v(provider,status)")
+def src16(t):
+    p = X.Providers(pursue=lambda spark, path: M.read_csv(spark, path), aaro=None, nara=None)
+    return t("region").sparkSession.createDataFrame(p.status(), "provider string, status string")
+
+
+@add("SNK-10", "SELECT count(*) AS n, sum(length(n_name))::BIGINT AS chars FROM nation")
+def snk10(t):
+    n = t("nation")
+    path = f"{scratch_dir(n.sparkSession)}/one/names.txt"
+    X.write_atomically(n.sparkSession, path, "\n".join(r[0] for r in n.select("n_name").collect()).encode())  # a fixed table of 25 rows
+    return n.sparkSession.read.text(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@add("EVD-11", "SELECT item_id, CASE WHEN item_id%3<>0 THEN 'answered' WHEN item_id%2=0 THEN 'repaired' ELSE 'abstained' END AS outcome, CASE WHEN item_id%3<>0 THEN 1 ELSE 2 END AS calls FROM eval_items")
+def evd11(t):
+    """One repair, then abstention: a stand-in model cites a wrong id for every third question and mends every second of those."""
+    import pandas as pd
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for i in pdf["item_id"]:
+                ask = lambda q, wrong, i=i: ["A-1"] if i % 3 or (wrong and i % 2 == 0) else ["X-9"]
+                rows.append((i, *X.answer_or_abstain(ask, "", {"A-1"})))
+            yield pd.DataFrame(rows, columns=["item_id", "outcome", "calls"])
+
+    return t("eval_items").select("item_id").mapInPandas(run, "item_id long, outcome string, calls int")

@@ -36,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fixed_rows(df: DataFrame, most: int) -> list:
+    """All rows of a table that is small at every scale; an error, not a cut, if it holds more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table that was to hold at most {most} rows holds more")
+    return rows
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder for written intermediate tables.
 
