@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidex.session import drop_scratch, scratch_dir, written
+from evidex.session import drop_scratch, fixed_rows, scratch_dir, written
 
 #: Where the public tokenizers' files lie; a parameter of count_tokens().
 TOKENIZERS = os.environ.get("EVIDEX_TOKENIZERS", "/opt/tokenizers")
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
     """
     spark = docs.sparkSession
     root = scratch_dir(spark)
-    aims = [(r[0], max(float(r[1] or 0), 0.0), max(int(r[2] or 0), 0)) for r in targets.select("source", "target_share", "max_repeats").filter("source is not null").limit(100_000).collect()]
+    aims = [(r[0], max(float(r[1] or 0), 0.0), max(int(r[2] or 0), 0)) for r in fixed_rows(targets.select("source", "target_share", "max_repeats").filter("source is not null"), 10_000)]
     whole = sum(a[1] for a in aims) or 1.0
     t = spark.createDataFrame([(s, x / whole, c) for s, x, c in aims], "source string, target_share double, max_repeats int")
     src = docs.select(F.col(key).alias("key"), F.trim(F.col(source)).alias("source"), F.col(tokens).cast("long").alias("tokens")).filter("key is not null and tokens > 0")

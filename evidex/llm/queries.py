@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.llm import groups, leak, matching, mix, names, quality, repair, spam, split
-from evidex.session import table
+from evidex.session import fixed_rows, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -101,7 +101,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items whose passages they repeat, the share and the spans."""
-    items = table(spark, d, "eval_items").select("item_id", "passage").limit(100_000).collect()  # a fixed table of 300 rows
+    items = fixed_rows(table(spark, d, "eval_items").select("item_id", "passage"), 100_000)
     return leak.find_leaks(table(spark, d, "documents"), "doc_id", "text", [(r[0], r[1]) for r in items])
 
 
@@ -138,7 +138,7 @@ def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of incidents and source records that could be one sighting, with the posterior of a match."""
-    regions = [(r[0], r[1]) for r in table(spark, d, "region_zones").select("region", "country").limit(10_000).collect()]  # a fixed table of 24 rows
+    regions = [(r[0], r[1]) for r in fixed_rows(table(spark, d, "region_zones").select("region", "country"), 1000)]
     left = matching.prepare(table(spark, d, "incidents"), "a", {"id": "case_id", "place": "location_text", "dated": "occurred_at_text", "day": "occurred_at", "title": "title", "account": "summary", "phrase": "shape_description", "region": "region", "seconds": "duration_seconds", "feet": "altitude_feet"}, regions)
     right = matching.prepare(table(spark, d, "source_records"), "b", {"id": "identity_key", "place": "incident_location_hint", "dated": "incident_date_hint", "title": "title", "account": "description"}, regions)
     return matching.match(left, right).select(F.col("a").alias("case_id"), F.col("b").alias("identity_key"), F.round("confidence", 4).alias("confidence"))
