@@ -39,10 +39,20 @@ def exclusive(matches: DataFrame, left: str, right: str, order: list[str]) -> Da
 
 
 def token_pairs(a: DataFrame, b: DataFrame, id_: str, text: str, least: int, stop: tuple[str, ...] = (), length: int = 2) -> DataFrame:
-    """(a, b, shared) of rows whose texts share at least `least` distinct tokens: an equi-join on exploded tokens."""
-    x = a.select(F.col(id_).alias("a"), F.explode(tokens(text, length, stop)).alias("t"))
-    y = b.select(F.col(id_).alias("b"), F.explode(tokens(text, length, stop)).alias("t"))
-    return x.join(y, "t").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    """(a, b, shared) of rows whose texts share at least `least` distinct tokens.
+
+    A row is indexed under its rarest tokens only: of n tokens, two rows that share `least` have one in common among the
+    first n - least + 1 of each in one order of all tokens. Rows with fewer tokens than that pair with nothing.
+    """
+    x, y = (d.select(F.col(id_).alias("id"), tokens(text, length, stop).alias("all")).filter(F.size("all") >= least) for d in (a, b))
+    count = x.select(F.explode("all").alias("t")).unionByName(y.select(F.explode("all").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+    def index(d: DataFrame, side: str) -> DataFrame:
+        ranked = d.select("id", "all", F.explode("all").alias("t")).join(count, "t").groupBy("id", "all").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))  # the tokens of one text
+        return ranked.select(F.col("id").alias(side), F.col("all").alias(f"all_{side}"), F.explode(F.slice("r", F.lit(1), F.size("r") - (least - 1))["t"]).alias("t"))
+
+    pairs = index(x, "a").join(index(y, "b"), "t").select("a", "b", F.size(F.array_intersect("all_a", "all_b")).cast("long").alias("shared"))
+    return pairs.filter(F.col("shared") >= least).distinct()
 
 
 def similar_in_group(df: DataFrame, id_: str, group: list[str], text: str, least: float, shortest: int = 1, overlap: float = 0.5) -> DataFrame:

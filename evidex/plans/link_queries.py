@@ -21,14 +21,14 @@ def _members(t):
     return t("event_members").filter("case_id is not null").select("event_id", F.upper(F.trim("case_id")).alias("case_id"), "source_filename", "role").distinct()
 
 
-@add("LNK-01", f"WITH m AS ({_MEM}) SELECT 'file' AS kind, a.event_id AS a, b.event_id AS b FROM m a JOIN m b ON a.source_filename=b.source_filename AND a.role='media' AND b.role='media' AND a.event_id<b.event_id UNION SELECT 'case', a.event_id, b.event_id FROM m a JOIN m b ON a.case_id=b.case_id AND a.event_id<b.event_id")
+@add("LNK-01", f"WITH m AS ({_MEM}), g AS (SELECT 'file' AS kind, source_filename AS k, event_id FROM m WHERE role='media' AND source_filename IS NOT NULL UNION SELECT 'case', case_id, event_id FROM m), f AS (SELECT kind, k, min(event_id) AS a FROM g GROUP BY ALL) SELECT DISTINCT kind, a, event_id AS b FROM g JOIN f USING (kind, k) WHERE a<event_id")
 def lnk01(t):
+    """Events tied by a media file or a case: each to the smallest event of its file or case, which ties all of them."""
     m = _members(t)
-    f = m.filter("role = 'media'").select("event_id", "source_filename").distinct()
-    files = f.toDF("a", "k").join(f.toDF("b", "k"), "k").filter("a < b")
-    c = m.select("event_id", "case_id").distinct()
-    cases = c.toDF("a", "k").join(c.toDF("b", "k"), "k").filter("a < b")
-    return L.candidates({"file": files, "case": cases})
+    files = m.filter("role = 'media' and source_filename is not null").select(F.col("source_filename").alias("k"), F.col("event_id").alias("b"))
+    cases = m.select(F.col("case_id").alias("k"), F.col("event_id").alias("b"))
+    star = lambda g: g.join(g.groupBy("k").agg(F.min("b").alias("a")), "k").select("a", "b")
+    return L.candidates({"file": star(files), "case": star(cases)})
 
 
 @add("LNK-02", f"WITH m AS ({_MEM}), p AS (SELECT DISTINCT event_id, split_part(label,' / ',1) AS place, split_part(label,' / ',2) AS year FROM canonical_events WHERE label IS NOT NULL) SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON a.place=b.place AND a.year=b.year AND a.event_id<>b.event_id WHERE a.event_id IN (SELECT event_id FROM m WHERE role='follow_up')")

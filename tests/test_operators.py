@@ -309,3 +309,12 @@ def test_front_matter(spark):
     df = spark.createDataFrame([("n-7", "---\npage: 12\nkind: a: b\n---\nbody\ntext"), ("n-8", "no marks"), ("n", None)], "name string, t string")
     got = {r.name: (r.page, r.body) for r in manifest.front_matter(df, "t", "name").collect()}
     assert got == {"n-7": (12, "body\ntext"), "n-8": (8, "no marks"), "n": (None, "")}
+
+
+def test_token_pairs_against_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choices("red blue pale dark disc cone ring oval light wing".split(), k=r.randrange(1, 6)))) for i in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("shared", F.lit("clash"))
+    got = {tuple(x) for x in M.token_pairs(df, df, "id", "t", 2).filter("a < b").collect()}
+    sets = {i: set((t or "").split()) for i, t in rows}
+    assert got == {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 2}
