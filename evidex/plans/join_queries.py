@@ -97,13 +97,17 @@ def joi09(t):
     return M.similar_in_group(i, "case_id", ["source_file_id"], "raw_excerpt", 0.8, 20)
 
 
-_TOK = "SELECT DISTINCT p_partkey AS id, unnest(list_distinct(regexp_extract_all(lower(p_name),'[a-z0-9]+'))) AS t FROM part"
+_TOK = "SELECT DISTINCT event_id AS id, unnest(list_distinct(regexp_extract_all(lower(label),'[a-z0-9]+'))) AS t FROM canonical_events WHERE label IS NOT NULL"
+
+
+def _labels(t):
+    return t("canonical_events").filter("label is not null").select("event_id", "label", "occurred_at").distinct()
 
 
 @add("JOI-10", f"WITH k AS ({_TOK}) SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.t=y.t AND x.id<y.id WHERE length(x.t)>=2 GROUP BY ALL HAVING count(*)>=2")
 def joi10(t):
-    p = t("part")
-    return M.token_pairs(p, p, "p_partkey", "p_name", 2).filter("a < b")
+    e = _labels(t).select("event_id", "label").distinct()
+    return M.token_pairs(e, e, "event_id", "label", 2).filter("a < b")
 
 
 @add("JOI-11", r"""WITH c AS (SELECT DISTINCT event_id, label, notes FROM canonical_events), k AS (SELECT event_id AS id, coalesce(regexp_extract(label,'((?:19|20)\d{2})',1),'') AS y, unnest(list_distinct(regexp_extract_all(label,'\b[A-Z][a-zA-Z]{3,}\b'))) AS t FROM c)
@@ -160,16 +164,18 @@ def joi16(t):
 
 @add("JOI-17", f"WITH k AS ({_TOK}), s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.t=y.t AND x.id<>y.id WHERE length(x.t)>=2 GROUP BY ALL HAVING count(*)>=2) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n=1")
 def joi17(t):
-    p = t("part")
-    return M.token_pairs(p, p, "p_partkey", "p_name", 2).filter("a <> b").groupBy("a").agg(F.max_by(F.struct("b", "shared"), F.struct("shared", -F.col("b"))).alias("x")).select("a", "x.*")
+    e = _labels(t).select("event_id", "label").distinct()
+    best = M.token_pairs(e, e, "event_id", "label", 2).filter("a <> b").groupBy("a").agg(F.min(F.struct((-F.col("shared")).alias("s"), "b")).alias("x"))
+    return best.select("a", "x.b", (-F.col("x.s")).alias("shared"))
 
 
-@add("JOI-18", f"WITH k AS (SELECT k.*, p_brand FROM ({_TOK}) k JOIN part ON p_partkey=id), s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.t=y.t AND x.p_brand=y.p_brand AND x.id<>y.id GROUP BY ALL) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n=1")
+@add("JOI-18", f"WITH k AS (SELECT k.*, c.occurred_at FROM ({_TOK}) k JOIN canonical_events c ON c.event_id=k.id WHERE c.occurred_at IS NOT NULL), s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.t=y.t AND x.occurred_at=y.occurred_at AND x.id<>y.id WHERE length(x.t)>=5 GROUP BY ALL) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n=1")
 def joi18(t):
-    k = t("part").select("p_partkey", "p_brand", F.explode(T.tokens("p_name", 1)).alias("t"))
-    a, b = k.toDF("a", "p_brand", "t"), k.toDF("b", "p_brand", "t")
-    s = a.join(b, ["p_brand", "t"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return s.groupBy("a").agg(F.max_by(F.struct("b", "shared"), F.struct("shared", -F.col("b"))).alias("x")).select("a", "x.*")
+    """Best partner of the same day by shared words: the day guards the match."""
+    k = _labels(t).filter("occurred_at is not null").select("event_id", "occurred_at", F.explode(T.tokens("label", 5)).alias("t"))
+    a, b = k.toDF("a", "occurred_at", "t"), k.toDF("b", "occurred_at", "t")
+    s = a.join(b, ["occurred_at", "t"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return s.groupBy("a").agg(F.min(F.struct((-F.col("shared")).alias("s"), "b")).alias("x")).select("a", "x.b", (-F.col("x.s")).alias("shared"))
 
 
 @add("JOI-19", "SELECT k, n_nationkey, score FROM (SELECT p_partkey AS k, n_nationkey, CASE WHEN contains(lower(p_name),lower(substr(n_name,1,3))) THEN length(n_name) ELSE 0 END AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN contains(lower(p_name),lower(substr(n_name,1,3))) THEN length(n_name) ELSE 0 END DESC, n_nationkey) AS n FROM part, nation) WHERE n=1 AND score>0")
