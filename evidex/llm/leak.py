@@ -2,9 +2,9 @@
 
 A shard is a block of documents of bounded size. Its text, as word ids, gets a full suffix array (prefix doubling in
 numpy), the Burrows-Wheeler transform with a wavelet matrix for ranks, and suffix positions sampled at every few words.
-Each phrase of a few words that belongs to one passage alone is searched backwards; its occurrences are located by walking
-to the next sampled position. Documents with enough phrases of a passage are then aligned with it word by word: matched
-runs are stretched over single changed words, and their spans are merged.
+Each phrase of a few words of the passages is searched backwards; its occurrences are located by walking
+to the next sampled position. Documents with a phrase of a passage are then aligned with it word by word, unless the words
+that match beside the phrases are too few: matched runs are stretched over single changed words, and their spans are merged.
 """
 
 from __future__ import annotations
@@ -94,11 +94,25 @@ class Passages:
                     ok[k : e + phrase - 1] = False
                 k = max(e, k + 1)
             self.counts[i] = ok
-        own = sorted((g, p) for g, p in places.items() if len(owners[g]) == 1)
-        self.patterns = np.array([g for g, _ in own], dtype=np.int64).reshape(-1, phrase)
-        self.where = [(p[0][0], [k for _, k in p]) for _, p in own]
-        self.item_of = np.array([i for i, _ in self.where], dtype=np.int64)
-        self.first = np.array([k[0] for _, k in self.where], dtype=np.int64)
+        self.items = list(self.ids)
+        self.length = np.array([len(a) for a in self.ids.values()], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length  # of each item in flat
+        self.flat = np.concatenate([*self.ids.values(), np.empty(0, np.int64)])
+        self.flat_counts = np.concatenate([*self.counts.values(), np.empty(0, bool)])
+        # every phrase, also of notices and of several items: a run can begin in any of them
+        no = {i: n for n, i in enumerate(self.items)}
+        all_ = sorted(places.items())
+        self.patterns = np.array([g for g, _ in all_], dtype=np.int64).reshape(-1, phrase)
+        size = np.array([len(p) for _, p in all_], dtype=np.int64)
+        self.place_start, self.place_size = np.cumsum(size) - size, size
+        self.place_item = np.array([no[i] for _, p in all_ for i, _ in p], dtype=np.int64)
+        self.place_at = np.array([k for _, p in all_ for _, k in p], dtype=np.int64)
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges: the range of each member, and the members, one range after the other."""
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -232,13 +246,66 @@ def matched_words(doc: np.ndarray, passage: np.ndarray, counts: np.ndarray, phra
     return int((covered & counts).sum()), merged
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: list[tuple[int, str]], min_share: float = 1 / 3, min_phrases: float = 0.1, block_words: int = 1 << 20) -> DataFrame:
+def long_runs(docs: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, known: Passages, item: np.ndarray, place: np.ndarray, min_run: int = 6) -> np.ndarray:
+    """Whether matched_words makes a run of min_run words from each phrase (at in docs, within [begin, end), and at place in item)."""
+    start, size = known.start[item], known.length[item]
+
+    def side(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+        n = np.zeros(len(a), dtype=np.int64)
+        live, need = np.arange(len(a)), min_run - known.phrase
+
+        def same(x: int) -> np.ndarray:
+            i, j = a[live] + (n[live] + x) * step, b[live] + (n[live] + x) * step
+            ok = (i >= begin[live]) & (i < end[live]) & (j >= 0) & (j < size[live])
+            return ok & (docs[np.where(ok, i, 0)] == known.flat[start[live] + np.where(ok, j, 0)])
+
+        while len(live):
+            more = np.where(same(0), 1, np.where(same(1) & same(2), 3, 0))
+            n[live] += more
+            live = live[(more > 0) & (n[live] < need)]
+        return n
+
+    return known.phrase + side(at - 1, place - 1, -1) + side(at + known.phrase, place + known.phrase, 1) >= min_run
+
+
+def most_words(docs: np.ndarray, ends: np.ndarray, known: Passages, doc: np.ndarray, item: np.ndarray, shift: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int, int]]:
+    """(doc, item, words) of each pair of a document and an item: no alignment counts more than these words.
+
+    docs: the words of all documents, which end at ends. The rows are sorted and say that item, moved by shift words, shares a run with doc. A run keeps its shift,
+    and each of its words is a match at that shift or stands next to one. About `most` words are compared at once.
+    """
+    begins = np.r_[0, ends[:-1]]
+    parts = lambda size: np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])][: len(doc)])
+    tail = np.r_[head[1:], len(doc)]
+    for pairs in np.split(np.arange(len(head)), parts(known.length[item[head]])):
+        if not len(pairs):
+            continue
+        size = known.length[item[head[pairs]]]
+        start = np.cumsum(size) - size
+        covered = np.zeros(int(size.sum()), dtype=bool)
+        pair, rows = spread(head[pairs], tail[pairs] - head[pairs])
+        for s in np.split(np.arange(len(rows)), parts(known.length[item[rows]])):
+            of, j = spread(np.zeros(len(s), dtype=np.int64), known.length[item[rows[s]]])
+            r = rows[s][of]
+            i = j + shift[r] + begins[doc[r]]
+            inside = (i >= begins[doc[r]]) & (i < ends[doc[r]])
+            x = np.flatnonzero(inside & (docs[np.where(inside, i, 0)] == known.flat[known.start[item[r]] + j]))
+            for step in (-1, 0, 1):
+                y = x[(j[x] + step >= 0) & (j[x] + step < known.length[item[r[x]]])]
+                covered[start[pair[s[of[y]]]] + j[y] + step] = True
+        _, at = spread(known.start[item[head[pairs]]], size)
+        words = np.add.reduceat((covered & known.flat_counts[at]).astype(np.int64), start)
+        yield from zip(doc[head[pairs]].tolist(), item[head[pairs]].tolist(), words.tolist(), strict=True)
+
+
+def find_leaks(docs: DataFrame, key: str, text: str, items: list[tuple[int, str]], min_share: float = 1 / 3, block_words: int = 1 << 20) -> DataFrame:
     """(key, item_id, share, words, spans): documents that repeat at least min_share of the words of an item's passage.
 
     items: the stated set of held-out passages, searched against every document; it is sent to all tasks. share is of the
     passage's words in matched runs of at least six words, standing notices left out; spans are the merged word ranges
-    of the document. A document is aligned with an item if at least min_phrases of the item's words start a phrase found in it: with one word changed in
-    six a repeated third still has more than that. Defined results: null texts, keys and passages, and texts or passages shorter than a
+    of the document. Every document and item that share a run are aligned, unless the words that match at the runs' shifts are too few for min_share.
+    Defined results: null texts, keys and passages, and texts or passages shorter than a
     phrase, match nothing; repeated rows give repeated results; no items or no documents give an empty table; long texts
     are searched whole (a text longer than a block is a block of its own); other columns are ignored.
     """
@@ -250,13 +317,15 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: list[tuple[int, str]
     def search(keys: list, ids: list[np.ndarray], known: Passages) -> pd.DataFrame:
         rows: list[tuple] = []
         # words outside the passages are no part of any phrase: a run of them is one word of the index
-        parts, n_words = [], []
+        parts, n_words, places = [], [], []
         for a in ids:
             keep = (a != 1) | np.r_[True, a[:-1] != 1]
             parts += [a[keep], [0]]
+            places += [np.flatnonzero(keep), [len(a)]]
             n_words.append(int(keep.sum()) + 1)
         flat = np.concatenate(parts).astype(np.int64)
         ends = np.cumsum(n_words)
+        written_at = np.concatenate(places).astype(np.int64)  # place of each word of the index in its document
         fm = FMIndex(flat)
         lo, hi = fm.search(known.patterns)
         n = hi - lo
@@ -264,11 +333,24 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: list[tuple[int, str]
             which = np.repeat(np.arange(len(n)), n)
             at = fm.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
             doc = np.searchsorted(ends, at, side="right")
-            found = np.unique(np.stack([doc, known.item_of[which], known.first[which]], axis=1), axis=0)
-            pairs, hits = np.unique(found[:, :2], axis=0, return_counts=True)
-            for (r, item), h in zip(pairs.tolist(), hits.tolist(), strict=True):
+            at = written_at[at]
+            span = int(known.length.max()) + max(len(a) for a in ids)
+            found = np.empty(0, dtype=np.int64)
+            words_of = np.cumsum([len(a) for a in ids])
+            flat = np.concatenate(ids)
+            for x in np.array_split(np.arange(len(at)), 1 + int(known.place_size[which].sum()) // 1_000_000):
+                of, place = spread(known.place_start[which[x]], known.place_size[which[x]])
+                of, item, place = x[of], known.place_item[place], known.place_at[place]
+                end = words_of[doc[of]]
+                begin = end - np.array([len(a) for a in ids])[doc[of]]
+                ok = long_runs(flat, begin, end, begin + at[of], known, item, place)
+                shift = at[of[ok]] - place[ok] + int(known.length.max())
+                found = np.union1d(found, (doc[of[ok]] * len(known.items) + item[ok]) * span + shift)
+            pair, shift = found // span, found % span - int(known.length.max())
+            for r, n_item, most in most_words(flat, words_of, known, pair // len(known.items), pair % len(known.items), shift):
+                item = known.items[n_item]
                 p = known.ids[item]
-                if h < min_phrases * len(p):
+                if most < min_share * len(p):
                     continue
                 words, spans = matched_words(ids[r], p, known.counts[item], known.phrase)
                 if words >= min_share * len(p):

@@ -73,3 +73,30 @@ def test_spans_are_merged():
     a = np.arange(2, 30)
     words, spans = L.matched_words(np.r_[a[:10], [99], a[11:20], a[5:15]], a, np.ones(28, bool))
     assert spans == [(0, 30)] and words == 20
+
+
+def test_changed_leaks_of_items_that_share_phrases(spark):
+    """Pairs of items share most phrases, and one word in three is changed after the first phrase: few phrases of a leak belong to one item and stand whole."""
+    r = random.Random(8)
+    items = []
+    for i in range(0, 20, 2):
+        a = r.choices(WORDS, k=60)
+        b = [w if k % 11 else r.choice(WORDS) for k, w in enumerate(a)]
+        items += [(i, " ".join(a)), (i + 1, " ".join(b))]
+    notice = "this notice stands in many places and says nothing about any of the objects named in the file"
+    items += [(i, f"{notice} {' '.join(r.choices(WORDS, k=30))}") for i in range(20, 26)]
+    docs = []
+    for d in range(80):
+        i = r.randrange(26)
+        w = items[i][1].split()
+        w = w if i >= 20 else w[(at := r.randrange(30)) : at + 30]
+        from_ = 18 if i >= 20 else 4
+        docs.append((d, " ".join(r.choices(WORDS, k=9)) + " outside words here " + " ".join("changed" if k >= from_ and (k - from_) % (3 + d % 3) == 0 else x for k, x in enumerate(w))))
+    df = spark.createDataFrame(docs, "doc_id long, t string")
+    got = {(x.doc_id, x.item_id) for x in L.find_leaks(df, "doc_id", "t", items, block_words=700).collect()}
+    known = L.Passages(items)
+    v = L.Vocabulary(known.folded)
+    ids = {d: np.array([v[w] for w in L.text_words(t)]) for d, t in docs}
+    want = {(d, i) for d, a in ids.items() for i, p in known.ids.items() if L.matched_words(a, p, known.counts[i])[0] >= len(p) / 3}
+    assert got == want and len(want) > 80
+    assert not known.counts[20].all() and any(i >= 20 for _, i in want)
