@@ -1,10 +1,9 @@
-"""Variant spellings of names: sparse n-gram cosine join, a check of each pair by name parts, average linkage.
+"""Variant spellings of names: join of the parts within two edits, a check of each pair by name parts, average linkage.
 
 1. Every name is folded and parsed into a form; equal forms are one item however many rows share them.
-2. The part that variants spell alike (surname, place name, number) becomes a vector of character n-grams weighted by
-   inverse document frequency. All pairs of distinct parts with a cosine of at least min_cosine are found exactly by prefix
-   filtering: a part is indexed under its rarest grams only until the rest is too light to reach the threshold alone, so
-   two parts that reach it share an indexed gram.
+2. All pairs of distinct parts that variants spell alike (surname, place or program name) within the edits that the check allows are found exactly: two
+   words within so many edits or swaps are led to one word by leaving out at most as many letters of each. (similar_keys, an n-gram cosine join, is an
+   alternative that loses pairs: typing errors make rare n-grams, which weigh most.)
 3. A pair of forms with such parts is weighed by all parts of the names (kinds of unit, given name, initials).
 4. Pairs above the threshold span components, which average linkage cuts into groups.
 """
@@ -179,6 +178,24 @@ def _given_score(a: str, b: str) -> float:
     return 0.93 if osa(a, b, 2) <= (1 if len(a) < 7 else 2) else 0.0
 
 
+# By kind, the length from which a name may differ by two edits; a shorter one by one. Other kinds have no variants of the part.
+TWO_EDITS = {"person": 7, "location": 7, "program": 9}
+
+
+def allowed_edits(kind: str, a: str, b: str) -> int:
+    """The most edits or swaps by which the parts of two names of one kind may differ."""
+    return 0 if kind not in TWO_EDITS else 2 if min(len(a), len(b)) >= TWO_EDITS[kind] else 1
+
+
+def left_out(kind: str, key: str) -> list[str]:
+    """key without up to as many letters as it may have edits: two keys within their allowed edits have one of these in common."""
+    out = level = {key}
+    for _ in range(allowed_edits(kind, key, key)):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return sorted(out)
+
+
 def pair_score(kind: str, a: str, b: str, about_a: str | None = None, about_b: str | None = None) -> float:
     """How surely two forms of a kind name the same: 0 to about 1."""
     x, y = a.split("|"), b.split("|")
@@ -186,7 +203,7 @@ def pair_score(kind: str, a: str, b: str, about_a: str | None = None, about_b: s
         if not x[0] or not y[0]:
             return 0.0
         d = osa(x[0], y[0], 2)
-        if d > (1 if min(len(x[0]), len(y[0])) < 7 else 2):
+        if d > allowed_edits(kind, x[0], y[0]):
             return 0.0
         g = _given_score(x[1], y[1])
         m = (1.0 if x[2] == y[2] else 0.0) if x[2] and y[2] else 0.88 if x[2] or y[2] else 0.94
@@ -220,10 +237,10 @@ def pair_score(kind: str, a: str, b: str, about_a: str | None = None, about_b: s
         if x[0] != y[0] and x[0] and y[0]:
             return 0.0
         d = osa(x[1], y[1], 2)
-        return (1.0, 0.92, 0.82)[d] * (1 if x[0] == y[0] else 0.8) if d <= (2 if min(len(x[1]), len(y[1])) >= 7 else 1) else 0.0
+        return (1.0, 0.92, 0.82)[d] * (1 if x[0] == y[0] else 0.8) if d <= allowed_edits(kind, x[1], y[1]) else 0.0
     if kind == "program":
         d = osa(x[1], y[1], 2)
-        return (1.0, 0.92, 0.82)[d] if d <= (2 if min(len(x[1]), len(y[1])) >= 9 else 1) else 0.0
+        return (1.0, 0.92, 0.82)[d] if d <= allowed_edits(kind, x[1], y[1]) else 0.0
     return 1.0 if a == b else 0.0
 
 
@@ -291,7 +308,23 @@ def similar_keys(keys: DataFrame, min_cosine: float) -> DataFrame:
     return both.filter(dot >= min_cosine).select("kind", "a", "b")
 
 
-def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None = None, min_cosine: float = 0.34, threshold: float = 0.62) -> DataFrame:
+def near_keys(keys: DataFrame) -> DataFrame:
+    """(kind, a, b), a < b: all pairs of keys (columns kind, key) within the edits that pair_score allows."""
+
+    @F.pandas_udf("array<string>")
+    def cut(kinds: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([left_out(k, x) for k, x in zip(kinds, ks, strict=True)], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def close(kinds: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([osa(x, y, 2) <= allowed_edits(k, x, y) for k, x, y in zip(kinds, a, b, strict=True)], dtype=bool)
+
+    k = keys.filter(F.col("kind").isin(*TWO_EDITS)).select("kind", "key", F.explode(cut("kind", "key")).alias("w")).select("kind", "key", F.xxhash64("w").alias("w"))
+    pairs = k.select("kind", "w", F.col("key").alias("a")).join(k.select("kind", "w", F.col("key").alias("b")), ["kind", "w"]).filter("a < b")
+    return pairs.select("kind", "a", "b").distinct().filter(close("kind", "a", "b"))
+
+
+def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None = None, threshold: float = 0.62) -> DataFrame:
     """(key, kind, group) for every row of df whose name and kind are not null; group is the smallest key of its group.
 
     about: an optional column whose text before a comma rules out pairs that differ in it. Defined results: rows with a
@@ -306,10 +339,10 @@ def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None
     def form(kinds: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([parse_form(k.strip().lower(), n) for k, n in zip(kinds, names, strict=True)], dtype=object)
 
-    @F.pandas_udf("struct<k:string,letters:array<string>,grams:array<string>>")
+    @F.pandas_udf("struct<k:string,letters:array<string>>")
     def parts(kinds: pd.Series, forms: pd.Series) -> pd.DataFrame:
         keys = [key_part(k, f) for k, f in zip(kinds, forms, strict=True)]
-        return pd.DataFrame({"k": keys, "letters": [first_letters(k, f) for k, f in zip(kinds, forms, strict=True)], "grams": [grams(k, x) for k, x in zip(kinds, keys, strict=True)]})
+        return pd.DataFrame({"k": keys, "letters": [first_letters(k, f) for k, f in zip(kinds, forms, strict=True)]})
 
     note = F.lower(F.trim(F.split(F.col(about), ",")[0])) if about else F.lit(None).cast("string")
     rows = df.select(F.col(key).alias("key"), F.lower(F.trim(F.col(kind))).alias("kind"), F.col(name).alias("name"), note.alias("note"))
@@ -318,8 +351,8 @@ def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None
     rows = written(rows.withColumn("fid", fid).distinct(), f"{root}/rows")
     forms = rows.select("fid", "kind", "form", "note").distinct().withColumn("p", parts("kind", "form"))
     forms = written(forms.select("fid", "kind", "form", "note", "p.*"), f"{root}/forms")
-    keys = forms.select("kind", F.col("k").alias("key"), "grams").filter("key <> ''").dropDuplicates(["kind", "key"])
-    near = similar_keys(keys, min_cosine)
+    keys = forms.select("kind", F.col("k").alias("key")).filter("key <> ''").distinct()
+    near = written(near_keys(keys), f"{root}/near")
     same = keys.select("kind", F.col("key").alias("a"), F.col("key").alias("b"))
     near = near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
 

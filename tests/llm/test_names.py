@@ -76,3 +76,18 @@ def test_groups_and_edge_cases(spark):
     assert got["1"] == got["2"] == got["3"] == "1" and got["4"] == "4" and got["7"] == got["8"] and got["9"] == "9" and set(got) == {"1", "2", "3", "4", "7", "8", "9"}
     assert {(r.id_a, r.id_b) for r in N.pairs_of_groups(g).collect()} == {("1", "2"), ("1", "3"), ("2", "3"), ("7", "8")}
     assert N.name_groups(df.limit(0), "id", "kind", "name", "about").count() == 0
+
+
+def test_near_keys_against_brute_force(spark):
+    r = random.Random(3)
+    keys = sorted({(k, "".join(r.choices("abc", k=r.randrange(1, 11)))) for k in ("person", "location", "program", "unit") for _ in range(150)})
+    got = {tuple(x) for x in N.near_keys(spark.createDataFrame(keys, "kind string, key string")).collect()}
+    assert got == {(k, a, b) for k, a in keys for j, b in keys if k == j != "unit" and a < b and N.osa(a, b, 2) <= N.allowed_edits(k, a, b)}
+
+
+def test_two_typos_are_one_person_among_names_of_common_parts(spark):
+    r = random.Random(4)
+    common = [(f"c{i}", "person", f"Henry Me{''.join(r.choices('bcdfg', k=7))}ault") for i in range(40)]
+    df = spark.createDataFrame([("1", "person", "Kate Metvexault"), ("2", "person", "Kate Mevtxeault"), *common], "id string, kind string, name string")
+    got = {x.key: x.group for x in N.name_groups(df, "id", "kind", "name").collect()}
+    assert got["2"] == "1"
