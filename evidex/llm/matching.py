@@ -1,24 +1,27 @@
 """Matching rows of two tables that share no key: features, exact blocking, and a Gaussian mixture fitted without labels.
 
-1. Both tables are brought to one shape: place and region read from free text, a span of days, object, duration, height.
+1. Both tables are brought to one shape: place and region read from free text, a span of days, and what is told of the thing
+   seen: nouns and descriptions known from a column of noun phrases, and measures with their units.
    Misspelt places are led to the frequent spelling at most two edits away.
-2. Pairs are formed on the place together with the time at the precision that both sides have (the same day or a day off,
-   month, year or decade), or with the object where a side has no date. No pair that could match is left out and no
-   group is paired with itself as a whole.
-3. Similarity vectors of all pairs get a mixture of two Gaussians with regularised variances: expectation steps are Catalyst expressions, maximisation steps one aggregation. In each round the posteriors are made transitive:
+2. Pairs are formed on the place together with the decade, or with a shared noun or description where a side has no date: far
+   more than match, and the unmatched ones among them are what the mixture learns its second part from. Hot places are dealt out to several tasks.
+3. Graded similarity vectors of all pairs get a mixture of two Gaussians with regularised variances, fitted without labels: expectation steps are
+   Catalyst expressions, maximisation steps one aggregation. In every expectation step the posteriors are made transitive:
    of two pairs that share a row, the second can't be matched if the sides that must then agree contradict each other.
+   No feature is exempt: each may move the log odds by the same bound at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from evidex.functions.timestamps import normalise_texts
@@ -29,9 +32,9 @@ from evidex.session import drop_scratch, keep_only, scratch_dir, written
 _AROUND = re.compile(r"\babout\b|\b\d+\s*(?:km|mi|miles)\b|\boff\b|\b(?:n|s|e|w|ne|nw|se|sw|nne|sse)\s+of\b|\bof\b|\bnear\b|\bvic(?:inity)?\b|\bover\b|\bharbour\b|\bair station\b|\bstation\b|\broad between\b|\bthe\b|\bline\b|\bapprox(?:imately)?\b|\boutside\b|\barea\b")
 _GENERIC = re.compile(r"^(?:restricted|undisclosed|unknown|various|not stated|withheld|classified|redacted|n/?a|unspecified|multiple|several|worldwide|location|at sea|airborne)|\b(?:aor|orbit|ocean|approaches|airspace|theat(?:er|re))$")
 _SEGMENTS = re.compile(r"[,;/:()|]| and | about ")
-_NUMBER_WORD = r"(\d[\d,]*)"
-_DURATION = re.compile(r"(?:about |approximately )?(\d+) (second|minute|hour)s?\b", re.IGNORECASE)
-_HEIGHT = re.compile(rf"(?:height|seen at|altitude|at)\s+(?:about )?{_NUMBER_WORD} feet", re.IGNORECASE)
+_DURATION = re.compile(r"\b(\d{1,6})[ -](second|minute|hour)s?\b", re.IGNORECASE)
+_HEIGHT = re.compile(r"\b(\d{1,3}(?:,\d{3})+|\d{1,6})[ -](?:feet|foot|ft)\b", re.IGNORECASE)
+_WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
 
 class Regions:
@@ -107,43 +110,52 @@ def read_object(text: str | None) -> tuple[str, str]:
     return (w[-1], " ".join(w[:-1])) if w else ("", "")
 
 
-_TITLES = [re.compile(r"^report of (.+)$", re.IGNORECASE), re.compile(r"unidentified (.+)$", re.IGNORECASE), re.compile(r"^range fouler: (.+)$", re.IGNORECASE), re.compile(r"^(.+?) (?:sighting|seen by patrol|near the coast)$", re.IGNORECASE)]
-_EMPTY_TITLES = {"sighting", "unresolved", "case", "night", "report"}
-_LISTED = re.compile(r"([a-z -]+), (?=(?:about )?\d+ (?:second|minute|hour))")
+class Phrases:
+    """The nouns and the describing words that noun phrases of a table are made of: tells which of them a text mentions."""
 
+    def __init__(self, heads: list[str], words: list[str]):
+        self.heads, self.words = set(heads), set(words)
 
-def _clause(s: str) -> tuple[str, str]:
-    """(phrase that names the object, text around it that holds the measures) of a lower-case account."""
-    if (i := s.find(" stayed in view")) >= 0:
-        return s[s.rfind("the ", 0, i) + 4 : i], s[i : i + 60]
-    if (i := s.find("object: ")) >= 0:
-        e = s.find(".", i)
-        return s[i + 8 : e if e > 0 else len(s)], s[i : i + 120]
-    if 0 < (i := s.find(" in view for ")) < 40:
-        return s[:i], s[i : i + 60]
-    if (i := s.find("estimated height ")) >= 0 and (m := _LISTED.search(s, i)):
-        return m[1], s[i : i + 120]
-    if 0 < (i := s.find(", seen at ")) < 70 and (m := _LISTED.match(s)):
-        return m[1], s[: i + 40]
-    return "", ""
+    def find(self, text: str | None) -> list[tuple[str, str]]:
+        """(noun, description) of every known noun in a text, in order; the description is '' where no known word stands before it."""
+        out: list[tuple[str, str]] = []
+        ws = _WORDS.findall(fold(text or ""))
+        for i, w in enumerate(ws):
+            if w in self.heads and (w not in self.words or i + 1 == len(ws) or ws[i + 1] not in self.heads):
+                j = i
+                while j > 0 and ws[j - 1] in self.words:
+                    j -= 1
+                out.append((w, " ".join(ws[j:i])))
+        return out
 
 
-def read_account(title: str | None, account: str | None, phrase: str | None = None) -> tuple[str, str, float, float]:
-    """(shape, colour, seconds, feet) of a title and an account; '' and NaN where they tell nothing."""
+def known_phrases(df: DataFrame, phrase: str, min_share: float = 0.0005) -> Phrases:
+    """The nouns (last words) and describing words (the others) that stand in at least min_share of a column's phrases: at most 1 / min_share and a few times as many words, however long the table."""
+    words = F.regexp_extract_all(F.lower(F.col(phrase)), F.lit("([a-z-]+)"))
+    rows = df.select(words.alias("w")).filter("size(w) > 0").select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("w"), (i == F.size("w") - 1).alias("head")))).alias("x")).select("x.*")
+    n = rows.groupBy("head", "w").agg(F.count(F.lit(1)).alias("n"))
+    total = n.filter("head").agg(F.sum("n").alias("total"))
+    got = n.crossJoin(F.broadcast(total)).filter(F.col("n") >= min_share * F.col("total")).select("head", "w").collect()  # total: one row
+    return Phrases(sorted(r.w for r in got if r.head), sorted(r.w for r in got if not r.head))
+
+
+def read_account(title: str | None, account: str | None, known: Phrases, phrase: str | None = None) -> tuple[list[str], list[str], list[float], list[float]]:
+    """(nouns, descriptions, seconds, feet) that a title, an account and a noun phrase tell of the thing seen.
+
+    The noun phrase names it, else the title, else every noun that the account mentions may be it. Where only the noun is
+    known, the account's descriptions of that noun count. All measures of time and height in the account may be its own.
+    """
+    told = known.find(account)
     shape, colour = read_object(phrase)
-    named, around = _clause(account.lower()) if account else ("", "")
-    for text in ([named] if named else []) + [m[1] for p in _TITLES if title and (m := p.search(title))][:1]:
-        s, c = read_object(text)
-        if s in _EMPTY_TITLES or (shape and s != shape):
-            continue
-        shape, colour = shape or s, colour or c
-    seconds = feet = float("nan")
-    if around:
-        if m := _DURATION.search(around):
-            seconds = float(int(m[1]) * {"s": 1, "m": 60, "h": 3600}[m[2][0]])
-        if m := _HEIGHT.search(around):
-            feet = float(m[1].replace(",", ""))
-    return shape, colour, seconds, feet
+    if not shape and (named := known.find(title)):
+        shape, colour = named[-1]
+    if shape:
+        heads, colours = [shape], [colour] if colour else sorted({c for h, c in told if h == shape and c})
+    else:
+        heads, colours = sorted({h for h, _ in told}), sorted({c for _, c in told if c})
+    seconds = sorted({float(int(m[1]) * {"s": 1, "m": 60, "h": 3600}[m[2][0].lower()]) for m in _DURATION.finditer(account or "")})
+    feet = sorted({float(m[1].replace(",", "")) for m in _HEIGHT.finditer(account or "")})
+    return heads, colours, seconds, feet
 
 
 def read_span(form: str | None) -> tuple[int, int, str]:
@@ -170,10 +182,10 @@ def hash64(w: str) -> int:
     return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") >> 1
 
 
-SHAPE = "side string, id string, place string, region string, lo int, hi int, prec string, shape string, colour string, seconds double, feet double"
+SHAPE = "side string, id string, place string, region string, lo int, hi int, prec string, heads array<string>, colours array<string>, seconds array<double>, feet array<double>"
 
 
-def prepare(df: DataFrame, side: str, columns: dict[str, str], regions: list[tuple[str, str]]) -> DataFrame:
+def prepare(df: DataFrame, side: str, columns: dict[str, str], regions: list[tuple[str, str]], phrases: Phrases) -> DataFrame:
     """df in the common shape. columns: names of id, place, dated, title, account and optionally day, phrase, region, seconds, feet."""
     src = df.select(*(F.col(v).alias(k) for k, v in columns.items())).filter("id is not null")
     if "day" in columns:
@@ -191,8 +203,8 @@ def prepare(df: DataFrame, side: str, columns: dict[str, str], regions: list[tup
                 lo, hi, prec = read_span(form or day)
                 if not form and day and day.endswith("-01"):  # a day alone may be cut to its month, year or decade
                     lo, hi, prec = read_span(day[:7] if not day.endswith("-01-01") else day[:3] + "0s" if day[3] == "0" else day[:4])
-                shape, colour, s, f = read_account(title, account, phrase)
-                rows.append((side, i, p, r or fold(region or ""), lo, hi, prec, shape, colour, s if s == s else sec, f if f == f else ft))
+                heads, colours, s, f = read_account(title, account, phrases, phrase)
+                rows.append((side, i, p, r or fold(region or ""), lo, hi, prec, heads, colours, [sec] if sec == sec else s, [ft] if ft == ft else f))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SHAPE.split(", ")])
 
     return src.mapInPandas(run, SHAPE)
@@ -206,7 +218,10 @@ def shortened(word: str) -> list[str]:
 
 
 def settle_places(rows: DataFrame) -> DataFrame:
-    """rows, without those whose place lies in many regions, each rare place led to the most frequent one at most two edits away that is at least three times as frequent."""
+    """rows with columns spelt (the place as read) and sure: each rare place is led to the most frequent one at most two edits away that is at least three times as frequent.
+
+    sure is the share of a place's rows that lie in its commonest region: a name that lies everywhere tells little.
+    """
     counts = rows.filter("place <> ''").groupBy("place").agg(F.count(F.lit(1)).alias("n"))
 
     @F.pandas_udf("array<long>")
@@ -222,69 +237,69 @@ def settle_places(rows: DataFrame) -> DataFrame:
     near = near.filter("a <> b and nb >= 3 * na").select("a", "b", "na", "nb").distinct()
     near = near.withColumn("e", edits("a", "b")).filter("e <= 2")
     best = near.groupBy("a").agg(F.max_by("b", F.struct(-F.col("e"), "nb", "b")).alias("settled"))
-    rows = rows.join(best.select(F.col("a").alias("place"), "settled"), "place", "left").withColumn("place", F.coalesce("settled", "place")).drop("settled")
-    # a name that lies in many regions is no place
-    spread = rows.filter("place <> '' and region <> ''").groupBy("place", "region").agg(F.count(F.lit(1)).alias("n")).groupBy("place").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    vague = spread.filter("n >= 5 and most < 0.5 * n").select("place")
-    return rows.join(vague, "place", "left_anti")
-
-
-def _keys(mirror: bool) -> Column:
-    """Keys under which a row meets the other side: the time at the coarser precision of the two, or the object."""
-    d = F.date_add(F.lit("1970-01-01").cast("date"), F.col("lo"))
-    at = {"D": F.col("lo").cast("string"), "M": F.date_format(d, "yyyyMM"), "Y": F.year(d).cast("string"), "T": F.floor(F.year(d) / 10).cast("string")}
-    order = "DMYT"
-    keys = []
-    for own in order:
-        for other in order:
-            pair = (other + own) if mirror else (own + other)
-            level = max(own, other, key=order.index)
-            if own == other == "D":
-                days = [F.col("lo") - 1, F.col("lo"), F.col("lo") + 1] if mirror else [F.col("lo")]
-                keys += [F.when(F.col("prec") == own, F.concat(F.lit(pair), x.cast("string"))) for x in days]
-            else:
-                keys.append(F.when(F.col("prec") == own, F.concat(F.lit(pair), at[level])))
-    object_ = F.when(F.col("shape") != "", F.concat(F.lit("|"), F.col("shape")))
-    undated = F.col("prec") == ""
-    a, b = ("N1", "N2") if not mirror else ("N2", "N1")
-    keys += [F.when(undated, F.concat(F.lit(a), object_)), F.when(~undated, F.concat(F.lit(b), object_)), F.when(undated, F.concat(F.lit("N0"), object_))]
-    return F.filter(F.array(*keys), lambda x: x.isNotNull())
-
-
-FEATURES = ("f_region", "f_time", "f_object", "f_colour", "f_seconds", "f_feet")
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, contrast: bool = False) -> DataFrame:
-    """Pairs that agree on the place and could agree on the time, with their similarity vectors in [0, 1], UNKNOWN where a side tells nothing.
-
-    contrast: instead, pairs of one place whose decades differ, of one row a place, decade and side: what unmatched pairs look like.
+    rows = rows.withColumn("spelt", F.col("place")).join(best.select(F.col("a").alias("place"), "settled"), "place", "left").withColumn("place", F.coalesce("settled", "place")).drop("settled")
+    spread = rows.filter("place <> '' and region <> ''").groupBy("place", "region").agg(F.count(F.lit(1)).alias("n")).groupBy("place").agg((F.max("n") / F.sum("n")).alias("sure"))
+    return rows.join(spread, "place", "left").fillna(1.0, ["sure"])
+
+
+def _decades(days: int) -> Column:
+    """The decades that a row's span touches, give or take some days."""
+    at = lambda c: F.floor(F.year(F.date_add(F.lit("1970-01-01").cast("date"), c)) / 10)
+    return F.sequence(at(F.col("lo") - days), at(F.col("hi") + days))
+
+
+def _keys(days: int) -> Column:
+    """Keys under which a row meets the other side at its place: each decade that it may lie in; where a side has no date, a noun or a description that both tell."""
+    told = F.concat(F.transform("heads", lambda x: F.concat(F.lit("h"), x)), F.transform("colours", lambda x: F.concat(F.lit("c"), x)))
+    dated = F.when(F.col("prec") != "", F.transform(_decades(days), lambda x: F.concat(F.lit("t"), x.cast("string")))).otherwise(F.array().cast("array<string>"))
+    # N0: neither side has a date, N1: the left one has none, N2: the right one
+    own, other = ("N1", "N2") if days else ("N2", "N1")
+    undated = F.when(F.col("prec") == "", F.flatten(F.transform(told, lambda x: F.array(F.concat(F.lit("N0"), x), F.concat(F.lit(own), x))))).otherwise(F.transform(told, lambda x: F.concat(F.lit(other), x)))
+    return F.array_distinct(F.concat(dated, undated))
+
+
+FEATURES = ("f_place", "f_region", "f_time", "f_object", "f_colour", "f_seconds", "f_feet")
+#: Rows of one side that a task meets the other side's with; a place and time of more is spread over several tasks.
+SPREAD = 2000
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of one place that fall into one decade, or share a noun or description where a side has no date, with their similarity vectors in [0, 1], UNKNOWN where a side tells nothing.
+
+    Most pairs of one decade are of different sightings: they are what the mixture learns unmatched pairs from. The left
+    rows of a place and key are dealt out in groups of about SPREAD, and the right rows sent to each group, so no task holds a
+    hot place whole; no pair is left out.
     """
-    if contrast:
-        decade = F.floor(F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.col("lo"))) / 10)
-        one = lambda df: df.filter("place <> '' and prec <> ''").withColumn("t", decade).groupBy("place", "t").agg(F.max_by(F.struct(*df.columns), F.xxhash64("id")).alias("x")).select("x.*", "t")
-        others = F.filter(F.sequence(F.lit(190), F.lit(205)).cast("array<bigint>"), lambda x: x != F.col("t"))
-        l = one(left).withColumn("k", F.explode(others.cast("array<string>"))).drop("t")
-        r = one(right).withColumn("k", F.col("t").cast("string")).drop("t")
-    else:
-        l = left.filter("place <> ''").withColumn("k", F.explode(_keys(False)))
-        r = right.filter("place <> ''").withColumn("k", F.explode(_keys(True)))
-    names = ("id", "region", "lo", "hi", "prec", "shape", "colour", "seconds", "feet")
-    pairs = l.select("place", "k", *(F.col(c).alias(f"{c}_a") for c in names)).join(r.select("place", "k", *(F.col(c).alias(f"{c}_b") for c in names)), ["place", "k"])
-    text = lambda c: F.when((F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == ""), UNKNOWN).otherwise((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("double"))
-    known = lambda c: ~F.isnan(F.col(c)) & F.col(c).isNotNull()
-    both = lambda c: known(f"{c}_a") & known(f"{c}_b")
-    ratio = lambda c: F.least(f"{c}_a", f"{c}_b") / F.greatest(f"{c}_a", f"{c}_b", F.lit(1.0))
-    exact = (F.col("prec_a") == "D") & (F.col("prec_b") == "D")
-    coarse = F.greatest(*(F.when(F.col(f"prec_{s}") == "D", 0).when(F.col(f"prec_{s}") == "M", 1).when(F.col(f"prec_{s}") == "Y", 2).otherwise(3) for s in "ab"))
-    time = F.when((F.col("prec_a") == "") | (F.col("prec_b") == "") | (coarse == 3), UNKNOWN).when(exact & (F.col("lo_a") == F.col("lo_b")), 1.0).when(exact, 0.95).when(coarse == 1, 0.9).otherwise(0.8)
-    time = F.when((F.col("lo_a") > F.col("hi_b") + 1) | (F.col("lo_b") > F.col("hi_a") + 1), 0.0).otherwise(time) if contrast else time
+    names = ("id", "keys", "spelt", "sure", "region", "lo", "hi", "prec", "heads", "colours", "seconds", "feet")
+    l = left.filter("place <> ''").withColumn("keys", _keys(1)).withColumn("k", F.explode("keys"))
+    r = right.filter("place <> ''").withColumn("keys", _keys(0)).withColumn("k", F.explode("keys"))
+    hot = l.groupBy("place", "k").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("parts")).filter("parts > 1")
+    l = l.join(hot, ["place", "k"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    r = r.join(hot, ["place", "k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    pairs = l.select("place", "k", "part", *(F.col(c).alias(f"{c}_a") for c in names)).join(r.select("place", "k", "part", *(F.col(c).alias(f"{c}_b") for c in names)), ["place", "k", "part"])
+    # a pair that meets under several keys is made under the first
+    pairs = pairs.filter(F.col("k") == F.array_min(F.array_intersect("keys_a", "keys_b")))
+    none = lambda c: (F.size(f"{c}_a") == 0) | (F.size(f"{c}_b") == 0)
+    shared = lambda c: F.when(none(c), UNKNOWN).otherwise(F.arrays_overlap(f"{c}_a", f"{c}_b").cast("double"))
+    ratio = lambda c: F.when(none(c), UNKNOWN).otherwise(F.array_max(F.flatten(F.transform(f"{c}_a", lambda x: F.transform(f"{c}_b", lambda y: F.least(x, y) / F.greatest(x, y, F.lit(1.0)))))))
+    gap = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a"), F.lit(0))
+    width = F.greatest(F.col("hi_a") - F.col("lo_a"), F.col("hi_b") - F.col("lo_b"), gap) + 1
+    # compatible times tell the more, the narrower they are, and nothing as wide as the decade that all pairs share
+    time = (
+        F.when((F.col("prec_a") == "") | (F.col("prec_b") == ""), UNKNOWN).when(gap > 1, 0.5 - 0.5 * F.log(gap + 1.0) / F.log(F.lit(7306.0)))
+        .when(width > 366, UNKNOWN).otherwise(1.0 - 0.2 * F.log(width.cast("double")) / F.log(F.lit(366.0)))
+    )
+    longest = F.greatest(F.length("spelt_a"), F.length("spelt_b"))
+    region = F.when((F.col("region_a") == "") | (F.col("region_b") == ""), UNKNOWN).otherwise((F.col("region_a") == F.col("region_b")).cast("double"))
     return pairs.select(
-        F.col("id_a").alias("a"), F.col("id_b").alias("b"), text("region").alias("f_region"), time.alias("f_time"), F.when((F.col("prec_a") == "") | (F.col("prec_b") == ""), UNKNOWN).otherwise(text("shape")).alias("f_object"), text("colour").alias("f_colour"),
-        F.when(both("seconds"), ratio("seconds")).otherwise(UNKNOWN).alias("f_seconds"), F.when(both("feet"), ratio("feet")).otherwise(UNKNOWN).alias("f_feet"),
-        *(F.col(f"{c}_{s}") for s in "ab" for c in ("lo", "hi", "prec", "shape", "colour")),
+        F.col("id_a").alias("a"), F.col("id_b").alias("b"), ((1 - F.levenshtein("spelt_a", "spelt_b") / longest) * F.least("sure_a", "sure_b")).alias("f_place"), region.alias("f_region"), time.alias("f_time"),
+        shared("heads").alias("f_object"), shared("colours").alias("f_colour"), ratio("seconds").alias("f_seconds"), ratio("feet").alias("f_feet"),
+        F.when((F.col("prec_a") == "") | (F.col("prec_b") == ""), 0).when(time == UNKNOWN, 1).otherwise(2).alias("stratum"), *(F.col(f"{c}_{s}") for s in "ab" for c in ABOUT),
     )
 
 
+#: What of a row decides whether two partners of one row can be the same sighting.
+ABOUT = ("lo", "hi", "prec", "heads", "colours")
 #: A feature of which a side tells nothing; it has no part in the densities.
 UNKNOWN = -1.0
 
@@ -292,104 +307,110 @@ UNKNOWN = -1.0
 class Mixture:
     """Two Gaussians over similarity vectors, matched and unmatched, with regularised variances; unknown features are left out.
 
-    most: how far one feature may move the log odds of a pair (accounts differ in detail, so one contradiction in them must
-    not outweigh place and day); the features of `decisive` are not held.
+    most: how far any one feature may move the log odds of a pair: no feature decides against all others.
     """
 
-    def __init__(self, x: np.ndarray, n: np.ndarray, ridge: float = 0.05, most: float = 3.0, decisive: tuple[int, ...] = (1,)):
-        self.ridge = ridge
-        self.most = np.array([1e9 if i in decisive else most for i in range(x.shape[1])])
-        known = x >= 0
-        mean = np.where(known, x, 0).sum(1) / np.maximum(known.sum(1), 1)
-        self.m_step(x, n, (mean > 0.6).astype(float))
-
-    def m_step(self, x: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
-        """Weights, means and variances from vectors x that occur n times with posteriors g."""
-        known = x >= 0
-        parts = [n * g, n * (1 - g)]
-        self.weight = np.array([max(w.sum() / n.sum(), 1e-4) for w in parts])
-        all_ = np.maximum((known * n[:, None]).sum(0), 1e-9)
-        centre = (np.where(known, x, 0) * n[:, None]).sum(0) / all_
+    def __init__(self, sums: dict[str, float] | Row, ridge: float = 0.05, most: float = 6.0):
+        """From the sums of sufficient_sums() under some posteriors."""
+        self.most = most
+        at = lambda what: np.array([[float(sums[f"{what}{k}_{f}"] or 0.0) for f in FEATURES] for k in (0, 1)])
+        n, x, xx = at("n"), at("x"), at("xx")
+        w = np.array([float(sums["w0"] or 0.0), float(sums["w1"] or 0.0)])
+        self.weight = np.maximum(w / max(w.sum(), 1e-9), 1e-4)
         # one pseudo-count at the common mean
-        self.mu = np.array([((np.where(known, x, 0) * w[:, None]).sum(0) + centre) / ((known * w[:, None]).sum(0) + 1) for w in parts])
+        centre = x.sum(0) / np.maximum(n.sum(0), 1e-9)
+        self.mu = (x + centre) / (n + 1)
         # the distance of the means keeps a feature that hardly varies within a part from deciding alone
-        gap = self.ridge * (self.mu[0] - self.mu[1]) ** 2 + 2e-3
-        self.var = np.array([(np.where(known, (x - m) ** 2, 0) * w[:, None]).sum(0) / ((known * w[:, None]).sum(0) + 1) + gap for w, m in zip(parts, self.mu, strict=True)])
-
-    def posterior(self, x: np.ndarray) -> np.ndarray:
-        """Posterior of a match for each row of x."""
-        a, b = (-0.5 * ((x - m) ** 2 / v + np.log(v)) for m, v in zip(self.mu, self.var, strict=True))
-        odds = np.where(x >= 0, np.clip(b - a, -self.most, self.most), 0).sum(1) + np.log(self.weight[1] / self.weight[0])
-        return 1 / (1 + np.exp(np.clip(odds, -500, 500)))
-
-    def column(self, names: tuple[str, ...]) -> Column:
+        gap = ridge * (self.mu[0] - self.mu[1]) ** 2 + 2e-3
+        self.var = np.maximum(xx - 2 * self.mu * x + n * self.mu**2, 0) / (n + 1) + gap
+
+    def moves(self, value: Callable[[str], Column]) -> Column:
+        """Log odds of a match as a Catalyst expression."""
+        odds = F.lit(float(np.log(self.weight[0] / self.weight[1])))
+        for i, c in enumerate(FEATURES):
+            (m0, m1), (v0, v1), x = self.mu[:, i].tolist(), self.var[:, i].tolist(), value(c)
+            move = 0.5 * ((x - m1) * (x - m1) / v1 + float(np.log(v1)) - (x - m0) * (x - m0) / v0 - float(np.log(v0)))
+            odds = odds + F.when(x >= 0, F.greatest(F.lit(-self.most), F.least(F.lit(self.most), move))).otherwise(0.0)
+        return odds
+
+    def column(self) -> Column:
         """The posterior as a Catalyst expression."""
-        odds = F.lit(float(np.log(self.weight[1] / self.weight[0])))
-        for c, m0, m1, v0, v1, most in zip(names, *self.mu.tolist(), *self.var.tolist(), self.most.tolist(), strict=True):
-            x = F.col(c)
-            move = 0.5 * ((x - m0) * (x - m0) / v0 + float(np.log(v0)) - (x - m1) * (x - m1) / v1 - float(np.log(v1)))
-            odds = odds + F.when(x >= 0, F.greatest(F.lit(-most), F.least(F.lit(most), move))).otherwise(0.0)
-        return 1.0 / (1.0 + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
-
-
-def _transitive(pairs: DataFrame) -> DataFrame:
+        return 1.0 / (1.0 + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), -self.moves(F.col)))))
+
+    def likelihood(self, row: dict[str, float]) -> float:
+        """Posterior of one similarity vector."""
+        odds = np.log(self.weight[0] / self.weight[1])
+        for i, c in enumerate(FEATURES):
+            if (x := row[c]) >= 0:
+                d = (x - self.mu[:, i]) ** 2 / self.var[:, i] + np.log(self.var[:, i])
+                odds += np.clip(0.5 * (d[1] - d[0]), -self.most, self.most)
+        return float(1 / (1 + np.exp(np.clip(-odds, -500, 500))))
+
+
+def sufficient_sums(pairs: DataFrame, g: str) -> dict[int, Row]:
+    """By stratum, the sums that a maximisation step needs under the posteriors in column g: one row each, whatever the data."""
+    cols = [F.sum(F.col(g)).alias("w0"), F.sum(1 - F.col(g)).alias("w1")]
+    for f in FEATURES:
+        x = F.col(f)
+        for k, w in ((0, F.col(g)), (1, 1 - F.col(g))):
+            w = F.when(x >= 0, w)
+            cols += [F.sum(w).alias(f"n{k}_{f}"), F.sum(w * x).alias(f"x{k}_{f}"), F.sum(w * x * x).alias(f"xx{k}_{f}")]
+    return {r["stratum"]: r for r in pairs.groupBy("stratum").agg(*cols).collect()}
+
+
+def transitive(pairs: DataFrame) -> DataFrame:
     """pairs (a, b, post, ...) with posteriors that respect transitivity towards the best partner of each row.
 
-    If (a, b) and (a, c) match, b and c are the same; where their times exclude each other, or one has no date and their
-    objects differ, the weaker of the two pairs keeps only what the stronger leaves. The best partner is an aggregate with
+    If (a, b) and (a, c) match, b and c are the same; where their times exclude each other, or one has no date and what they
+    tell differs, the weaker of the two pairs keeps only what the stronger leaves. The best partner is an aggregate with
     partial maxima, joined back: the partners of a row are never gathered.
     """
     out = pairs
+    keep = F.lit(1.0)
     for own, other in (("a", "b"), ("b", "a")):
-        about = [F.col(f"{c}_{other}").alias(c) for c in ("shape", "colour", "lo", "hi", "prec")]
-        best = out.groupBy(own).agg(F.max_by(F.struct("post", other, *about), F.struct("post", other)).alias("best"))
-        j = out.join(best, own)
-        b = F.col("best")
+        about = [F.col(f"{c}_{other}").alias(c) for c in ABOUT]
+        best = pairs.groupBy(own).agg(F.max_by(F.struct("post", F.col(other).alias("id"), *about), F.struct("post", other)).alias(f"best_{own}"))
+        out = out.join(best, own)
+        b = F.col(f"best_{own}")
         mine = lambda c: F.col(f"{c}_{other}")  # noqa: B023, E731
-        clash = lambda c: (mine(c) != "") & (b[c] != "") & (mine(c) != b[c])  # noqa: B023, E731
+        clash = lambda c: (F.size(mine(c)) > 0) & (F.size(b[c]) > 0) & ~F.arrays_overlap(mine(c), b[c])  # noqa: B023, E731
         dated = (mine("prec") != "") & (b["prec"] != "")
         apart = dated & ((mine("lo") > b["hi"] + 1) | (b["lo"] > mine("hi") + 1))
-        conflict = (F.col(other) != b[other]) & (apart | (~dated & (F.col("f_time") < 0) & (clash("shape") | clash("colour"))))
-        out = j.withColumn("post", F.when(conflict, F.col("post") * (1 - b["post"])).otherwise(F.col("post"))).select(*pairs.columns)
-    return out
+        conflict = (F.col(other) != b["id"]) & (apart | (~dated & (clash("heads") | clash("colours"))))
+        keep = keep * F.when(conflict, 1 - b["post"]).otherwise(1.0)
+    return out.withColumn("post", F.col("post") * keep).select(*pairs.columns)
 
 
-def match(left: DataFrame, right: DataFrame, rounds: int = 2) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, rounds: int = 6) -> DataFrame:
     """(a, b, confidence): pairs of a row of left and a row of right (both from prepare()) with the posterior of a match.
 
+    Pairs whose times can be compared, pairs with a decade alone on a side, and pairs without a date on a side are three strata, each with its own mixture, because what they share already differs. Every round
+    is an expectation step with transitivity and a maximisation step; the first posteriors come from the mean similarity.
     Defined results: rows without a place match nothing (a date alone is no case), nor do rows of which one has no date and
-    one no object; of rows with one id any one counts; no pairs give an empty table. What is collected is a histogram of rounded
-    similarity vectors, at most 38,880 cells whatever the data.
+    one tells nothing of the thing seen; of rows with one id any one counts; no pairs give an empty table. What is collected
+    are three rows of sums a round, whatever the data.
     """
     spark = left.sparkSession
     root = scratch_dir(spark)
     read = written(left.unionByName(right).dropDuplicates(["side", "id"]), f"{root}/read")
     rows = written(settle_places(read), f"{root}/rows")
     drop_scratch(spark, f"{root}/read")
-    sides_of = (rows.filter("side = 'a'"), rows.filter("side = 'b'"))
-
-    def rounded(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c not in FEATURES]
-        return df.select(*rest, *((F.round(F.col(f) * 10, 0) / 10).alias(f) if f in ("f_seconds", "f_feet") else f for f in FEATURES))
-
-    def cells(df: DataFrame, g: Column) -> pd.DataFrame:
-        return df.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.avg(g).alias("g")).toPandas()
-
-    pairs = written(rounded(candidate_pairs(*sides_of)), f"{root}/pairs")
-    seen = cells(pairs, F.lit(0.0))
-    if not len(seen):
-        return pairs.select("a", "b", F.lit(0.0).alias("confidence")).limit(0)
-    apart = cells(rounded(candidate_pairs(*sides_of, contrast=True)), F.lit(0.0))
-    both = pd.concat([seen, apart])
-    x, n = both[list(FEATURES)].to_numpy(float), both["n"].to_numpy(float)
-    mix = Mixture(x, n)
-    for _ in range(40):
-        mix.m_step(x, n, mix.posterior(x))
-    for k in range(max(rounds, 1)):
-        scored = written(_transitive(pairs.withColumn("post", mix.column(FEATURES))), f"{root}/round{k}")
-        now = pd.concat([cells(scored, F.col("post")), apart.assign(g=mix.posterior(apart[list(FEATURES)].to_numpy(float)))])
-        mix.m_step(now[list(FEATURES)].to_numpy(float), now["n"].to_numpy(float), now["g"].to_numpy(float))
-    keep_only(spark, root, f"round{max(rounds, 1) - 1}")
-    # where a side has no date the description decides: its colour, or both measures
-    told = (F.col("f_colour") == 1) | ((F.col("f_colour") < 0) & (F.col("f_seconds") >= 0.9) & (F.col("f_feet") >= 0.9))
-    return scored.select("a", "b", F.when((F.col("f_time") < 0) & ~told, F.least("post", F.lit(0.49))).otherwise(F.col("post")).alias("confidence"))
+    pairs = written(candidate_pairs(rows.filter("side = 'a'"), rows.filter("side = 'b'")), f"{root}/pairs")
+    known = reduce(lambda s, f: s + F.when(F.col(f) >= 0, 1).otherwise(0), FEATURES, F.lit(0))
+    mean = reduce(lambda s, f: s + F.greatest(F.col(f), F.lit(0.0)), FEATURES, F.lit(0.0)) / known
+    scored = pairs.withColumn("post", (mean > FIRST_MEAN).cast("double"))
+    for _ in range(max(rounds, 1)):
+        mixtures = {k: Mixture(r) for k, r in sufficient_sums(scored, "post").items()}
+        if not mixtures:
+            return pairs.select("a", "b", F.lit(0.0).alias("confidence")).limit(0)
+        each = F.lit(0.0)
+        for k, m in mixtures.items():
+            each = F.when(F.col("stratum") == k, m.column()).otherwise(each)
+        scored = transitive(pairs.withColumn("post", each))
+    scored = written(scored.select("a", "b", F.col("post").alias("confidence")), f"{root}/scored")
+    keep_only(spark, root, "scored")
+    return scored
+
+
+#: Mean similarity from which a pair counts as matched before the first round.
+FIRST_MEAN = 0.75

@@ -139,8 +139,9 @@ def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of incidents and source records that could be one sighting, with the posterior of a match."""
     regions = [(r[0], r[1]) for r in fixed_rows(table(spark, d, "region_zones").select("region", "country"), 1000)]
-    left = matching.prepare(table(spark, d, "incidents"), "a", {"id": "case_id", "place": "location_text", "dated": "occurred_at_text", "day": "occurred_at", "title": "title", "account": "summary", "phrase": "shape_description", "region": "region", "seconds": "duration_seconds", "feet": "altitude_feet"}, regions)
-    right = matching.prepare(table(spark, d, "source_records"), "b", {"id": "identity_key", "place": "incident_location_hint", "dated": "incident_date_hint", "title": "title", "account": "description"}, regions)
+    phrases = matching.known_phrases(table(spark, d, "incidents"), "shape_description")
+    left = matching.prepare(table(spark, d, "incidents"), "a", {"id": "case_id", "place": "location_text", "dated": "occurred_at_text", "day": "occurred_at", "title": "title", "account": "summary", "phrase": "shape_description", "region": "region", "seconds": "duration_seconds", "feet": "altitude_feet"}, regions, phrases)
+    right = matching.prepare(table(spark, d, "source_records"), "b", {"id": "identity_key", "place": "incident_location_hint", "dated": "incident_date_hint", "title": "title", "account": "description"}, regions, phrases)
     return matching.match(left, right).select(F.col("a").alias("case_id"), F.col("b").alias("identity_key"), F.round("confidence", 4).alias("confidence"))
 
 
