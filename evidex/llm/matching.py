@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import reduce
 
@@ -249,13 +249,13 @@ def _decades(days: int) -> Column:
 
 
 def _keys(days: int) -> Column:
-    """Keys under which a row meets the other side at its place: each decade that it may lie in; where a side has no date, a noun or a description that both tell."""
+    """Keys (hashes of 64 bits) under which a row meets the other side at its place: each decade that it may lie in; where a side has no date, a noun or a description that both tell."""
     told = F.concat(F.transform("heads", lambda x: F.concat(F.lit("h"), x)), F.transform("colours", lambda x: F.concat(F.lit("c"), x)))
     dated = F.when(F.col("prec") != "", F.transform(_decades(days), lambda x: F.concat(F.lit("t"), x.cast("string")))).otherwise(F.array().cast("array<string>"))
     # N0: neither side has a date, N1: the left one has none, N2: the right one
     own, other = ("N1", "N2") if days else ("N2", "N1")
     undated = F.when(F.col("prec") == "", F.flatten(F.transform(told, lambda x: F.array(F.concat(F.lit("N0"), x), F.concat(F.lit(own), x))))).otherwise(F.transform(told, lambda x: F.concat(F.lit(other), x)))
-    return F.array_distinct(F.concat(dated, undated))
+    return F.array_distinct(F.transform(F.concat(dated, undated), lambda x: F.xxhash64("place", x)))
 
 
 FEATURES = ("f_place", "f_region", "f_time", "f_object", "f_colour", "f_seconds", "f_feet")
@@ -273,10 +273,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     names = ("id", "keys", "spelt", "sure", "region", "lo", "hi", "prec", "heads", "colours", "seconds", "feet")
     l = left.filter("place <> ''").withColumn("keys", _keys(1)).withColumn("k", F.explode("keys"))
     r = right.filter("place <> ''").withColumn("keys", _keys(0)).withColumn("k", F.explode("keys"))
-    hot = l.groupBy("place", "k").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("parts")).filter("parts > 1")
-    l = l.join(hot, ["place", "k"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    r = r.join(hot, ["place", "k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    pairs = l.select("place", "k", "part", *(F.col(c).alias(f"{c}_a") for c in names)).join(r.select("place", "k", "part", *(F.col(c).alias(f"{c}_b") for c in names)), ["place", "k", "part"])
+    hot = l.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("parts")).filter("parts > 1")
+    l = l.join(hot, "k", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    r = r.join(hot, "k", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    pairs = l.select("k", "part", *(F.col(c).alias(f"{c}_a") for c in names)).join(r.select("k", "part", *(F.col(c).alias(f"{c}_b") for c in names)), ["k", "part"])
     # a pair that meets under several keys is made under the first
     pairs = pairs.filter(F.col("k") == F.array_min(F.array_intersect("keys_a", "keys_b")))
     none = lambda c: (F.size(f"{c}_a") == 0) | (F.size(f"{c}_b") == 0)
@@ -289,17 +289,20 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         F.when((F.col("prec_a") == "") | (F.col("prec_b") == ""), UNKNOWN).when(gap > 1, 0.5 - 0.5 * F.log(gap + 1.0) / F.log(F.lit(7306.0)))
         .when(width > 366, UNKNOWN).otherwise(1.0 - 0.2 * F.log(width.cast("double")) / F.log(F.lit(366.0)))
     )
+    only = lambda c: F.when(F.size(c) == 1, F.hash(F.col(c)[0]))
+    about = lambda s: (F.when(F.col(f"prec_{s}") != "", F.col(f"lo_{s}")).alias(f"lo_{s}"), F.col(f"hi_{s}"), only(f"heads_{s}").alias(f"head_{s}"), only(f"colours_{s}").alias(f"colour_{s}"))
     longest = F.greatest(F.length("spelt_a"), F.length("spelt_b"))
     region = F.when((F.col("region_a") == "") | (F.col("region_b") == ""), UNKNOWN).otherwise((F.col("region_a") == F.col("region_b")).cast("double"))
     return pairs.select(
         F.col("id_a").alias("a"), F.col("id_b").alias("b"), ((1 - F.levenshtein("spelt_a", "spelt_b") / longest) * F.least("sure_a", "sure_b")).alias("f_place"), region.alias("f_region"), time.alias("f_time"),
         shared("heads").alias("f_object"), shared("colours").alias("f_colour"), ratio("seconds").alias("f_seconds"), ratio("feet").alias("f_feet"),
-        F.when((F.col("prec_a") == "") | (F.col("prec_b") == ""), 0).when(time == UNKNOWN, 1).otherwise(2).alias("stratum"), *(F.col(f"{c}_{s}") for s in "ab" for c in ABOUT),
+        F.when((F.col("prec_a") == "") | (F.col("prec_b") == ""), 0).when(time == UNKNOWN, 1).otherwise(2).alias("stratum"), *(x for s in "ab" for x in about(s)),
     )
 
 
-#: What of a row decides whether two partners of one row can be the same sighting.
-ABOUT = ("lo", "hi", "prec", "heads", "colours")
+#: What of a row decides whether two partners of one row can be the same sighting: its span (lo is null without a date), and hashes of
+#: its noun and description where it tells just one.
+ABOUT = ("lo", "hi", "head", "colour")
 #: A feature of which a side tells nothing; it has no part in the densities.
 UNKNOWN = -1.0
 
@@ -310,12 +313,12 @@ class Mixture:
     most: how far any one feature may move the log odds of a pair: no feature decides against all others.
     """
 
-    def __init__(self, sums: dict[str, float] | Row, ridge: float = 0.05, most: float = 6.0):
-        """From the sums of sufficient_sums() under some posteriors."""
+    def __init__(self, sums: dict[str, Row], ridge: float = 0.05, most: float = 6.0):
+        """From the sums of sufficient_sums() of one stratum under some posteriors."""
         self.most = most
-        at = lambda what: np.array([[float(sums[f"{what}{k}_{f}"] or 0.0) for f in FEATURES] for k in (0, 1)])
+        at = lambda what: np.array([[float(sums[f][f"{what}{k}"]) if f in sums else 0.0 for f in FEATURES] for k in (0, 1)])
         n, x, xx = at("n"), at("x"), at("xx")
-        w = np.array([float(sums["w0"] or 0.0), float(sums["w1"] or 0.0)])
+        w = np.array([float(sums["all"]["n0"]), float(sums["all"]["n1"])])
         self.weight = np.maximum(w / max(w.sum(), 1e-9), 1e-4)
         # one pseudo-count at the common mean
         centre = x.sum(0) / np.maximum(n.sum(0), 1e-9)
@@ -324,18 +327,20 @@ class Mixture:
         gap = ridge * (self.mu[0] - self.mu[1]) ** 2 + 2e-3
         self.var = np.maximum(xx - 2 * self.mu * x + n * self.mu**2, 0) / (n + 1) + gap
 
-    def moves(self, value: Callable[[str], Column]) -> Column:
-        """Log odds of a match as a Catalyst expression."""
-        odds = F.lit(float(np.log(self.weight[0] / self.weight[1])))
+    def odds(self) -> str:
+        """Log odds of a match as a SQL expression: of each known feature a parabola, held within the bound."""
+        terms = [f"{float(np.log(self.weight[0] / self.weight[1]))!r}D"]
         for i, c in enumerate(FEATURES):
-            (m0, m1), (v0, v1), x = self.mu[:, i].tolist(), self.var[:, i].tolist(), value(c)
-            move = 0.5 * ((x - m1) * (x - m1) / v1 + float(np.log(v1)) - (x - m0) * (x - m0) / v0 - float(np.log(v0)))
-            odds = odds + F.when(x >= 0, F.greatest(F.lit(-self.most), F.least(F.lit(self.most), move))).otherwise(0.0)
-        return odds
+            m, v = self.mu[:, i], self.var[:, i]
+            square = 0.5 * (1 / v[1] - 1 / v[0])
+            line = m[0] / v[0] - m[1] / v[1]
+            rest = 0.5 * (m[1] ** 2 / v[1] - m[0] ** 2 / v[0] + np.log(v[1] / v[0]))
+            terms.append(f"if({c} >= 0, greatest({-self.most}D, least({self.most}D, {float(rest)!r}D + {c} * ({float(line)!r}D + {c} * {float(square)!r}D))), 0D)")
+        return " + ".join(terms)
 
     def column(self) -> Column:
         """The posterior as a Catalyst expression."""
-        return 1.0 / (1.0 + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), -self.moves(F.col)))))
+        return F.expr(posterior(self.odds()))
 
     def likelihood(self, row: dict[str, float]) -> float:
         """Posterior of one similarity vector."""
@@ -347,45 +352,51 @@ class Mixture:
         return float(1 / (1 + np.exp(np.clip(-odds, -500, 500))))
 
 
-def sufficient_sums(pairs: DataFrame, g: str) -> dict[int, Row]:
-    """By stratum, the sums that a maximisation step needs under the posteriors in column g: one row each, whatever the data."""
-    cols = [F.sum(F.col(g)).alias("w0"), F.sum(1 - F.col(g)).alias("w1")]
-    for f in FEATURES:
-        x = F.col(f)
-        for k, w in ((0, F.col(g)), (1, 1 - F.col(g))):
-            w = F.when(x >= 0, w)
-            cols += [F.sum(w).alias(f"n{k}_{f}"), F.sum(w * x).alias(f"x{k}_{f}"), F.sum(w * x * x).alias(f"xx{k}_{f}")]
-    return {r["stratum"]: r for r in pairs.groupBy("stratum").agg(*cols).collect()}
+def posterior(odds: str) -> str:
+    """The probability of log odds, as a SQL expression."""
+    return f"1 / (1 + exp(-greatest(-500D, least(500D, {odds}))))"
+
+
+def sufficient_sums(pairs: DataFrame, g: str) -> dict[int, dict[str, Row]]:
+    """By stratum and feature (and 'all'), the sums that a maximisation step needs under the posteriors in column g: at most 24 rows, whatever the data."""
+    cells = ", ".join(f"named_struct('f', '{f}', 'x', {f})" for f in FEATURES)
+    rows = pairs.selectExpr("stratum", f"{g} as g", f"inline(array(named_struct('f', 'all', 'x', 1D), {cells}))").filter("x >= 0")
+    sums = [F.expr(f"sum({w} * {x})").alias(f"{n}{k}") for k, w in ((0, "g"), (1, "(1 - g)")) for n, x in (("n", "1D"), ("x", "x"), ("xx", "x * x"))]
+    out: dict[int, dict[str, Row]] = {}
+    for r in rows.groupBy("stratum", "f").agg(*sums).collect():
+        out.setdefault(r["stratum"], {})[r["f"]] = r
+    return out
 
 
 def transitive(pairs: DataFrame) -> DataFrame:
     """pairs (a, b, post, ...) with posteriors that respect transitivity towards the best partner of each row.
 
     If (a, b) and (a, c) match, b and c are the same; where their times exclude each other, or one has no date and what they
-    tell differs, the weaker of the two pairs keeps only what the stronger leaves. The best partner is an aggregate with
-    partial maxima, joined back: the partners of a row are never gathered.
+    tell differs, the weaker of the two pairs keeps only what the stronger leaves. The best partner is an aggregate,
+    joined back: the partners of a row are never gathered.
     """
     out = pairs
     keep = F.lit(1.0)
     for own, other in (("a", "b"), ("b", "a")):
+        out = out.repartition(own)  # serves the aggregate and the join
         about = [F.col(f"{c}_{other}").alias(c) for c in ABOUT]
-        best = pairs.groupBy(own).agg(F.max_by(F.struct("post", F.col(other).alias("id"), *about), F.struct("post", other)).alias(f"best_{own}"))
+        best = out.groupBy(own).agg(F.max_by(F.struct("post", F.col(other).alias("id"), *about), F.struct("post", other)).alias(f"best_{own}"))
         out = out.join(best, own)
         b = F.col(f"best_{own}")
         mine = lambda c: F.col(f"{c}_{other}")  # noqa: B023, E731
-        clash = lambda c: (F.size(mine(c)) > 0) & (F.size(b[c]) > 0) & ~F.arrays_overlap(mine(c), b[c])  # noqa: B023, E731
-        dated = (mine("prec") != "") & (b["prec"] != "")
-        apart = dated & ((mine("lo") > b["hi"] + 1) | (b["lo"] > mine("hi") + 1))
-        conflict = (F.col(other) != b["id"]) & (apart | (~dated & (clash("heads") | clash("colours"))))
+        apart = (mine("lo") > b["hi"] + 1) | (b["lo"] > mine("hi") + 1)
+        clash = F.coalesce(mine("head") != b["head"], F.lit(False)) | F.coalesce(mine("colour") != b["colour"], F.lit(False))
+        conflict = (F.col(other) != b["id"]) & F.coalesce(apart, clash)
         keep = keep * F.when(conflict, 1 - b["post"]).otherwise(1.0)
     return out.withColumn("post", F.col("post") * keep).select(*pairs.columns)
 
 
-def match(left: DataFrame, right: DataFrame, rounds: int = 6) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, rounds: int = 4, in_play: float = 0.01) -> DataFrame:
     """(a, b, confidence): pairs of a row of left and a row of right (both from prepare()) with the posterior of a match.
 
     Pairs whose times can be compared, pairs with a decade alone on a side, and pairs without a date on a side are three strata, each with its own mixture, because what they share already differs. Every round
-    is an expectation step with transitivity and a maximisation step; the first posteriors come from the mean similarity.
+    is an expectation step with transitivity and a maximisation step; the first posteriors come from the mean similarity. A pair
+    whose posterior is under in_play rules nothing out and has next to nothing to lose, and is left out of the transitive step.
     Defined results: rows without a place match nothing (a date alone is no case), nor do rows of which one has no date and
     one tells nothing of the thing seen; of rows with one id any one counts; no pairs give an empty table. What is collected
     are three rows of sums a round, whatever the data.
@@ -403,10 +414,9 @@ def match(left: DataFrame, right: DataFrame, rounds: int = 6) -> DataFrame:
         mixtures = {k: Mixture(r) for k, r in sufficient_sums(scored, "post").items()}
         if not mixtures:
             return pairs.select("a", "b", F.lit(0.0).alias("confidence")).limit(0)
-        each = F.lit(0.0)
-        for k, m in mixtures.items():
-            each = F.when(F.col("stratum") == k, m.column()).otherwise(each)
-        scored = transitive(pairs.withColumn("post", each))
+        each = F.expr("case stratum " + " ".join(f"when {k} then {posterior(m.odds())}" for k, m in mixtures.items()) + " end")
+        every = pairs.withColumn("post", each)
+        scored = transitive(every.filter(F.col("post") >= in_play)).unionByName(every.filter(F.col("post") < in_play))
     scored = written(scored.select("a", "b", F.col("post").alias("confidence")), f"{root}/scored")
     keep_only(spark, root, "scored")
     return scored
