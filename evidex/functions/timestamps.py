@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from functools import lru_cache
@@ -69,16 +70,26 @@ def military_offset(letter: str) -> int | None:
 
 @dataclass(frozen=True)
 class ZoneTable:
-    """Offsets of one zone in minutes: offsets[i] holds for local time from local[i - 1] on (minutes since 1970)."""
+    """Offsets of one zone in minutes: offsets[i] holds for local time from local[i - 1] on (minutes since 1970).
+
+    The table covers [first, last); civil times outside are asked of the tz database one by one.
+    """
 
     zone: str
     version: str
     local: np.ndarray
     offsets: np.ndarray
+    first: int
+    last: int
 
     def to_utc(self, minutes: np.ndarray) -> np.ndarray:
         """Civil to UTC minutes. A repeated time is the earlier one; a skipped time moves forward by the gap."""
-        return minutes - self.offsets[np.searchsorted(self.local, minutes, side="right")]
+        out = minutes - self.offsets[np.searchsorted(self.local, minutes, side="right")]
+        for i in np.flatnonzero((minutes < self.first + 1440) | (minutes >= self.last - 1440)):
+            with suppress(OverflowError):  # years that no calendar of the database has keep the offset at the edge
+                civil = datetime(1970, 1, 1) + timedelta(minutes=int(minutes[i]))
+                out[i] = minutes[i] - round(civil.replace(tzinfo=ZoneInfo(self.zone)).utcoffset().total_seconds() / 60)
+        return out
 
 
 def tz_version() -> str:
@@ -101,7 +112,7 @@ def tz_version() -> str:
 
 @lru_cache(maxsize=None)
 def zone_table(zone: str, first: int = 1926, last: int = 2028) -> ZoneTable | None:
-    """Transition table of an IANA zone, read day by day and refined to the minute; None for an unknown zone."""
+    """Transition table of an IANA zone for the years from first to last, read day by day and refined to the minute; None for an unknown zone."""
     try:
         z = ZoneInfo(zone)
     except Exception:  # noqa: BLE001  (bad keys raise several kinds)
@@ -124,7 +135,7 @@ def zone_table(zone: str, first: int = 1926, last: int = 2028) -> ZoneTable | No
             local.append(hi + max(prev, now))
             offs.append(now)
             prev = now
-    return ZoneTable(zone, tz_version(), np.array(local, dtype=np.int64), np.array(offs, dtype=np.int64))
+    return ZoneTable(zone, tz_version(), np.array(local, dtype=np.int64), np.array(offs, dtype=np.int64), a, b)
 
 
 # --- tokens and masks -------------------------------------------------------------------------------------------------

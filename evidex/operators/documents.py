@@ -64,20 +64,8 @@ def split_pages(df: DataFrame, text: str, page: str = "page", body: str = "body"
     return d.filter("__i > 0 or (__n = 1 and " + f"{body} <> '')").drop("__i", "__p", "__n")
 
 
-# Cues of index slips, memoranda, observations, press pages, dates and places on historical pages.
-CUES = {
-    "routing": r"(?i)\b(search slip|indices search|indice[s]? search|chief clerk|fd-?\s*160|fd-?\s*110|exact spelling|subversive references|declassification authority)\b",
-    "memo": r"(?i)\b(office memorandum|memorandum|united states government|telephonically|advised this office|advised on the above|to\s*:?\s*sac)\b",
-    "observation": r"(?i)\b(unidentified(?:\s+(?:flying|aerial))?|sighted|sighting|flying object|observed|saw (?:an? |the )?(?:object|ufo|lights?)|flying saucer|objects in the sky)\b",
-    "press": r"(?i)\b(flying saucer clubs|official journal|new york times|national convention|afsca|amalgamated flying|newspaper|magazine|martian|spacemen|telepathy|staff writer|serialized|columbia basin|herald|tribune|gazette|docid:\s*\d+)\b|\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday),\s+[a-z]+\s+\d{1,2},\s+19\d{2}\b",
-    "date": r"(?i)\b(\d{1,2}/\d{1,2}/\d{2,4}|19[4-6]\d|january|february|march|april|may|june|july|august|september|october|november|december)\b",
-    "place": r"(?i)\b(newark|new jersey|n\.\s?j\.|glen ridge|nutley|union)\b",
-}
-
-
-def page_signals(df: DataFrame, body: str, cues: dict[str, str] | None = None) -> DataFrame:
-    """df with counts of cues on a page, scores and route: skip_empty, skip_routing, skip_press, narrative or uncertain, by the first that holds."""
-    cues = cues or CUES
+def page_signals(df: DataFrame, body: str, cues: dict[str, str]) -> DataFrame:
+    """df with counts of cues (patterns named routing, memo, observation, press, date and place) on a page, scores and route: skip_empty, skip_routing, skip_press, narrative or uncertain, by the first that holds."""
     b = F.coalesce(F.col(body), F.lit(""))
     n = {k: F.regexp_count(b, F.lit(p)) for k, p in cues.items()}
     df = df.withColumns({f"{k}_hits": v for k, v in n.items()} | {"text_chars": F.length(strip(b))})

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.text import fold_excerpt, ratio, ratio_bound, tokens
+from evidex.functions.text import fold_excerpt, ratio, tokens
+from evidex.session import keep_only, scratch_dir, written
 
 
 def cascade(left: DataFrame, right: DataFrame, id_l: str, id_r: str, keys: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -29,13 +30,46 @@ def cascade(left: DataFrame, right: DataFrame, id_l: str, id_r: str, keys: list[
     return full.select(F.col("__l").alias(id_l), F.col("__r").alias(id_r), F.coalesce("level", F.lit("none")).alias("level"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-def exclusive(matches: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
-    """matches in which each right row serves one left row: the first in order, at its level; the others lose it."""
-    from evidex.operators.relational import first_per
+def reconcile(left: DataFrame, right: DataFrame, id_l: str, id_r: str, position: str, keys: list[tuple[str, Column, Column, str]]) -> DataFrame:
+    """(left id, right id, level, candidates): 1:1 matches by the keys in order; each right row serves the first left row (by position) that claims it.
 
-    got = first_per(matches.filter(F.col(right).isNotNull()), [right], [*order, left])
-    lost = matches.join(got.select(left), left, "left_anti").withColumn(right, F.lit(None).cast(dict(matches.dtypes)[right]))
-    return got.unionByName(lost)
+    keys: (level, expression on left, expression on right, mode). A left row takes the right row of the first key that settles it: with
+    mode 'free' the only one that no earlier left row took, with 'unique' one that has its key for itself and is free. It is 'ambiguous' and takes none
+    where several are free ('free'), or several have the key ('unique'). 'last' is 'unique', but ambiguous only where several are free. What one pass in
+    order of the positions gives, decided round by round: a row is decided when no undecided row before it shares a candidate
+    with it. Blank keys find nothing; positions are distinct.
+    """
+    spark, root = left.sparkSession, scratch_dir(left.sparkSession)
+    frames = []
+    for i, (level, a, b, mode) in enumerate(keys):
+        x = left.select(F.col(id_l).alias("l"), F.col(position).alias("p"), a.alias("k")).filter("k is not null and k <> ''").distinct()
+        y = right.select(F.col(id_r).alias("r"), b.alias("k")).filter("k is not null and k <> ''").distinct()
+        y = y.join(y.groupBy("k").agg(F.count(F.lit(1)).alias("total")), "k")
+        if mode == "unique":  # a key of several rows needs none of them
+            y = y.withColumn("r", F.when(F.col("total") == 1, F.col("r"))).distinct()
+        frames.append(x.join(y, "k").select("l", "p", "r", "total", F.lit(i).alias("i"), F.lit(level).alias("level"), F.lit(mode).alias("mode")))
+    hits = written(reduce(DataFrame.unionByName, frames), f"{root}/h0")
+    done: DataFrame | None = None
+    n = 0
+    while not hits.isEmpty():
+        turn = hits.filter("r is not null").groupBy("r").agg(F.min("p").alias("turn"))
+        ready = hits.join(turn, "r", "left").groupBy("l").agg(F.bool_and(F.coalesce(F.col("p") == F.col("turn"), F.lit(True))).alias("ready")).filter("ready").select("l")
+        per = hits.join(ready, "l").groupBy("l", "i", "level", "mode", "total").agg(F.count_distinct("r").alias("free"), F.min("r").alias("r"))
+        found = (F.col("free") == 1) & ((F.col("mode") == "free") | (F.col("total") == 1))
+        several = (F.col("free") > 1) | ((F.col("mode") == "unique") & (F.col("total") > 1))
+        per = per.filter(found | several).select("l", "i", F.struct(F.when(found, F.col("level")).otherwise("ambiguous").alias("level"), F.greatest("free", F.when(F.col("mode") == "unique", F.col("total")).otherwise(0)).alias("candidates"), F.when(found, F.col("r")).alias("r")).alias("b"))
+        best = per.groupBy("l").agg(F.min_by("b", "i").alias("b"))
+        new = written(ready.join(best, "l", "left").select("l", "b.level", "b.candidates", "b.r"), f"{root}/d{n}")
+        done = new if done is None else done.unionByName(new)
+        n += 1
+        hits = written(hits.join(new.select("l"), "l", "left_anti").join(new.filter("r is not null").select("r"), "r", "left_anti"), f"{root}/h{n}")
+    full = left.select(F.col(id_l).alias("l")).distinct()
+    if done is None:
+        kind = dict(right.dtypes)[id_r]
+        return full.select(F.col("l").alias(id_l), F.lit(None).cast(kind).alias(id_r), F.lit("none").alias("level"), F.lit(0).cast("long").alias("candidates"))
+    keep_only(spark, root, *(f"d{i}" for i in range(n)))
+    full = full.join(done, "l", "left")
+    return full.select(F.col("l").alias(id_l), F.col("r").alias(id_r), F.coalesce("level", F.lit("none")).alias("level"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 def token_pairs(a: DataFrame, b: DataFrame, id_: str, text: str, least: int, stop: tuple[str, ...] = (), length: int = 2) -> DataFrame:
@@ -55,34 +89,64 @@ def token_pairs(a: DataFrame, b: DataFrame, id_: str, text: str, least: int, sto
     return pairs.filter(F.col("shared") >= least).distinct()
 
 
-def similar_in_group(df: DataFrame, id_: str, group: list[str], text: str, least: float, shortest: int = 1, overlap: float = 0.5) -> DataFrame:
-    """(a, b, ratio), a < b: pairs of one group whose folded texts have at least the ratio `least` and share, of their distinct
-    words, at least `overlap` of the union.
+def similar_texts(texts: DataFrame, group: list[str], least: float, overlap: float = 0.3) -> DataFrame:
+    """(group, ka, kb, ta, tb, ab, ba): pairs of distinct texts (columns of the group, k, t; k names a text) of one group with a ratio of at least `least` in one of the two orders.
 
-    Texts of a group are never paired as a whole: distinct texts meet only under one of their rarest words (prefix filtering,
-    which loses no pair with that overlap), and pairs that their lengths rule out are not compared. Rows of one text
-    are tied to the smallest id among them, which alone stands for the text in pairs with other texts.
+    ab is the ratio of (ta, tb), ba that of (tb, ta). Texts meet only under one of their rarest words and must share, of
+    their distinct words, at least `overlap` of the union (prefix filtering, which loses no pair with that overlap; 0.3 admits a
+    changed letter in about every second word). Only keys are joined under words; texts are fetched for the pairs that are left.
     """
-    d = df.select(F.col(id_).alias("id"), *group, fold_excerpt(text).alias("t")).filter(F.length("t") >= shortest)
-    texts = d.select(*group, "t").distinct().withColumn("k", F.xxhash64(*group, "t"))
-    words = texts.select(*group, "k", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    df_ = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ordered = words.join(df_, "w").groupBy(*group, "k", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))  # the words of one text
+    words = texts.select(*group, "k", F.length("t").alias("n"), F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    count = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    ordered = words.join(count, "w").groupBy(*group, "k", "n").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("ws"))  # the words of one text
     size = F.size("ws")
-    # a pair with Jaccard overlap o shares a word among the first n - ceil(o * n) + 1 of either in rarity order
-    index = ordered.select(*group, "k", "t", F.explode(F.slice("ws", F.lit(1), (size - F.ceil(size * overlap) + 1).cast("int"))).alias("w"), F.transform("ws", lambda x: x["w"]).alias("all"))
-    x = index.select(*group, "w", F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("all").alias("wa"))
-    y = index.select(*group, "w", F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("all").alias("wb"))
+    # a pair with Jaccard overlap o shares a word among the first n - ceil(o * n) + 1 of either in rarity order, and at least
+    # o / (1 + o) of the two sizes together
+    index = ordered.select(*group, "k", "n", size.alias("m"), F.explode(F.slice("ws", F.lit(1), (size - F.ceil(size * overlap) + 1).cast("int"))["w"]).alias("w"))
+    side = lambda x: index.select(*group, "w", *(F.col(c).alias(f"{c}{x}") for c in ("k", "n", "m")))
+    bound = 2 * F.least("na", "nb") / F.greatest(F.col("na") + F.col("nb"), F.lit(1)) >= least
+    near = side("a").join(side("b"), [*group, "w"]).filter((F.col("ka") < F.col("kb")) & bound & (F.least("ma", "mb") >= overlap * F.greatest("ma", "mb")))
+    near = near.select("ka", "kb").distinct()
+    full = texts.select(*group, "k", "t", F.array_distinct(F.split("t", " ")).alias("all"))
+    both = near.join(full.select(*group, F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("all").alias("wa")), "ka").join(full.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("all").alias("wb")), "kb")
     same = F.size(F.array_intersect("wa", "wb"))
-    near = x.join(y, [*group, "w"]).filter((F.col("ka") < F.col("kb")) & (ratio_bound("ta", "tb") >= least) & (same >= overlap * (F.size("wa") + F.size("wb") - same)))
-    near = near.select(*group, "ta", "tb").distinct()
-    first = d.groupBy(*group, "t").agg(F.min("id").alias("rep"))
-    other = near.join(first.select(*group, F.col("t").alias("ta"), F.col("rep").alias("a")), [*group, "ta"]).join(first.select(*group, F.col("t").alias("tb"), F.col("rep").alias("b")), [*group, "tb"])
-    copies = d.join(first, [*group, "t"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("t").alias("ta"), F.col("t").alias("tb"))
-    pairs = other.select("a", "b", "ta", "tb").unionByName(copies)
+    both = both.filter(same >= overlap * (F.size("wa") + F.size("wb") - same)).select(*group, "ka", "kb", "ta", "tb")
+    scored = both.select("*", F.round(ratio("ta", "tb"), 6).alias("ab"), F.round(ratio("tb", "ta"), 6).alias("ba"))
+    return scored.filter((F.col("ab") >= least) | (F.col("ba") >= least))
+
+
+def similar_in_group(df: DataFrame, id_: str, group: list[str], text: str, least: float, shortest: int = 1, overlap: float = 0.3) -> DataFrame:
+    """(a, b, ratio), a < b: pairs of one group whose folded texts have at least the ratio `least`; see similar_texts() for the overlap.
+
+    Rows of one text are tied to the smallest id among them, which alone stands for the text in pairs with other texts.
+    """
+    d = df.select(F.col(id_).alias("id"), *group, fold_excerpt(text).alias("t")).filter(F.length("t") >= shortest).withColumn("k", F.xxhash64(*group, "t"))
+    first = d.groupBy(*group, "k", "t").agg(F.min("id").alias("rep"))
+    near = similar_texts(first.select(*group, "k", "t"), group, least, overlap)
+    rep = lambda x: first.select(F.col("k").alias(f"k{x}"), F.col("rep").alias(x))
+    other = near.join(rep("a"), "ka").join(rep("b"), "kb")
+    swap = F.col("a") > F.col("b")
+    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("ba")).otherwise(F.col("ab")).alias("ratio")).filter(F.col("ratio") >= least)
+    copies = d.join(first.select("k", "rep"), "k").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+    return other.unionByName(copies).distinct()
+
+
+def similar_across(df: DataFrame, id_: str, apart: str, text: str, least: float, shortest: int = 1, overlap: float = 0.3) -> DataFrame:
+    """(a, b, ratio), a < b: pairs of rows of different values of the column `apart` (none null) whose folded texts have at least the ratio `least`.
+
+    Rows with one text and one value are tied to the smallest id among them, and a text that several values have to its
+    smallest id of all: each other value's row is paired with that one only.
+    """
+    d = df.select(F.col(id_).alias("id"), F.col(apart).alias("v"), fold_excerpt(text).alias("t")).filter((F.length("t") >= shortest) & F.col("v").isNotNull()).withColumn("k", F.xxhash64("t"))
+    first = d.groupBy("k", "t", "v").agg(F.min("id").alias("rep"))
+    heads = first.groupBy("k", "t").agg(F.min(F.struct("rep", "v")).alias("h"))
+    near = similar_texts(heads.select("k", "t"), [], least, overlap)
+    side = lambda x: heads.select(F.col("k").alias(f"k{x}"), F.col("h.rep").alias(x), F.col("h.v").alias(f"v{x}"))
+    other = near.join(side("a"), "ka").join(side("b"), "kb").filter("va <> vb")
     swap = F.col("a") > F.col("b")
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("ta"), F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("tb")).distinct()
-    return pairs.select("a", "b", F.round(F.when(F.col("ta") == F.col("tb"), F.lit(1.0)).otherwise(ratio("ta", "tb")), 6).alias("ratio")).filter(F.col("ratio") >= least)
+    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("ba")).otherwise(F.col("ab")).alias("ratio")).filter(F.col("ratio") >= least)
+    copies = first.join(heads.select("k", "h"), "k").filter("v <> h.v").select(F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("ratio"))
+    return other.unionByName(copies).distinct()
 
 
 def ladder(rules: list[tuple[str, Column]], default: str) -> Column:

@@ -64,15 +64,14 @@ def precedence_union(frames: list[DataFrame], key: str, position: str) -> DataFr
     return first_per(u, [key], ["__p", position]).drop("__p")
 
 
-def prefer(df: DataFrame, key: str, preferred: Column, position: str, losers: str | None = None, what: str | None = None) -> DataFrame:
-    """One row for each key: a preferred one if there is any, else (and among those) the last by position; losers: a column for the others' `what`."""
-    order = [preferred.cast("int").desc(), F.col(position).desc()]
-    won = first_per(df, [key], order)
-    if not losers:
-        return won
-    ranked = df.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    rest = ranked.filter("__rn > 1").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", what))), lambda x: x[what]), "|").alias(losers))
-    return won.join(rest, key, "left")
+def prefer(df: DataFrame, key: str, preferred: Column, position: str, others: str | None = None) -> DataFrame:
+    """One row for each key: a preferred one if there is any, else (and among those) the last by position; others: a column for the number of the rest.
+
+    An aggregate with partial maxima: the rows of a key are never gathered.
+    """
+    order = F.struct(F.coalesce(preferred.cast("int"), F.lit(0)), F.col(position))
+    won = df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), order).alias("__w"), (F.count(F.lit(1)) - 1).alias("__n"))
+    return won.select(key, "__w.*", *([F.col("__n").alias(others)] if others else []))
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -118,17 +117,6 @@ def episodes(df: DataFrame, keys: list[str], order: list[str], starts: Column) -
     return df.withColumn("__s", s).withColumn("episode", F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__s")
 
 
-def shared_tokens(a: DataFrame, b: DataFrame, token: str = "token") -> DataFrame:
-    """(a, b, shared): how many tokens each pair of ids shares; a and b have columns id and token, each token once an id."""
-    x, y = a.select(F.col("id").alias("a"), token), b.select(F.col("id").alias("b"), token)
-    return x.join(y, token).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def best_match(pairs: DataFrame, left: str, score: str, right: str) -> DataFrame:
-    """The partner with the highest score for each left; of equal scores the smallest partner."""
-    return pairs.groupBy(left).agg(F.max_by(F.struct(score, right), F.struct(F.col(score), -F.col(right) if dict(pairs.dtypes)[right] in ("bigint", "int") else F.lit(0))).alias("__b")).select(left, f"__b.{right}", f"__b.{score}")
-
-
 def ring_offsets(df: DataFrame, keys: list[str], order: list[str], radius: float = 0.04, degrees: float = 60.0) -> DataFrame:
     """df with dx and dy: the k-th row of a key stands on a ring at k times an angle, the first in the middle."""
     k = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1

@@ -142,15 +142,26 @@ def doc14(t):
 
 
 def _quotes(t):
+    """Distinct incidents beside the text of their file, which is taken once for each file."""
     i = t("incidents").select("case_id", "source_file_id", "title", "summary", "raw_excerpt").distinct()
-    f = t("source_files").select(F.col("id").alias("source_file_id"), T.quote_form("ocr_text").alias("src")).distinct()
+    f = t("source_files").filter("ocr_text is not null").select(F.col("id").alias("source_file_id"), "ocr_text").dropDuplicates(["source_file_id"])
+    f = f.select("source_file_id", T.quote_form("ocr_text").alias("src"))
     return i.join(f, "source_file_id").withColumn("form", T.quote_form("raw_excerpt"))
 
 
-@add("EVD-01")
+def _form(c):
+    return rf"""regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(replace(coalesce({c},''),chr(173),''),'---\s*PAGE\s+\d+\s*---',' ','g'),'([A-Za-z])-\s+([A-Za-z])','\1\2','g'))),'\s+',' ','g'),'\s+([.,;:!?])','\1','g')"""
+
+
+_GATE = f"""i AS (SELECT DISTINCT case_id, source_file_id, title, summary, raw_excerpt, {_form('raw_excerpt')} AS e FROM incidents), f AS (SELECT id, {_form('max(ocr_text)')} AS s FROM source_files WHERE ocr_text IS NOT NULL GROUP BY 1),
+q AS (SELECT i.*, s, length(trim(coalesce(raw_excerpt,'')))<20 AS short, contains(s,e) AS inside, list_distinct(list_filter(string_split(e,' '), lambda x: x<>'')) AS ws FROM i JOIN f ON f.id=source_file_id),
+g AS (SELECT *, CASE WHEN short THEN 'short' WHEN NOT (inside OR (len(ws)>0 AND len(list_filter(range(0, length(s)-length(e), 100), lambda k: len(list_filter(ws, lambda x: contains(' '||substr(s,k+1,length(e)+200)||' ', ' '||x||' ')))>=0.9*len(ws)))>0)) THEN 'absent' WHEN trim(coalesce(title,''))='' OR trim(coalesce(summary,''))='' THEN 'incomplete' ELSE 'ok' END AS gate FROM q)"""
+
+
+@add("EVD-01", f"WITH {_GATE} SELECT case_id, gate FROM g")
 def evd01(t):
     """Quote gate of incidents against the text of their files: containment in SQL, the window rule in Arrow."""
-    return E.quote_gate(_quotes(t), "raw_excerpt", "form", "src", ["title", "summary"]).groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
+    return E.quote_gate(_quotes(t), "raw_excerpt", "form", "src", ["title", "summary"]).select("case_id", "gate")
 
 
 _SUFF = r"""CASE WHEN length(e)<80 THEN 'excerpt_too_short_for_claim' WHEN len(regexp_extract_all(e,'[A-Za-z0-9'']+'))<12 THEN 'excerpt_too_few_words' WHEN NOT regexp_matches(e,'(?i)\b(observ|sight|witness|report|appear|detect|radar|sensor|object|craft|phenomenon|fireball|light|unidentified|uap|ufo|aircraft|flew|hover|altitude|visual|contact)\w*\b') THEN 'excerpt_lacks_observation_language'
@@ -162,22 +173,26 @@ def evd02(t):
     return t("incidents").select("case_id", E.sufficiency("raw_excerpt", "title").alias("verdict"))
 
 
-@add("EVD-03", f"SELECT case_id, CASE WHEN length(trim(coalesce(raw_excerpt,'')))<100 THEN 'quote_rejected' WHEN v<>'ok' THEN 'insufficient' ELSE 'accepted' END AS outcome FROM (SELECT case_id, raw_excerpt, {_SUFF} AS v FROM (SELECT case_id, title, raw_excerpt, trim(coalesce(raw_excerpt,'')) AS e FROM incidents))")
+@add("EVD-03", f"WITH {_GATE} SELECT case_id, CASE WHEN gate<>'ok' THEN 'quote_rejected' WHEN v<>'ok' THEN 'insufficient' ELSE 'accepted' END AS outcome, CASE WHEN gate<>'ok' THEN 'quote_validation_failed' WHEN v<>'ok' THEN v END AS reason FROM (SELECT case_id, gate, {_SUFF} AS v FROM (SELECT case_id, title, raw_excerpt, gate, trim(coalesce(raw_excerpt,'')) AS e FROM g))")
 def evd03(t):
-    gate = F.when(F.length(F.trim(F.coalesce("raw_excerpt", F.lit("")))) < 100, "short").otherwise("ok")
-    return t("incidents").select("case_id", E.outcome(gate, E.sufficiency("raw_excerpt", "title")).alias("outcome"))
+    """Accepted, quote rejected or insufficient, with the reason: the quote gate decides first."""
+    g = E.quote_gate(_quotes(t), "raw_excerpt", "form", "src", ["title", "summary"])
+    enough = E.sufficiency("raw_excerpt", "title")
+    reason = F.when(F.col("gate") != "ok", "quote_validation_failed").when(enough != "ok", enough)
+    return g.select("case_id", E.outcome(F.col("gate"), enough).alias("outcome"), reason.alias("reason"))
 
 
 def _ordered(t):
     i = R.first_per(t("incidents"), ["case_id"], ["extracted_at"])
     score = V.completeness([(F.col("occurred_at").isNotNull(), 3), (~T.blank("location_text"), 2)], F.col("raw_excerpt")).cast("int")
-    return i.select("case_id", "source_file_id", "occurred_at", "raw_excerpt", score.alias("score"), F.xxhash64("case_id").alias("pos"))
+    return i.select("case_id", "source_file_id", "occurred_at", "location_text", "raw_excerpt", score.alias("score"), F.xxhash64("case_id").alias("pos"))
 
 
 @add("EVD-04")
 def evd04(t):
-    """Incidents without repeats of an earlier one of the same file."""
-    return E.distinct_in_order(_ordered(t), "case_id", ["source_file_id"], "pos", "raw_excerpt").select("case_id")
+    """Incidents without repeats of an earlier one of the same file: equal, alike, or rather alike with the same day and place."""
+    same = [F.col("occurred_at"), F.lower(T.strip(F.coalesce("location_text", F.lit(""))))]
+    return E.distinct_in_order(_ordered(t), "case_id", ["source_file_id"], "pos", "raw_excerpt", same=same).select("case_id")
 
 
 @add("EVD-05")
@@ -208,13 +223,56 @@ def evd08(t):
     return citation_check(a, "event_id", "cited", ok, "case_id", "status").distinct()
 
 
-@add("EVD-09", r"SELECT item_id, CASE WHEN NOT regexp_matches(passage,'(?i)\bsaid|reported|according\b') THEN 'UNSUPPORTED' WHEN regexp_matches(passage,'(?i)\b(proof|certainly|confirmed)\b') THEN 'OVERSTATED' WHEN NOT contains(passage,';') THEN 'PARAPHRASE' ELSE 'SUPPORTED' END AS status FROM eval_items")
-def evd09(t):
-    p = F.col("passage")
-    return t("eval_items").select("item_id", E.answer_status(p.rlike(r"(?i)\bsaid|reported|according\b"), p.rlike(r"(?i)\b(proof|certainly|confirmed)\b"), p.contains(";")).alias("status"))
+_ANSWER = "passage || ' [ITEM-' || item_id || '] [ITEM-' || (item_id % 7) || ']'"
+
 
+def _or(c, words):
+    return "(" + " OR ".join(f"contains({c},'{w}')" for w in words) + ")"
 
-@add("EVD-10", "SELECT category, count(*) AS n, count(DISTINCT item_id) AS ids, count(*)=count(DISTINCT item_id) AND count(*) BETWEEN 10 AND 200 AS holds FROM eval_items GROUP BY 1")
+
+def _certain(c):
+    """SQL: list of {lemma, word} of a lower-case text."""
+    words = "[" + ",".join(f"{{lemma:'{v}',word:'{k}'}}" for k, v in E.CERTAIN.items()) + "]"
+    neg = E.SENTENCE_NEGATION.replace("'", "''")
+    return rf"flatten(list_transform(list_filter(string_split(regexp_replace({c},'([.!?])\s+','\1'||chr(1),'g'),chr(1)), lambda x: NOT regexp_matches(x,'{neg}') AND NOT regexp_matches(x,'\bonly\s+confirms?\b')), lambda x: list_filter({words}, lambda w: regexp_matches(x,'\b'||w.word||'\b'))))"
+
+
+_SCORED = rf"""WITH a AS (SELECT item_id, lower({_ANSWER}) AS t, ['ITEM-'||item_id, 'ITEM-'||(item_id%7)] AS cited, CASE WHEN item_id%5=0 THEN [] WHEN item_id%3=0 THEN ['ITEM-'||(item_id%7)] ELSE ['ITEM-'||item_id,'ITEM-9'] END AS known,
+ CASE WHEN category='fact_lookup' THEN ['ITEM-'||item_id] ELSE [] END AS must, category='abstain' AS ab, category='temporal' AS hedge, category='series' AS ser, category='cross_source' AS med, CASE WHEN item_id%2=0 THEN 3 END AS cnt, ['two tired','the log'] AS forb, lower(question) AS ev, ['the'] AS men FROM eval_items),
+b AS (SELECT *, list_distinct(list_filter(cited, lambda x: NOT list_contains(known,x))) AS inv, list_filter(cited, lambda x: list_contains(known,x)) AS hit, (len(must)=0 OR len(list_intersect(known,must))>0) AS has,
+ list_filter(forb, lambda x: contains(t,x) AND NOT regexp_matches(string_split(string_split(t,x)[1],'.')[-1], '{E.PHRASE_NEGATION.replace("'", "''")}')) AS uns, list_transform({_certain('ev')}, lambda x: x.lemma) AS lem, {_certain('t')} AS cert FROM a),
+c AS (SELECT *, list_filter(cert, lambda x: NOT list_contains(lem, x.lemma)) AS inf, (((len(known)=0) OR (len(must)>0 AND NOT has)) AND NOT ab) OR (ser AND cnt IS NULL) AS failed,
+ {_or('t', E.ABSTAINS)} OR regexp_matches(substr(t,1,500),'\b(no|none|nothing|not|does not|do not)\b') AS decl, {_or('t', E.HEDGES)} AS hed, {_or('t', E.ATTRIBUTES)} AS att FROM b),
+d AS (SELECT *, CASE WHEN len(uns)>0 THEN 'UNSUPPORTED' WHEN len(inf)>0 THEN 'OVERSTATED' WHEN hedge AND att AND NOT hed THEN 'SUPPORTED_WITH_ACCEPTABLE_PARAPHRASE' ELSE 'SUPPORTED' END AS st FROM c)
+SELECT item_id, failed AND NOT ab AS retrieval_failure, len(inv)::INTEGER AS fake_citations, len(inv)::INTEGER AS citations_outside_retrieval, len(uns)::INTEGER AS unsupported_claims, array_to_string(uns,'|') AS unsupported_examples, CASE WHEN ab THEN decl AND len(uns)=0 AND len(inv)=0 END AS abstention_correct,
+ round(len(hit)/len(list_distinct(cited)),6) AS citation_precision, CASE WHEN failed THEN NULL WHEN len(must)>0 AND has THEN (len(list_intersect(hit,must))>0)::INTEGER::DOUBLE ELSE 1.0 END AS citation_recall,
+ CASE WHEN ser OR med THEN (NOT ser OR ((cnt IS NULL OR contains(t,cnt::VARCHAR)) AND (contains(t,'series') OR contains(t,'separate')) AND NOT (regexp_matches(t,'\b(one|single|a)\s+(giant\s+)?(uap\s+)?event\b') AND NOT contains(t,'not') AND NOT contains(t,'series')))) AND (NOT med OR {_or('t', E.MEDIA_WITHIN)}) END AS canonical_correct,
+ contains(t,'the') AS completeness, CASE WHEN NOT (failed AND NOT ab) THEN starts_with(st,'SUPPORTED') END AS grounded, CASE WHEN NOT (failed AND NOT ab) THEN st END AS evidence_status, len(inf)=0 AND (att OR NOT hedge) AS epistemic_fidelity, array_to_string(list_sort(list_distinct(list_transform(inf, lambda x: x.word))),'|') AS certainty_inflation,
+ hed OR NOT hedge AS hedge_ok, array_to_string(list_sort(list_distinct(cited)),'|') AS cited, array_to_string(list_sort(inv),'|') AS invalid FROM d"""
+
+
+@add("EVD-09", _SCORED)
+def evd09(t):
+    """All seventeen figures of answers made of the items' passages, against expectations that follow from the item."""
+    e = t("eval_items")
+    name = lambda x: F.concat(F.lit("ITEM-"), x.cast("string"))
+    i, cat, none = F.col("item_id"), F.col("category"), F.array().cast("array<string>")
+    e = e.withColumns({
+        "answer": F.concat("passage", F.lit(" ["), name(i), F.lit("] ["), name(i % 7), F.lit("]")), "known": F.when(i % 5 == 0, none).when(i % 3 == 0, F.array(name(i % 7))).otherwise(F.array(name(i), F.lit("ITEM-9"))),
+        "must": F.when(cat == "fact_lookup", F.array(name(i))).otherwise(none), "ab": cat == "abstain", "hedge": cat == "temporal", "ser": cat == "series", "med": cat == "cross_source", "cnt": F.when(i % 2 == 0, 3), "forb": F.array(F.lit("two tired"), F.lit("the log")), "men": F.array(F.lit("the")),
+    })
+    s = E.score_answers(e, "answer", "known", must_cite="must", must_abstain="ab", require_hedge="hedge", series="ser", media="med", series_count="cnt", forbidden="forb", evidence="question", must_mention="men")
+    flat = lambda c: F.array_join(F.sort_array(c), "|").alias(c)
+    return s.select(
+        "item_id", "retrieval_failure", "fake_citations", "citations_outside_retrieval", "unsupported_claims", F.array_join("unsupported_examples", "|").alias("unsupported_examples"), "abstention_correct", F.round("citation_precision", 6).alias("citation_precision"),
+        "citation_recall", "canonical_correct", "completeness", "grounded", "evidence_status", "epistemic_fidelity", flat("certainty_inflation"), "hedge_ok", flat("cited"), flat("invalid"),
+    )
+
+
+_WANTED = {"fact_lookup": 68, "temporal": 60, "series": 50, "abstain": 73, "other": 5}
+
+
+@add("EVD-10", "WITH w AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}',{v})" for k, v in _WANTED.items()) + f") AS w(category, w)), n AS (SELECT category, count(*) AS n FROM eval_items GROUP BY 1) SELECT 'total' AS breach, '' AS what, count(*) AS n FROM eval_items HAVING count(*)<>{sum(_WANTED.values())} UNION ALL SELECT 'category', coalesce(n.category,w.category), coalesce(n,0) FROM n FULL JOIN w ON n.category=w.category WHERE n IS DISTINCT FROM w UNION ALL SELECT 'duplicate_id', item_id::VARCHAR, count(*) FROM eval_items GROUP BY 2 HAVING count(*)>1 UNION ALL SELECT 'no_text', item_id::VARCHAR, 1 FROM eval_items WHERE trim(coalesce(question,''))=''")
 def evd10(t):
-    g = t("eval_items").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item_id").alias("ids"))
-    return g.select("*", ((F.col("n") == F.col("ids")) & F.col("n").between(10, 200)).alias("holds"))
+    """Breaches of a contract that the set departs from."""
+    return E.contract(t("eval_items"), "item_id", "category", "question", _WANTED)

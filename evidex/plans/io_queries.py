@@ -89,9 +89,8 @@ _PREF = "SELECT agency, arg_max(id, struct_pack(p:=(lower(trim(file_type))='pdf'
 
 @add("SRC-09", f"WITH w AS ({_PREF}) SELECT w.agency, w.id, (SELECT count(DISTINCT id)-1 FROM source_files f WHERE f.agency=w.agency) AS alternates FROM w")
 def src09(t):
-    f = t("source_files").filter("agency is not null").withColumn("k", F.lower(F.trim("file_type"))).select("agency", "id", "k").distinct()
-    p = R.prefer(f, "agency", F.col("k") == "pdf", "id", "alternate_assets", "id")
-    return p.select("agency", "id", F.coalesce(F.size(F.split("alternate_assets", r"\|")), F.lit(0)).cast("long").alias("alternates"))
+    f = t("source_files").filter("agency is not null").groupBy("agency", "id").agg(F.max(F.lower(F.trim("file_type"))).alias("k"))
+    return R.prefer(f, "agency", F.col("k") == "pdf", "id", "alternates").select("agency", "id", "alternates")
 
 
 @add("SRC-10", _PREF.replace("WHERE agency IS NOT NULL", "WHERE agency IS NOT NULL AND url IS NOT NULL"))
@@ -100,15 +99,26 @@ def src10(t):
     return R.prefer(f, "agency", F.col("k") == "pdf", "id").select("agency", "id")
 
 
-@add("SRC-11", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
+@add("SRC-11", "SELECT r AS id, 'row '||r AS name FROM (SELECT unnest(range(0, (SELECT count(*) FROM nation)*10 + 7)) AS r)")
 def src11(t):
-    return t("orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    """A source read page by page by several readers: a stand-in server holds 257 rows and gives at most 20 at a time."""
+    n = 25 * 10 + 7  # the nations are 25 at every scale
 
+    def get(start, size):
+        return [{"id": i, "name": f"row {i}"} for i in range(start, min(start + size, n))]
 
-@add("SRC-14", "SELECT source_file_id, page_number, CASE WHEN final_category='native_good' THEN 'keep_native' WHEN char_count=0 THEN 'failed' ELSE 'ocr' END AS decision FROM page_results")
+    return X.paged_scan(t("nation").sparkSession, get, "id long, name string", 20, 4)
+
+
+_OCR = """CASE WHEN final_category='native_good' THEN 'keep_native' WHEN r.kind NOT IN ('pdf','image') THEN 'keep_native' WHEN coalesce(p.char_count,0)=0 AND coalesce(p.native_char_count,0)=0 AND trim(coalesce(p.text,''))='' THEN 'failed' WHEN r.kind='image' AND r.byte_size<20000 THEN 'skip_thumbnail' WHEN coalesce(p.printable_ratio,0)>=0.85 AND coalesce(p.alpha_ratio,0)>=0.45 AND coalesce(p.word_count,0)>=15 THEN 'keep_native' ELSE 'ocr' END"""
+
+
+@add("SRC-14", f"SELECT source_file_id, decision, count(*) AS pages, sum(length(coalesce(text,'')))::BIGINT AS chars FROM (SELECT p.source_file_id, p.text, {_OCR} AS decision FROM (SELECT DISTINCT source_file_id, page_number, final_category, char_count, native_char_count, printable_ratio, alpha_ratio, word_count, text FROM page_results) p JOIN (SELECT id, max(lower(trim(file_type))) AS kind, max(byte_size) AS byte_size FROM source_files GROUP BY 1) r ON r.id=p.source_file_id) GROUP BY ALL")
 def src14(t):
-    d = F.when(F.col("final_category") == "native_good", "keep_native").when(F.col("char_count") == 0, "failed").otherwise("ocr")
-    return t("page_results").select("source_file_id", "page_number", d.alias("decision"))
+    """What is read anew by OCR: pages whose native text fails the quality gate, but no thumbnails and no empty pages; counted by file and decision."""
+    r = t("source_files").groupBy(F.col("id").alias("source_file_id")).agg(F.max(F.lower(F.trim("file_type"))).alias("kind"), F.max("byte_size").alias("byte_size"))
+    p = t("page_results").select("source_file_id", "page_number", "final_category", "char_count", "native_char_count", "printable_ratio", "alpha_ratio", "word_count", "text").distinct().join(r, "source_file_id")
+    return X.ocr_plan(p, "kind", "byte_size").groupBy("source_file_id", "decision").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
 @add("SRC-15", "SELECT source_file_id||'-'||page_number AS name, page_number AS page, length(coalesce(text,'')) AS chars FROM page_results")
@@ -135,16 +145,18 @@ def src19(t):
     return t("source_files").select("id", "ocr_text").distinct().join(p, "id", "left").select("id", F.when(F.col("n").isNotNull(), "pages").when(F.col("ocr_text").isNotNull(), "file").otherwise("empty").alias("used"))
 
 
-@add("SRC-20", "SELECT agency, max(id) AS id FROM source_files WHERE agency IS NOT NULL GROUP BY 1")
+@add("SRC-20", "SELECT agency, x.id AS id, x.filename AS filename, x.file_type AS file_type, x.url AS url FROM (SELECT agency, arg_max(struct_pack(id:=id, filename:=filename, file_type:=file_type, url:=url), struct_pack(p:=coalesce(released_at, TIMESTAMP '1900-01-01'), i:=id)) AS x FROM source_files WHERE agency IS NOT NULL GROUP BY 1)")
 def src20(t):
-    return t("source_files").filter("agency is not null").groupBy("agency").agg(F.max_by("id", "id").alias("id"))
+    """Of the rows of a key the last in order wins, with all its fields."""
+    f = t("source_files").filter("agency is not null").select("agency", "id", "filename", "file_type", "url", F.coalesce("released_at", F.lit("1900-01-01").cast("timestamp")).alias("pos")).distinct()
+    return R.prefer(f.withColumn("order", F.struct("pos", "id")), "agency", F.lit(True), "order").select("agency", "id", "filename", "file_type", "url")
 
 
-@add("SRC-21", "SELECT DISTINCT r.identity_key, CASE WHEN f.id IS NULL THEN 'missing' WHEN f.ocr_text IS NULL THEN 'backfill' ELSE 'skip' END AS status FROM (SELECT DISTINCT identity_key, byte_size FROM source_records) r LEFT JOIN (SELECT byte_size, min(id) AS id, max(ocr_text) AS ocr_text FROM source_files GROUP BY 1) f USING (byte_size)")
+@add("SRC-21", "SELECT DISTINCT r.identity_key, CASE WHEN f.byte_size IS NULL THEN 'missing' WHEN f.has THEN 'skip' ELSE 'backfill' END AS status FROM (SELECT DISTINCT identity_key, byte_size FROM source_records) r LEFT JOIN (SELECT byte_size, bool_or(ocr_text IS NOT NULL) AS has FROM source_files GROUP BY 1) f USING (byte_size)")
 def src21(t):
-    f = t("source_files").groupBy("byte_size").agg(F.min("id").alias("id"), F.max("ocr_text").alias("ocr_text"))
+    f = t("source_files").groupBy("byte_size").agg(F.bool_or(F.col("ocr_text").isNotNull()).alias("has"))
     r = t("source_records").select("identity_key", "byte_size").distinct().join(f, "byte_size", "left")
-    return r.select("identity_key", F.when(F.col("id").isNull(), "missing").when(F.col("ocr_text").isNull(), "backfill").otherwise("skip").alias("status")).distinct()
+    return r.select("identity_key", F.when(F.col("has").isNull(), "missing").when(F.col("has"), "skip").otherwise("backfill").alias("status")).distinct()
 
 
 @add("SRC-22", "SELECT DISTINCT i.case_id, coalesce(f.filename,'local:'||i.case_id) AS source FROM incidents i LEFT JOIN (SELECT DISTINCT id, filename FROM source_files) f ON f.id=i.source_file_id WHERE NOT i.flagged")
@@ -231,14 +243,16 @@ def snk06(t):
     return back[0].unionByName(back[1])
 
 
-@add("SNK-07", "SELECT count(*) AS n FROM orders")
+@add("SNK-07", "SELECT v, count(*) AS n FROM orders, (VALUES (0),(1),(2)) AS p(v) WHERE o_orderkey%3<=v GROUP BY 1")
 def snk07(t):
-    """Cumulative results kept after each part: two appends, read as one."""
+    """A cumulative result that is written anew after every part: each version holds all parts so far."""
     o = t("orders").select("o_orderkey")
     path = scratch_dir(o.sparkSession)
-    for k in (0, 1):
-        o.filter(f"o_orderkey % 2 = {k}").write.mode("append").parquet(path)
-    return o.sparkSession.read.schema(o.schema).parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for k in range(3):
+        v = S.checkpoint_part(o.sparkSession, path, o.filter(F.col("o_orderkey") % 3 == k)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("v"), "n")
+        out = v if out is None else out.unionByName(v)
+    return out
 
 
 @add("SNK-08", "SELECT s_suppkey, 'name' AS \"column\", s_name AS old, upper(s_name) AS new FROM supplier WHERE s_name<>upper(s_name)")
@@ -265,17 +279,23 @@ def snk11(t):
     return e.sparkSession.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("SNK-12", "SELECT url, max(p) AS p FROM (SELECT url, 0 AS p FROM source_files WHERE url IS NOT NULL UNION ALL SELECT original_url, 1 FROM source_records WHERE original_url IS NOT NULL) GROUP BY 1")
+@add("SNK-12", "SELECT url, min(p) AS p FROM (SELECT url, '0'||id AS p FROM source_files WHERE url IS NOT NULL UNION ALL SELECT original_url, '1'||identity_key FROM source_records WHERE original_url IS NOT NULL) GROUP BY 1")
 def snk12(t):
-    a, b = t("source_files").filter("url is not null").select("url", F.lit(0).alias("p")), t("source_records").filter("original_url is not null").select(F.col("original_url").alias("url"), F.lit(1).alias("p"))
-    return a.unionByName(b).groupBy("url").agg(F.max("p").alias("p"))
+    """Addresses of a site map, each once, at the place where it first stands: files before records, each by id."""
+    at = lambda df, c, n, i: df.filter(f"{c} is not null").select(F.col(c).alias("url"), F.concat(F.lit(n), F.col(i)).alias("p"))
+    u = at(t("source_files"), "url", "0", "id").unionByName(at(t("source_records"), "original_url", "1", "identity_key"))
+    return u.groupBy("url").agg(F.min("p").alias("p"))
 
 
-@add("SNK-13", "SELECT identity_key, CASE WHEN f.byte_size IS NULL THEN 'insert' ELSE 'update' END AS action FROM (SELECT DISTINCT identity_key, byte_size FROM source_records) LEFT JOIN (SELECT DISTINCT byte_size FROM source_files) f USING (byte_size)")
+@add("SNK-13", "SELECT url, CASE WHEN pmod THEN 'failed' ELSE 'stored' END AS status, CASE WHEN pmod THEN 2 ELSE 1 END AS tries, CASE WHEN pmod THEN NULL ELSE 'sha-'||length(url) END AS digest FROM (SELECT DISTINCT url, length(url)%3=0 AS pmod FROM source_files WHERE url IS NOT NULL)")
 def snk13(t):
-    f = t("source_files").select("byte_size", F.lit(True).alias("known")).distinct()
-    r = t("source_records").select("identity_key", "byte_size").distinct().join(f, "byte_size", "left")
-    return r.select("identity_key", F.when(F.col("known"), "update").otherwise("insert").alias("action"))
+    """Fetched assets kept by address: what was stored stays with its first stamp, what failed is tried again and counted."""
+    u = t("source_files").filter("url is not null").select("url").distinct()
+    path = scratch_dir(u.sparkSession)
+    for _ in range(2):
+        fails = F.length("url") % 3 == 0
+        kept = S.upsert_assets(u.sparkSession, path, u.select("url", ~fails, F.when(~fails, F.concat(F.lit("sha-"), F.length("url").cast("string")))).toDF("url", "ok", "digest"), "2026-01-01")
+    return kept.select("url", "status", "tries", "digest")
 
 
 # --- the outside world, with a stand-in for the call ------------------------------------------------------------------

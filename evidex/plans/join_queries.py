@@ -70,9 +70,46 @@ def _cascade(t):
     return M.cascade(r, f, "identity_key", "id", [("size", F.col("byte_size").cast("string"), F.col("byte_size").cast("string")), ("agency", place, place)])
 
 
-@add("JOI-06", _LEVELS)
+def _catalog(t):
+    """source_files as records of a catalog whose addresses, ids and names depart from the files' in several ways, and the files."""
+    f = t("source_files").groupBy("id").agg(F.max("url").alias("url"), F.max("filename").alias("filename")).filter("url is not null")
+    n = F.pmod(F.conv(F.substring(F.sha1("id"), 1, 6), 16, 10).cast("long"), F.lit(6))
+    url = F.when(n == 0, F.col("url")).when(n == 1, F.concat(F.upper("url"), F.lit("?x=1"))).when(n == 2, F.concat(F.lit("https://mirror.example/"), "filename")).when(n == 3, F.concat(F.lit("https://mirror.example/video/"), F.substring("id", 1, 2))).when(n == 4, F.lit("https://mirror.example/none"))
+    left = f.select(F.col("id").alias("record"), F.col("id").alias("pos"), F.coalesce(url, F.substring_index("url", "-", 2)).alias("url"), F.substring("filename", 1, 6).alias("ext"))
+    right = f.select("id", F.when(F.substring("id", 1, 1) == "0", F.lit("https://mirror.example/none")).otherwise(F.col("url")).alias("url"), F.substring("id", 1, 2).alias("video"), F.substring("filename", 1, 6).alias("ext"), "filename")
+    video = F.nullif(F.regexp_extract(F.col("url"), r"/video/(\w+)$", 1), F.lit(""))
+    tail = F.lower(F.regexp_extract(F.col("url"), r"([^/]+)$", 1))
+    return left, right, [("exact", F.col("url"), F.col("url"), "free"), ("normalized_url", T.url_key("url"), T.url_key("url"), "free"), ("video_id", video, F.col("video"), "unique"), ("external_id", F.col("ext"), F.col("ext"), "unique"), ("basename", tail, F.lower("filename"), "last")]
+
+
+_URL = r"regexp_replace(regexp_replace(regexp_replace(lower(url),'[?#].*$',''),'/+$',''),'([^:])/{{2,}}','\1/','g')"
+_CATALOG = r"""f AS (SELECT id, max(url) AS url, max(filename) AS filename FROM source_files GROUP BY 1 HAVING max(url) IS NOT NULL), n AS (SELECT *, ('0x'||substr(sha1(id),1,6))::BIGINT % 6 AS n FROM f),
+l AS (SELECT id AS record, row_number() OVER (ORDER BY id) AS p, substr(filename,1,6) AS ext, CASE n WHEN 0 THEN url WHEN 1 THEN upper(url)||'?x=1' WHEN 2 THEN 'https://mirror.example/'||filename WHEN 3 THEN 'https://mirror.example/video/'||substr(id,1,2) WHEN 4 THEN 'https://mirror.example/none' ELSE array_to_string(string_split(url,'-')[1:2],'-') END AS url FROM n),
+r AS (SELECT id, CASE WHEN id[1]='0' THEN 'https://mirror.example/none' ELSE url END AS url, substr(id,1,2) AS video, substr(filename,1,6) AS ext, filename FROM f),
+lk AS (SELECT record, p, unnest([{i:0,m:'free',k:url},{i:1,m:'free',k:regexp_replace(lower(url),'[?].*$','')},{i:2,m:'unique',k:regexp_extract(url,'/video/(\w+)$',1)},{i:3,m:'unique',k:ext},{i:4,m:'last',k:lower(regexp_extract(url,'([^/]+)$',1))}]) AS x FROM l),
+rk AS (SELECT id, unnest([{i:0,k:url},{i:1,k:lower(url)},{i:2,k:video},{i:3,k:ext},{i:4,k:lower(filename)}]) AS x FROM r),
+h AS (SELECT lk.p, lk.x.i AS i, any_value(lk.x.m) AS m, list(rk.id ORDER BY rk.id) AS ids FROM lk JOIN rk ON rk.x.i=lk.x.i AND rk.x.k=lk.x.k WHERE lk.x.k<>'' GROUP BY ALL)"""
+_GREEDY = "WITH RECURSIVE " + _CATALOG + """,
+byrow AS (SELECT p, list({i:i,m:m,ids:ids} ORDER BY i) AS hs FROM h GROUP BY 1), todo AS (SELECT l.p, l.record, coalesce(hs,[]) AS hs FROM l LEFT JOIN byrow USING (p)),
+go AS (SELECT 0::BIGINT AS p, ''::VARCHAR AS record, []::VARCHAR[] AS used, NULL::STRUCT(i INTEGER, cnt BIGINT, id VARCHAR) AS x
+UNION ALL SELECT q.p, q.record, CASE WHEN q.x.id IS NULL THEN q.used ELSE list_append(q.used, q.x.id) END, q.x FROM (
+SELECT todo.p, todo.record, go.used, list_filter(list_transform(todo.hs, lambda h: CASE
+ WHEN (h.m='free' OR len(h.ids)=1) AND len(list_filter(h.ids, lambda z: NOT list_contains(go.used,z)))=1 THEN {i:h.i, cnt:greatest(1, CASE WHEN h.m='unique' THEN len(h.ids) ELSE 0 END), id:list_filter(h.ids, lambda z: NOT list_contains(go.used,z))[1]}
+ WHEN h.m='unique' AND len(h.ids)>1 THEN {i:h.i, cnt:len(h.ids), id:NULL}
+ WHEN h.m<>'unique' AND len(list_filter(h.ids, lambda z: NOT list_contains(go.used,z)))>1 THEN {i:h.i, cnt:len(list_filter(h.ids, lambda z: NOT list_contains(go.used,z))), id:NULL} ELSE NULL END), lambda z: z IS NOT NULL)[1] AS x FROM go JOIN todo ON todo.p=go.p+1) q)
+SELECT record, x.id AS id, CASE WHEN x IS NULL THEN 'none' WHEN x.id IS NULL THEN 'ambiguous' ELSE ['exact','normalized_url','video_id','external_id','basename'][x.i+1] END AS level, coalesce(x.cnt,0) AS candidates FROM go WHERE p>0"""
+
+
+@add("JOI-06", _GREEDY)
 def joi06(t):
-    """Reconciliation: the first key that finds anything decides, an ambiguous match is reported and not made."""
+    """Reconciliation of a catalog with files by five keys: the first key that settles a record decides, each file serves one record, an ambiguous match is not made."""
+    left, right, keys = _catalog(t)
+    return M.reconcile(left, right, "record", "id", "pos", keys)
+
+
+@add("JOI-06-levels", _LEVELS)
+def joi06_levels(t):
+    """The same without the use of each file once: every record's first key that finds anything, by size or agency and release."""
     return _cascade(t)
 
 
@@ -121,9 +158,9 @@ def joi11(t):
 
 @add("JOI-12")
 def joi12(t):
-    """Alike excerpts across files of one agency: blocked by branch and length, then compared."""
+    """Alike excerpts of incidents in different files, whatever their day and branch; checked against brute force in the tests."""
     i = R.first_per(t("incidents"), ["case_id"], ["extracted_at"])
-    return M.similar_in_group(i.filter("branch is not null"), "case_id", ["branch", "occurred_at"], "raw_excerpt", 0.92, 40)
+    return M.similar_across(i, "case_id", "source_file_id", "raw_excerpt", 0.92, 40)
 
 
 @add("JOI-13", "SELECT id, other, round(score,6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON b.label=a.label AND b.vec_id<>a.vec_id) WHERE n=1")
@@ -261,11 +298,12 @@ def joi28(t):
     return a.join(b, ["occurred_at", "region"]).filter((F.col("a") < F.col("b")) & (F.size(F.array_intersect("toks", "toks2")) >= 2)).select("a", "b").distinct()
 
 
-@add("JOI-29", r"""WITH p AS (SELECT DISTINCT event_id, lower(split_part(label,' / ',1)) AS place FROM canonical_events WHERE label IS NOT NULL), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z]{5,}'))) AS t FROM documents WHERE source='letters')
+@add("JOI-29", r"""WITH p AS (SELECT DISTINCT event_id, lower(split_part(label,' / ',1)) AS place FROM canonical_events WHERE label IS NOT NULL), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z]{5,}'))) AS t FROM documents)
 SELECT doc_id, place, event_id FROM (SELECT doc_id, place, event_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(place) DESC, place, event_id) AS n FROM d JOIN p ON p.place=d.t) WHERE n=1""")
 def joi29(t):
-    p = t("canonical_events").filter("label is not null").select("event_id", F.lower(F.split("label", " / ")[0]).alias("place")).distinct()
-    d = t("documents").filter("source = 'letters'").select("doc_id", F.explode(T.tokens("text", 5, pattern="[a-z]{5,}")).alias("place"))
+    """The longest place of an event that a document names; of the events of one place only the first can win, so one stands for all."""
+    p = t("canonical_events").filter("label is not null").select("event_id", F.lower(F.split("label", " / ")[0]).alias("place")).groupBy("place").agg(F.min("event_id").alias("event_id"))
+    d = t("documents").select("doc_id", F.explode(T.tokens("text", 5, pattern="[a-z]{5,}")).alias("place"))
     return d.join(p, "place").groupBy("doc_id").agg(F.min(F.struct((-F.length("place")).alias("n"), "place", "event_id")).alias("x")).select("doc_id", "x.place", "x.event_id")
 
 

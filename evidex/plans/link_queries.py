@@ -10,6 +10,7 @@ from evidex.operators import relational as R
 from evidex.operators import retrieval as Q
 from evidex.operators.matching_rules import ladder
 from evidex.plans.registry import Book
+from evidex.session import fixed_rows
 
 book = Book()
 add = book.add
@@ -21,14 +22,47 @@ def _members(t):
     return t("event_members").filter("case_id is not null").select("event_id", F.upper(F.trim("case_id")).alias("case_id"), "source_filename", "role").distinct()
 
 
-@add("LNK-01", f"WITH m AS ({_MEM}), g AS (SELECT 'file' AS kind, source_filename AS k, event_id FROM m WHERE role='media' AND source_filename IS NOT NULL UNION SELECT 'case', case_id, event_id FROM m), f AS (SELECT kind, k, min(event_id) AS a FROM g GROUP BY ALL) SELECT DISTINCT kind, a, event_id AS b FROM g JOIN f USING (kind, k) WHERE a<event_id")
-def lnk01(t):
-    """Events tied by a media file or a case: each to the smallest event of its file or case, which ties all of them."""
+_FILES = "files AS (SELECT DISTINCT filename AS file, lower(trim(file_type)) AS kind FROM source_files WHERE filename IS NOT NULL)"
+_WORDS_OF = "SELECT DISTINCT case_id, t AS place, coalesce(strftime(occurred_at,'%Y'),'') AS year FROM (SELECT case_id, occurred_at, unnest(regexp_extract_all(coalesce(location_text,''),'[A-Z][a-z]{4,}')) AS t FROM incidents) WHERE t NOT IN (SELECT * FROM wide)"
+_CANDIDATES = f"""m AS ({_MEM}), {_FILES}, wide AS (SELECT unnest(string_split(region||' '||country,' ')) FROM region_zones), w AS ({_WORDS_OF}),
+pairing AS (SELECT DISTINCT 'catalog_pairing' AS kind, x.source_filename AS "left", y.f AS "right", NULL AS band, '' AS label FROM m x JOIN (SELECT event_id, min(source_filename) AS f FROM m WHERE role='observation' AND source_filename IS NOT NULL GROUP BY 1) y USING (event_id) WHERE x.role='media' AND x.source_filename<>y.f),
+series AS (SELECT DISTINCT 'series_identifier' AS kind, source_filename AS "left", lower(split_part(label,' / ',1)) AS "right", NULL AS band, label FROM m JOIN canonical_events c USING (event_id) WHERE source_filename IS NOT NULL AND label IS NOT NULL),
+text AS (SELECT id, max(filename) AS filename, max(ocr_text) AS ocr_text FROM source_files WHERE lower(trim(file_type))='webpage' AND ocr_text IS NOT NULL GROUP BY 1),
+named AS (SELECT filename, place, max(n) AS n, bool_or(contains(substr(ocr_text,1,800),place)) AS lead FROM (SELECT id, filename, ocr_text, t AS place, count(*) AS n FROM (SELECT id, filename, ocr_text, unnest(regexp_extract_all(ocr_text,'[A-Z][a-z]{4,}')) AS t FROM text) GROUP BY ALL) GROUP BY ALL),
+analysis AS (SELECT 'analysis_place' AS kind, filename AS "left", case_id AS "right", CASE WHEN bool_or(n>=2 OR lead) THEN 'strong' ELSE 'medium' END AS band, '' AS label FROM named JOIN w USING (place) GROUP BY ALL),
+first AS (SELECT place, year, min(case_id) AS a FROM w WHERE year<>'' GROUP BY ALL),
+overlap AS (SELECT DISTINCT 'place_overlap' AS kind, a AS "left", case_id AS "right", NULL AS band, '' AS label FROM w JOIN first USING (place, year) WHERE a<>case_id),
+cand AS (SELECT * FROM pairing UNION ALL SELECT * FROM series UNION ALL SELECT * FROM analysis UNION ALL SELECT * FROM overlap)"""
+
+
+def _candidates(t):
+    """The four generators: media files paired with the file of their event, series named by labels, analysis texts that name an incident's place, incidents of one place and year tied to the first of them."""
     m = _members(t)
-    files = m.filter("role = 'media' and source_filename is not null").select(F.col("source_filename").alias("k"), F.col("event_id").alias("b"))
-    cases = m.select(F.col("case_id").alias("k"), F.col("event_id").alias("b"))
-    star = lambda g: g.join(g.groupBy("k").agg(F.min("b").alias("a")), "k").select("a", "b")
-    return L.candidates({"file": star(files), "case": star(cases)})
+    seen = m.filter("role = 'observation' and source_filename is not null").groupBy("event_id").agg(F.min("source_filename").alias("right"))
+    row = lambda df, kind, band=F.lit(None).cast("string"), label=F.lit(""): df.select(F.lit(kind).alias("kind"), "left", "right", band.alias("band"), label.alias("label"))
+    pairing = row(m.filter("role = 'media'").join(seen, "event_id").withColumnRenamed("source_filename", "left").filter(F.col("left") != F.col("right")), "catalog_pairing").distinct()
+    c = t("canonical_events").filter("label is not null").select("event_id", "label").distinct()
+    series = m.filter("source_filename is not null").join(c, "event_id").select(F.col("source_filename").alias("left"), F.lower(F.split("label", " / ")[0]).alias("right"), "label")
+    series = row(series, "series_identifier", label=F.col("label")).distinct()
+    wide = [w for r in fixed_rows(t("region_zones").select("region", "country"), 1000) for w in f"{r[0]} {r[1]}".split()]
+    words = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit("[A-Z][a-z]{4,}"), F.lit(0))
+    w = t("incidents").select("case_id", F.explode(words("location_text")).alias("place"), F.coalesce(F.date_format("occurred_at", "yyyy"), F.lit("")).alias("year")).filter(~F.col("place").isin(wide)).distinct()
+    text = t("source_files").filter("lower(trim(file_type)) = 'webpage' and ocr_text is not null").groupBy("id").agg(F.max("filename").alias("filename"), F.max("ocr_text").alias("ocr_text"))
+    named = text.select("id", "filename", F.substring("ocr_text", 1, 800).alias("lead"), F.explode(words("ocr_text")).alias("place")).groupBy("id", "filename", "place", "lead").agg(F.count(F.lit(1)).alias("n"))
+    named = named.groupBy("filename", "place").agg(F.bool_or((F.col("n") >= 2) | F.col("lead").contains(F.col("place"))).alias("prime"))
+    hit = named.join(w.select("place", "case_id").distinct(), "place").groupBy(F.col("filename").alias("left"), F.col("case_id").alias("right")).agg(F.bool_or("prime").alias("prime"))
+    analysis = row(hit, "analysis_place", F.when(F.col("prime"), "strong").otherwise("medium"))
+    dated = w.filter("year <> ''").withColumn("k", F.concat_ws("|", "place", "year"))
+    overlap = row(L.star(dated, "k", "case_id").toDF("left", "right"), "place_overlap").distinct()
+    return pairing.unionByName(series).unionByName(analysis).unionByName(overlap)
+
+
+@add("LNK-01", f"WITH {_CANDIDATES} SELECT DISTINCT kind, least(\"left\",\"right\") AS a, greatest(\"left\",\"right\") AS b FROM cand WHERE \"left\"<>\"right\"")
+def lnk01(t):
+    """Candidates of four generators, undirected and once a kind."""
+    c = _candidates(t)
+    kinds = ("catalog_pairing", "series_identifier", "analysis_place", "place_overlap")
+    return L.candidates({k: c.filter(F.col("kind") == k).select(F.col("left").alias("a"), F.col("right").alias("b")) for k in kinds})
 
 
 @add("LNK-02", f"WITH m AS ({_MEM}), p AS (SELECT DISTINCT event_id, split_part(label,' / ',1) AS place, split_part(label,' / ',2) AS year FROM canonical_events WHERE label IS NOT NULL) SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON a.place=b.place AND a.year=b.year AND a.event_id<>b.event_id WHERE a.event_id IN (SELECT event_id FROM m WHERE role='follow_up')")
@@ -51,11 +85,22 @@ def lnk03(t):
     return e.select("source_file_id", F.col("episode").cast("long").alias("episode"), "n", "members")
 
 
-@add("LNK-04", f"SELECT event_id, case_id, CASE role WHEN 'media' THEN 'media_of' WHEN 'analysis' THEN 'analysis_of' WHEN 'follow_up' THEN 'follows' ELSE 'member_of' END AS decision, CASE WHEN source_filename IS NULL THEN 'low' WHEN role='observation' THEN 'high' ELSE 'medium' END AS band FROM ({_MEM})")
+_SERIES = {"(?i)^kim": "kim-series", "(?i)^bor": "bor-series"}
+
+
+@add("LNK-04", f"""WITH {_CANDIDATES}, cls AS (SELECT file, CASE WHEN bool_or(kind IN ('audio','video')) THEN 'media_metadata' ELSE 'report' END AS c, CASE WHEN bool_or(kind='pdf') THEN 'extract' ELSE 'source_only' END AS act FROM files GROUP BY 1),
+ce AS (SELECT DISTINCT case_id, event_id FROM m), mf AS (SELECT DISTINCT event_id, source_filename AS file FROM m WHERE source_filename IS NOT NULL),
+p AS (SELECT CASE WHEN l.c='media_metadata' AND r.act='extract' THEN "left" WHEN r.c='media_metadata' AND l.act='extract' THEN "right" END AS media, CASE WHEN l.c='media_metadata' AND r.act='extract' THEN "right" WHEN r.c='media_metadata' AND l.act='extract' THEN "left" END AS file FROM pairing LEFT JOIN cls l ON l.file="left" LEFT JOIN cls r ON r.file="right")
+SELECT DISTINCT 'media_for_event' AS relationship, 'auto_supported' AS status, media AS "left", event_id AS "right", 'strong' AS band FROM p JOIN mf USING (file) WHERE media IS NOT NULL
+UNION SELECT 'analysis_of_event', CASE WHEN band='strong' THEN 'auto_supported' ELSE 'needs_review' END, "left", event_id, band FROM analysis JOIN ce ON ce.case_id="right"
+UNION SELECT 'same_series', 'auto_supported', "left", CASE WHEN regexp_matches(label,'(?i)^kim') THEN 'kim-series' ELSE 'bor-series' END, 'strong' FROM series WHERE regexp_matches(label,'(?i)^(kim|bor)')
+UNION SELECT 'same_event', 'review_supported', x.event_id, y.event_id, 'medium' FROM overlap JOIN ce x ON x.case_id="left" JOIN ce y ON y.case_id="right" WHERE x.event_id<>y.event_id""")
 def lnk04(t):
-    d = T.lookup("role", {"media": "media_of", "analysis": "analysis_of", "follow_up": "follows"}, F.lit("member_of"))
-    band = ladder([("low", F.col("source_filename").isNull()), ("high", F.col("role") == "observation")], "medium")
-    return _members(t).select("event_id", "case_id", d.alias("decision"), band.alias("band"))
+    """Decisions on the four kinds of candidates."""
+    m = _members(t)
+    f = t("source_files").filter("filename is not null").groupBy(F.col("filename").alias("file")).agg(F.bool_or(F.lower(F.trim("file_type")).isin("audio", "video")).alias("media"), F.bool_or(F.lower(F.trim("file_type")) == "pdf").alias("pdf"))
+    f = f.select("file", F.when(F.col("media"), "media_metadata").otherwise("report").alias("document_class"), F.when(F.col("pdf"), "extract").otherwise("source_only").alias("action"))
+    return L.apply_rules(_candidates(t), f, m.filter("source_filename is not null").select("event_id", F.col("source_filename").alias("file")), m.select("case_id", "event_id"), _SERIES)
 
 
 @add("LNK-05", "WITH g AS (SELECT DISTINCT case_id AS a FROM incidents WHERE location_text IS NULL ORDER BY 1 LIMIT 21) SELECT x.a, y.a AS b FROM g x JOIN g y ON x.a<y.a ORDER BY 1,2 LIMIT 20")
@@ -186,14 +231,16 @@ def ret07(t):
     return t("eval_items").select("item_id", F.lit(True).alias("has"), Q.longest_phrase(T.tokens("question", 4)).alias("topic"))
 
 
-@add("RET-08", f"""WITH v AS ({_near(0.2, 10, "a.vec_id%100=0")}), l AS (SELECT a.vec_id, b.vec_id AS other, 5.0 AS score FROM embeddings a JOIN embeddings b ON a.label=b.label AND b.vec_id<>a.vec_id WHERE a.vec_id%100=0 AND b.vec_id%50=1),
+@add("RET-08", f"""WITH v AS ({_near(0.2, 10, "a.vec_id%100=0")}), l AS (SELECT a.vec_id, b.vec_id AS other, 5.0 AS score FROM embeddings a JOIN embeddings b ON a.label=b.label AND b.vec_id<>a.vec_id WHERE a.vec_id%100=0),
 u AS (SELECT vec_id, other, round(max(score),6) AS score FROM (SELECT vec_id, other, similarity*20.0 AS score FROM v UNION ALL SELECT * FROM l) GROUP BY ALL)
 SELECT vec_id, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM u) WHERE rank<=8""")
 def ret08(t):
+    """Every hundredth item against all items: by vector, and by label, where all have one score, so that besides the query itself and the ten of the vector side only the first eight of a label can come in."""
     e = t("embeddings")
-    v = Q.nearest(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10, 0.2, exclude_self=True).select("vec_id", "other", "similarity")
-    a, b = e.filter("vec_id % 100 = 0").select("vec_id", "label"), e.filter("vec_id % 50 = 1").select(F.col("vec_id").alias("other"), "label")
-    lex = a.join(b, "label").filter("vec_id <> other").select("vec_id", "other", F.lit(5.0).alias("score"))
+    q = e.filter("vec_id % 100 = 0")
+    v = Q.nearest(q, e, "vec_id", "embedding", 10, 0.2, exclude_self=True).select("vec_id", "other", "similarity")
+    first = R.top_per(e.select("label", F.col("vec_id").alias("other")), ["label"], ["other"], 8 + 10 + 1).drop("rank")
+    lex = q.select("vec_id", "label").join(first, "label").filter("vec_id <> other").select("vec_id", "other", F.lit(5.0).alias("score"))
     return Q.hybrid(lex, v, "vec_id", "other", 8)
 
 

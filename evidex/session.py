@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,11 +48,13 @@ def fixed_rows(df: DataFrame, most: int) -> list:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder for written intermediate tables.
 
-    It lies in the shared folder of spark.checkpoint.dir, so that a lost executor loses nothing. Only where the
-    cluster names none (tests, one machine) is a local temporary folder used.
+    It lies in the shared folder of spark.checkpoint.dir, so that a lost executor loses nothing. Only a session on one
+    machine (a local master) may do without; on a cluster a missing shared folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "evidex-scratch")
     return f"{root.rstrip('/')}/evidex-{uuid.uuid4().hex}"
 

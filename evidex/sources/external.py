@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A page with fewer characters of native text is read by OCR.
 NATIVE_LEAST = 100
@@ -78,14 +79,49 @@ def answer_or_abstain(ask: Callable[[str, list[str]], list[str]], question: str,
     return ("repaired", 2) if all(c in allowed for c in ask(question, wrong)) else ("abstained", 2)
 
 
+def ocr_plan(pages: DataFrame, kind: str, size: str, thumbnail: int = 20_000) -> DataFrame:
+    """pages with decision: 'keep_native', 'failed' (nothing to read), 'skip_thumbnail' (an image file under so many bytes) or 'ocr'.
+
+    The stored metrics are the quality gate: a page that was found good, is of a file that has no scans, or has printable, wordy text stays.
+    """
+    none = (F.coalesce("char_count", F.lit(0)) == 0) & (F.coalesce("native_char_count", F.lit(0)) == 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    good = (F.coalesce("printable_ratio", F.lit(0.0)) >= 0.85) & (F.coalesce("alpha_ratio", F.lit(0.0)) >= 0.45) & (F.coalesce("word_count", F.lit(0)) >= 15)
+    d = F.when(F.col("final_category") == "native_good", "keep_native").when(~F.col(kind).isin("pdf", "image"), "keep_native").when(none, "failed")
+    return pages.withColumn("decision", d.when((F.col(kind) == "image") & (F.col(size) < thumbnail), "skip_thumbnail").when(good, "keep_native").otherwise("ocr"))
+
+
+def paged_scan(spark: SparkSession, get: Callable[[int, int], list[dict]], schema: str, size: int = 1000, readers: int = 8) -> DataFrame:
+    """All rows of a source that is read page by page: get(start, size) gives up to size rows from start on, fewer at the end.
+
+    Reader r of n takes the pages r, r + n, r + 2n, ... until one is short, so a source is read by several tasks at once without asking for its
+    length first. A page that fails raises, and its task is run again from the reader's first page.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for r in pdf["id"]:
+                at = int(r) * size
+                while True:
+                    rows = get(at, size)
+                    if rows:
+                        yield pd.DataFrame(rows, columns=names)
+                    if len(rows) < size:
+                        break
+                    at += readers * size
+
+    return spark.range(0, readers, 1, readers).mapInPandas(run, schema)
+
+
 def write_atomically(spark: SparkSession, path: str, content: bytes) -> None:
-    """One small file, written beside its place and renamed into it, so that no reader sees half of it."""
-    jvm = spark.sparkContext._jvm
-    p, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(tmp, True)
+    """One small file, written beside its place and renamed over it: a reader sees the old content or the new, never half or none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    p, tmp = hadoop.Path(path), hadoop.Path(path + ".part")
+    out = p.getFileSystem(conf).create(tmp, True)
     out.write(bytearray(content))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"can't rename to {path}")
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(p.getFileSystem(conf).getUri(), conf).rename(tmp, p, how)

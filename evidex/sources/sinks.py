@@ -76,3 +76,25 @@ def changes(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -
     j = before.select(key, *(F.col(c).cast("string").alias(f"o_{c}") for c in columns)).join(after.select(key, *(F.col(c).cast("string").alias(f"n_{c}") for c in columns)), key)
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"o_{c}").alias("old"), F.col(f"n_{c}").alias("new")) for c in columns))).alias("x")
     return j.select(key, cells).select(key, "x.*").filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def checkpoint_part(spark: SparkSession, path: str, part: DataFrame) -> DataFrame:
+    """The cumulative table at path with one more part, as a new whole version; readers see the last complete one."""
+    done = latest(spark, path)
+    v = version(spark, path) + 1
+    (part if done is None else done.unionByName(part)).write.mode("errorifexists").parquet(f"{path}/v={v}")
+    return spark.read.schema(part.schema).parquet(f"{path}/v={v}")
+
+
+def upsert_assets(spark: SparkSession, path: str, fetched: DataFrame, stamp: str) -> DataFrame:
+    """(url, status, digest, tries, fetched_at): the ledger of assets at path after one more run of fetches (columns url, ok, digest).
+
+    An asset that is stored stays as it is, its stamp too, unless its digest changed; a failed one counts its tries.
+    """
+    new = fetched.select("url", F.when(F.col("ok"), "stored").otherwise("failed").alias("status"), "digest", F.lit(1).alias("tries"), F.lit(stamp).alias("fetched_at")).dropDuplicates(["url"])
+    old = latest(spark, path)
+    if old is None:
+        return upsert(spark, path, new, ["url"])
+    o = old.select("url", F.col("status").alias("was"), F.col("digest").alias("held"), F.col("tries").alias("n"))
+    j = new.join(o, "url", "left").filter("was is null or was = 'failed' or (status = 'stored' and not (digest <=> held))")
+    return upsert(spark, path, j.select("url", "status", "digest", F.when(F.col("was") == "failed", F.col("n") + 1).otherwise(F.col("tries")).alias("tries"), "fetched_at"), ["url"])

@@ -63,3 +63,18 @@ def test_column_keeps_other_columns_and_nulls(spark):
     got = sorted((r.t or "", r.normal_form or "", r.normal_form_source) for r in N.normalise_timestamps(df, "t", "z").collect())
     assert got == [("", "", 2), ("1962-01-02", "1962-01-02", 1), ("1962-01-02", "1962-01-02", 1)]
     assert N.normalise_timestamps(df.limit(0), "t", "z").count() == 0
+
+
+def test_years_outside_the_transition_table_are_exact():
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    import numpy as np
+
+    from evidex.functions.timestamps import zone_table
+
+    t = zone_table("America/New_York")
+    for d in (datetime(1890, 7, 1, 12), datetime(1919, 7, 1, 12), datetime(2035, 7, 1, 12), datetime(2035, 11, 4, 1, 30), datetime(2035, 3, 11, 2, 30), datetime(2300, 1, 1)):
+        m = int((d - datetime(1970, 1, 1)).total_seconds() // 60)
+        want = m - round(d.replace(tzinfo=ZoneInfo("America/New_York")).utcoffset() / timedelta(minutes=1))
+        assert t.to_utc(np.array([m]))[0] == want
