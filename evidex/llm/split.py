@@ -4,7 +4,7 @@ A text is cut into ranges. The worker of a range sees it with a halo on both sid
 sentence and word ends in it, and cuts the stretch between the anchors of its two borders. The anchor of a border is the
 best boundary in the last window before it; both neighbours see that window whole, so they agree on it without talking.
 Lengths and piece counts of the ranges are then added up in order (prefix sums), which gives every piece its offset and
-number. No worker ever holds more than one range of a giant file with its halos.
+number. No Python worker ever holds more than one range of a giant text or file with its halos.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidex.session import scratch_dir, written
+
 #: Boundaries from the strongest to the weakest; a match ends where a piece may end.
 BOUNDARIES = {
     "page": re.compile(r"\n(?=--- PAGE \d{1,9} ---\n)"),
@@ -91,77 +93,104 @@ def cut_range(left: str, own: str, right: str, limit: int, overlap: int) -> list
     return [(x - s, y - s, z - s, how, text[y:z]) for x, y, z, how in parts]
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, range_chars: int = 1 << 20) -> DataFrame:
+def _edge(b: bytes, i: int) -> int:
+    """The first start of a character at or after byte i."""
+    i = max(0, min(i, len(b)))
+    while i < len(b) and b[i] & 0xC0 == 0x80:
+        i += 1
+    return i
+
+
+def _cut_bytes(raw: bytes, start: int, at: int, end: int, total: int, limit: int, overlap: int) -> tuple[int, list[tuple[int, int, int, str, str]]]:
+    """Characters and pieces of the range of bytes [at, end) of a text of total bytes; raw are its bytes from start on, halos included."""
+    a, b = _edge(raw, at - start), _edge(raw, end - start) if end < total else len(raw)
+    left, own, right = (x.decode("utf-8", "replace") for x in (raw[_edge(raw, 0) if start else 0 : a], raw[a:b], raw[b:]))
+    return len(own), cut_range(left, own, right, limit, overlap)
+
+
+_COLUMNS = ["range_no", "range_chars", "k", "body_from", "piece_from", "piece_to", "cut", "piece"]
+
+
+def _entries(key: tuple, r: int, chars: int, pieces: list[tuple[int, int, int, str, str]]) -> list[tuple]:
+    """Rows of one range: its entry in the boundary table (k = -1), and its pieces with offsets from its own start."""
+    return [(*key, r, chars, -1, 0, 0, 0, "", ""), *((*key, r, chars, k, x, y, z, how, piece) for k, (x, y, z, how, piece) in enumerate(pieces))]
+
+
+def _stitched(cut: DataFrame, text: list[str]) -> DataFrame:
+    """Pieces of all ranges with their numbers and offsets in the whole text: prefix sums over the boundary table, which has one row of numbers a range."""
+    table = cut.filter("k = -1").select(*text, "range_no", "range_chars")
+    counts = cut.filter("k >= 0").groupBy(*text, "range_no").agg(F.count(F.lit(1)).alias("c"))
+    table = table.join(counts, [*text, "range_no"], "left").fillna(0, ["c"])
+    before = W.partitionBy(*text).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    base = table.select(*text, "range_no", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("range_chars", "base"), ("c", "done"))))
+    return cut.filter("k >= 0").join(base, [*text, "range_no"])
+
+
+def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, range_bytes: int = 1 << 15) -> DataFrame:
     """Pieces of a text column: (key, piece_no, piece_from, piece_to, body_from, cut, piece), offsets in code points from 0.
 
     limit and overlap are columns; a piece has at most limit characters, with what it repeats of the piece before
     (body_from is where its new text starts). Pieces cover the whole text and end at page, paragraph, sentence or word
-    ends where one lies within the limit. Defined results: a null limit (or below 1) means no limit and gives one piece;
-    a null text gives no row, an empty text none; a null or negative overlap is 0, one over half the limit is cut to
-    half; repeated rows repeat their pieces with the same numbers; other columns are not carried along.
+    ends where one lies within the limit.
+
+    Texts are cut into ranges of range_bytes (four bytes a character of the limit at least) with halos by Catalyst, on their UTF-8 bytes; the ranges of a text of
+    several are spread over the cluster, so no Python worker holds a whole one, and their boundary tables are stitched by prefix sums.
+
+    Defined results: a null limit (or below 1) means no limit and gives one piece; a null text gives no row, an empty text
+    none; a null or negative overlap is 0, one over half the limit is cut to half; repeated rows repeat their pieces with
+    the same numbers; other columns are not carried along.
     """
-    src = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(limit).cast("long").alias("__limit"), F.col(overlap).cast("long").alias("__overlap")).filter("__text is not null and __text <> ''")
-    kind = src.schema["__key"].dataType.simpleString()
+    spark = df.sparkSession
+    src = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("b"), F.col(limit).cast("long").alias("lim"), F.col(overlap).cast("long").alias("ov")).filter("b is not null and octet_length(b) > 0")
+    src = src.select("key", "b", F.octet_length("b").alias("n"), F.expr("if(lim >= 1, least(lim, octet_length(b)), octet_length(b))").cast("int").alias("lim"), F.expr("greatest(coalesce(ov, 0), 0)").cast("int").alias("ov"))
+    # 64-bit arithmetic: a halo is four bytes a character of a limit, an overlap and the context of a pattern
+    src = src.withColumn("size", F.expr(f"least(greatest({range_bytes}L, 4L * lim), n)").cast("int")).withColumn("halo", F.expr(f"least(4L * (lim + least(ov, lim) + {CONTEXT}L), n)").cast("int")).withColumn("row", F.monotonically_increasing_id())
+    ranges = src.select("key", "row", "n", "lim", "ov", "size", "halo", "b", F.explode(F.expr("sequence(0, cast((n - 1) div size as int))")).alias("range_no"))
+    ranges = ranges.withColumn("at", F.expr("range_no * size")).withColumn("start", F.expr("greatest(at - halo, 0)"))
+    ranges = ranges.withColumn("raw", F.expr("substring(b, start + 1, cast(least(0L + at + size + halo, n) - start as int))")).select("key", "row", "n", "lim", "ov", "size", "range_no", "at", "start", "raw")
+    kind = src.schema["key"].dataType.simpleString()
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for k, t, lim, ov in zip(pdf["__key"], pdf["__text"], pdf["__limit"], pdf["__overlap"], strict=True):
-                lim = int(lim) if lim == lim and lim is not None and lim >= 1 else len(t)
-                ov = max(int(ov), 0) if ov == ov and ov is not None else 0
-                size = max(range_chars, 2 * lim)
-                n = 0
-                for r, at in enumerate(range(0, len(t), size)):
-                    h = _halo(lim, ov)
-                    for x, y, z, how, piece in cut_range(t[max(at - h, 0) : at], t[at : at + size], t[at + size : at + size + h], lim, ov):
-                        rows.append((k, r, len(t), n, at + x, at + y, at + z, how, piece))
-                        n += 1
-            yield pd.DataFrame(rows, columns=["key", "range_no", "range_chars", "k", "body_from", "piece_from", "piece_to", "cut", "piece"])
-
-    out = src.mapInPandas(cut, f"key {kind}, {PIECE_SCHEMA}")
-    return out.select(F.col("key").alias(key), (F.col("k") + 1).alias("piece_no"), "piece_from", "piece_to", "body_from", "cut", "piece")
-
-
-def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int, overlap: int = 0, range_bytes: int = 8 << 20) -> DataFrame:
+            for k, row, n, lim, ov, size, r, at, start, raw in pdf.itertuples(index=False):
+                rows += _entries((k, row), r, *_cut_bytes(raw, start, at, at + size, n, lim, ov))
+            yield pd.DataFrame(rows, columns=["key", "row", *_COLUMNS])
+
+    schema = f"key {kind}, row long, {PIECE_SCHEMA}"
+    whole = ranges.filter("n <= size").mapInPandas(cut, schema).filter("k >= 0").withColumns({"base": F.lit(0).cast("long"), "done": F.lit(0).cast("long")})
+    # a text of several ranges: one shuffle spreads them, and what they gave is written, to be read for the table and for the pieces
+    several = ranges.filter("n > size").repartition("row", "range_no").mapInPandas(cut, schema)
+    several = _stitched(written(several, f"{scratch_dir(spark)}/cut"), ["key", "row"])
+    out = whole.unionByName(several.select(whole.columns))
+    return out.select(F.col("key").alias(key), (F.col("done") + F.col("k") + 1).alias("piece_no"), *((F.col("base") + F.col(c)).alias(c) for c in ("piece_from", "piece_to", "body_from")), "cut", "piece")
+
+
+def split_files(spark: SparkSession, files: DataFrame, limit: int, overlap: int = 0, range_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of UTF-8 files read by byte ranges: (path, piece_no, piece_from, piece_to, body_from, cut, piece).
 
-    files: (URI or path, bytes). Each task opens its file at its own range, so a file of any size is spread over the
-    cluster; the lengths of ranges in characters and their piece counts are added up in a window over the ranges of a
-    file (a few numbers a range). Defined results: an empty file gives no row; broken bytes at any place are read as
-    U+FFFD; a file listed twice is cut twice under the same path only if listed twice.
+    files: (path, bytes), paths or URIs. Each task opens its file at its own ranges, so a file of any size is spread over the
+    cluster; ranges are made by Spark, not on the driver. Defined results: an empty file gives no row; broken bytes at any place are read as
+    U+FFFD; a file listed twice is cut once.
     """
-    size = max(range_bytes, 16 * limit)
-    meta = [(p, i, at, b) for p, b in files for i, at in enumerate(range(0, b, size))]
-    ranges = spark.createDataFrame(meta or [("", 0, 0, 0)], "path string, range_no long, at long, bytes long").filter("bytes > 0")
-    ranges = ranges.repartition(max(1, min(len(meta), 4096)), "path", "range_no")
+    size = max(range_bytes, 4 * limit)
     h = 4 * _halo(limit, overlap)
+    listed = files.select("path", F.col("bytes").cast("long").alias("bytes")).filter("bytes > 0").distinct()
+    ranges = listed.select("path", "bytes", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {size}L)")).alias("range_no")).repartition("path", "range_no")
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        def edge(b: bytes, i: int) -> int:
-            """The first start of a character at or after byte i."""
-            i = max(0, min(i, len(b)))
-            while i < len(b) and b[i] & 0xC0 == 0x80:
-                i += 1
-            return i
-
         for pdf in it:
-            for path, r, at, total in pdf.itertuples(index=False):
+            for path, total, r in pdf.itertuples(index=False):
                 store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                at = r * size
                 lo, hi = max(at - h, 0), min(at + size + h, total)
                 with store.open_input_file(name) as f:
                     f.seek(lo)
                     raw = f.read(hi - lo)
-                a, b = edge(raw, at - lo), edge(raw, at + size - lo) if at + size < total else len(raw)
-                left, own, right = (x.decode("utf-8", "replace") for x in (raw[edge(raw, 0) if lo else 0 : a], raw[a:b], raw[b:]))
-                rows = [(path, r, len(own), k, x, y, z, how, piece) for k, (x, y, z, how, piece) in enumerate(cut_range(left, own, right, limit, overlap))]
-                rows.append((path, r, len(own), -1, 0, 0, 0, "", ""))  # the range's entry in the boundary table
-                yield pd.DataFrame(rows, columns=["path", "range_no", "range_chars", "k", "body_from", "piece_from", "piece_to", "cut", "piece"])
-
-    cut = ranges.mapInPandas(read, f"path string, {PIECE_SCHEMA}")
-    per = cut.groupBy("path", "range_no").agg(F.max("range_chars").alias("n"), (F.count(F.lit(1)) - 1).alias("c"))
-    before = W.partitionBy("path").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
-    base = per.select("path", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("done"))
-    out = cut.filter("k >= 0").join(base, ["path", "range_no"])
+                yield pd.DataFrame(_entries((path,), r, *_cut_bytes(raw, lo, at, at + size, total, limit, overlap)), columns=["path", *_COLUMNS])
+
+    cut = written(ranges.mapInPandas(read, f"path string, {PIECE_SCHEMA}"), f"{scratch_dir(spark)}/cut")
+    out = _stitched(cut, ["path"])
     return out.select("path", (F.col("done") + F.col("k") + 1).alias("piece_no"), *((F.col("base") + F.col(c)).alias(c) for c in ("piece_from", "piece_to", "body_from")), "cut", "piece")

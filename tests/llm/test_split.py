@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evidex.llm import split as S
 
@@ -45,7 +46,7 @@ def test_column(spark):
     data = [("a", text, 500, 50), ("b", "short", 500, 50), ("c", None, 5, 1), ("d", "", 5, 1), ("e", text[:900], None, None), ("f", text[:900], 100, -3), ("g", text[:900], 100, 5000), ("b", "short", 500, 50)]
     df = spark.createDataFrame(data, "id string, t string, lim int, ov int").selectExpr("*", "1 as piece")
     got = {}
-    for x in S.split_texts(df, "id", "t", "lim", "ov", range_chars=2000).collect():
+    for x in S.split_texts(df, "id", "t", "lim", "ov", range_bytes=2000).collect():
         got.setdefault(x.id, set()).add((x.piece_no, x.piece_from, x.piece_to, x.body_from))
     whole = {i: (t, lim, ov) for i, t, lim, ov in data}
     assert set(got) == {"a", "b", "e", "f", "g"} and len(got["b"]) == len(got["e"]) == 1
@@ -59,7 +60,32 @@ def test_column(spark):
 def test_files_by_ranges_equal_the_text(spark, tmp_path, text):
     f = tmp_path / "f.txt"
     f.write_bytes(text.encode())
-    df = S.split_files(spark, [(str(f), len(text.encode()))], 300, 30, range_bytes=5000)
+    df = S.split_files(spark, spark.createDataFrame([(str(f), len(text.encode()))] * 2, "path string, bytes long"), 300, 30, range_bytes=5000)
     ps = sorted(tuple(r) for r in df.select("piece_no", "piece_from", "piece_to", "body_from", "piece").collect())
     assert [p[0] for p in ps] == list(range(1, len(ps) + 1)) and all(text[a:b] == piece for _, a, b, _, piece in ps)
     check(text, [p[1:4] for p in ps], 300, 30)
+
+
+def test_giant_text_is_cut_by_many_tasks_and_comes_back_whole(spark):
+    n = 3_000_000
+    df = spark.range(1).selectExpr("id", f"repeat('Wörds of a sentence. Anöther one, lönger than that. ', {n // 50}) as t", "6000 as lim", "300 as ov")
+    whole = df.first().t
+    got = S.split_texts(df, "id", "t", "lim", "ov").withColumn("p", F.spark_partition_id())
+    rows = sorted(tuple(r) for r in got.select("piece_no", "piece_from", "piece_to", "body_from", "piece").collect())
+    assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and all(whole[a:b] == piece for _, a, b, _, piece in rows)
+    check(whole, [r[1:4] for r in rows], 6000, 300)
+    assert len(rows) > 450
+
+
+def test_column_by_ranges_equals_one_range(spark):
+    r = random.Random(5)
+    texts = [(i, "".join(r.choices(["ä word. ", "word ", "\n\n", "\n--- PAGE 3 ---\n", "x" * 90], k=r.randrange(1, 900))), 120, 20) for i in range(12)]
+    df = spark.createDataFrame(texts, "id int, t string, lim int, ov int")
+    for x in (S.split_texts(df, "id", "t", "lim", "ov", 1), S.split_texts(df, "id", "t", "lim", "ov", 1 << 20)):
+        per = {}
+        for row in x.collect():
+            assert texts[row.id][1][row.piece_from : row.piece_to] == row.piece
+            per.setdefault(row.id, []).append((row.piece_no, row.piece_from, row.piece_to, row.body_from))
+        assert set(per) == set(range(12))
+        for i, ps in per.items():
+            check(texts[i][1], [p[1:] for p in sorted(ps)], 120, 20)
