@@ -121,15 +121,15 @@ def _page_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that are not blank and whose lines are for the most part a list, table, form or junk."""
+    """Pages that are not blank and fail a rule of natural prose."""
     return _page_quality(spark, d).filter("verdict not in ('prose', 'empty')").select("source_file_id", "page_number").distinct()
 
 
 @query
 def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics anew and verdict of every page; copies of a page give one row."""
-    cols = "source_file_id page_number char_count printable_ratio alpha_ratio word_count mean_word_length symbol_ratio common_share line_count end_punctuation_share bullet_share body_share verdict".split()
-    return _page_quality(spark, d).select(*cols, F.array_join("failed_rules", " ").alias("failed_rules")).distinct()
+    cols = "source_file_id page_number char_count printable_ratio alpha_ratio word_count mean_word_length symbol_ratio common_share letter_share stop_words line_count end_punctuation_share bullet_share ellipsis_share body_share verdict".split()
+    return _page_quality(spark, d).select(*cols, F.array_join("failed_rules", " ").alias("failed_rules"), F.array_join("notes", " ").alias("notes")).distinct()
 
 
 # --- p1: incidents and source records of one sighting -------------------------------------------------------------------
