@@ -74,10 +74,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         seeds = spark.read.schema(graph.schema).parquet(f"{root}/g0").select(F.col("u").alias("node")).distinct().join(dropped.select("node"), "node", "left_anti")
         label = written(seeds.select("node", F.col("node").alias("component")), f"{root}/l{k}")
         for i in range(len(forest) - 1, -1, -1):
+            # each level is written once; a parent has its label in a level that dropped later, or is a seed
             down = forest[i].join(label.select(F.col("node").alias("parent"), "component"), "parent").select("node", "component")
-            label = written(label.unionByName(down), f"{root}/l{i}")
-            drop_scratch(spark, f"{root}/l{i + 1}")
-        keep_only(spark, root, "l0")
+            label = label.unionByName(written(down, f"{root}/l{i}"))
+        keep_only(spark, root, *(f"l{i}" for i in range(k + 1)))
     else:
         label = graph.select(F.col("u").alias("node"), F.col("u").alias("component"))
     if nodes is None:
