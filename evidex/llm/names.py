@@ -281,6 +281,54 @@ def average_linkage(edges: list[tuple[int, int, float]], threshold: float) -> di
     return out
 
 
+def linkage_rounds(edges: DataFrame, threshold: float) -> DataFrame:
+    """(fid, g): average_linkage() over edges (a, b, s), a < b, without gathering a component: what of any size is cut with.
+
+    In each round every group finds its best neighbour by mean similarity, and pairs that are each other's best merge, all at once. Average
+    linkage allows that: a merged group is never nearer to a third than the nearer of its two parts. g is the smallest
+    name of a group; of equal similarities the smaller names come first.
+    """
+    spark = edges.sparkSession
+    root = scratch_dir(spark)
+    sums = written(edges.filter("a <> b").select("a", "b", F.col("s").alias("t"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")), f"{root}/s0")
+    label = written(edges.select(F.explode(F.array("a", "b")).alias("fid")).distinct().select("fid", F.col("fid").alias("g")), f"{root}/l0")
+    k = 0
+    while True:
+        both = sums.select("a", "b", (F.col("t") / (F.col("na") * F.col("nb"))).alias("m")).filter(F.col("m") >= threshold)
+        ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "m"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "m"))).alias("e")).select("e.*")
+        best = ends.groupBy("x").agg(F.min_by("y", F.struct(-F.col("m"), F.least("x", "y"), F.greatest("x", "y"))).alias("y"))
+        pairs = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).filter("x < y").select(F.col("y").alias("old"), F.col("x").alias("new"))
+        pairs = written(pairs, f"{root}/p{k}")
+        if pairs.isEmpty():
+            keep_only(spark, root, f"l{k}")
+            return label
+        k += 1
+        to = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c))
+        p = lambda c: pairs.select(F.col("old").alias(c), F.col("new").alias(f"new_{c}"))
+        label = written(label.join(p("g"), "g", "left").select("fid", to("g").alias("g")), f"{root}/l{k}")
+        size = label.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        moved = sums.join(p("a"), "a", "left").join(p("b"), "b", "left").select(to("a").alias("a"), to("b").alias("b"), "t").filter("a <> b")
+        moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("t").alias("t"))
+        n = lambda c: size.select(F.col("g").alias(c), F.col("n").alias(f"n{c}"))
+        sums = written(moved.join(n("a"), "a").join(n("b"), "b").select("a", "b", "t", "na", "nb"), f"{root}/s{k}")
+
+
+def linked_groups(inside: DataFrame, threshold: float, most_edges: int = 200_000) -> DataFrame:
+    """(fid, g): average linkage of every component of inside (component, a, b, s): one with at most most_edges edges in one task, a larger one by rounds over the cluster."""
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        no = {n: i for i, n in enumerate(names)}
+        groups = average_linkage(sorted((no[a], no[b], s) for a, b, s in zip(pdf["a"], pdf["b"], pdf["s"], strict=True)), threshold)
+        return pd.DataFrame({"fid": names, "g": [names[groups[i]] for i in range(len(names))]})
+
+    giant = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_edges).select("component")
+    tasks = max(inside.sparkSession.sparkContext.defaultParallelism, 2)
+    small = inside.join(giant, "component", "left_anti").repartition(2 * tasks, "component").groupBy("component").applyInPandas(link, "fid string, g string")
+    large = inside.join(giant, "component", "left_semi")
+    return small if large.isEmpty() else small.unionByName(linkage_rounds(large.select("a", "b", "s"), threshold))
+
+
 def similar_keys(keys: DataFrame, min_cosine: float) -> DataFrame:
     """(kind, a, b), a < b: keys (columns kind, key, grams) whose n-gram vectors have a cosine of at least min_cosine.
 
@@ -370,15 +418,8 @@ def name_groups(df: DataFrame, key: str, kind: str, name: str, about: str | None
     ca = comp.select(F.col("node").alias("a"), "component")
     cb = comp.select(F.col("node").alias("b"), F.col("component").alias("component_b"))
     inside = edges.join(ca, "a").join(cb, "b").filter("component = component_b").select("component", "a", "b", "s")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        no = {n: i for i, n in enumerate(names)}
-        groups = average_linkage(sorted((no[a], no[b], s) for a, b, s in zip(pdf["a"], pdf["b"], pdf["s"], strict=True)), threshold)
-        return pd.DataFrame({"fid": names, "g": [names[groups[i]] for i in range(len(names))]})
-
-    # a component holds the distinct spellings of a few names, however many rows have them
-    linked = inside.groupBy("component").applyInPandas(link, "fid string, g string")
+    inside = written(inside, f"{root}/inside")
+    linked = linked_groups(inside, threshold)
     labelled = written(rows.join(linked, "fid", "left").select("key", "kind", F.coalesce("g", "fid").alias("g")), f"{root}/labelled")
     keep_only(spark, root, "labelled")
     least = labelled.groupBy("kind", "g").agg(F.min("key").alias("group"))

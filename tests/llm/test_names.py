@@ -42,6 +42,16 @@ def test_average_linkage_against_brute_force():
         assert {frozenset(k for k in range(n) if got[k] == v) for v in set(got.values())} == {frozenset(g) for g in groups}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_linkage_by_rounds_equals_one_task(spark, seed):
+    r = random.Random(seed)
+    edges = [(f"n{i:02d}", f"n{j:02d}", round(r.random(), 6)) for i in range(24) for j in range(i + 1, 24) if r.random() < 0.5]
+    df = spark.createDataFrame([("x", *e) for e in edges], "component string, a string, b string, s double")
+    one, many = ({q.fid: q.g for q in N.linked_groups(df, 0.55, most).collect()} for most in (10_000, 5))
+    assert one == many and 1 < len(set(one.values())) < 24
+    assert N.linked_groups(df.limit(0), 0.55).count() == 0
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
