@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -200,3 +200,37 @@ def classify(df: DataFrame, text: str, rules: list[tuple[str, str, Column | str]
     hit = ladder([(f"{i:02d}:{c}:{conf}", F.col("__t").rlike(cond) if isinstance(cond, str) else cond) for i, (c, conf, cond) in enumerate(rules, 1)], f"{len(rules) + 1:02d}:{default}:low")
     p = F.split(hit, ":")
     return df.withColumn("__p", p).withColumns({"document_class": F.col("__p")[1], "confidence": F.col("__p")[2], "reason": F.concat_ws(":", F.col("__p")[0], F.col("__p")[1])}).drop("__t", "__p")
+
+
+def classify_hybrid(df: DataFrame, id_: str, text: str, rules: list[tuple[str, str, str]], ask: Callable[[list, list], list], allowed: list[str]) -> DataFrame:
+    """(id, document_class, confidence, method): classes by rules where they are sure ('high'), else by a model.
+
+    ask(ids, texts) gives a class for each text of a batch; it is called for the unsure ones only. A class that is not
+    allowed, or none, is rejected: the rule's class stands, with low confidence and the method 'rules_after_invalid'.
+    """
+    c = classify(df, text, rules)
+    kind = dict(df.dtypes)[id_]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"id": pdf["id"], "said": ask(pdf["id"].tolist(), pdf["text"].tolist()), "rule": pdf["rule"]})
+
+    sure = c.filter("confidence = 'high'").select(F.col(id_), "document_class", "confidence", F.lit("rules").alias("method"))
+    asked = c.filter("confidence <> 'high'").select(F.col(id_).alias("id"), F.col(text).alias("text"), F.col("document_class").alias("rule")).mapInPandas(run, f"id {kind}, said string, rule string")
+    ok = F.coalesce(F.col("said").isin(*allowed), F.lit(False))
+    return sure.unionByName(asked.select(F.col("id").alias(id_), F.when(ok, F.col("said")).otherwise(F.col("rule")).alias("document_class"), F.when(ok, "medium").otherwise("low").alias("confidence"), F.when(ok, "model").otherwise("rules_after_invalid").alias("method")))
+
+
+def stage_a(pages: DataFrame, files: DataFrame, file: str, page_text: str, file_text: str, rules: list[tuple[str, str, str]], wanted: set[str]) -> DataFrame:
+    """One row for each file of pages: (file, pages, native_good, native_thin, needs_ocr, empty, document_class, confidence, action).
+
+    action: 'failed' where every page is empty, 'ocr' where more pages need it than don't, 'extract' for the wanted classes, else
+    'source_only'. files has one row a file with its text; a file without a row is of the class 'other'.
+    """
+    q = page_quality(pages, page_text)
+    n = lambda k: F.count_if(F.col("category") == k).alias(k)
+    g = q.groupBy(file).agg(F.count(F.lit(1)).alias("pages"), n("native_good"), n("native_thin"), n("needs_ocr"), F.count_if(F.col("native_char_count") == 0).alias("empty"))
+    c = classify(files, file_text, rules).select(file, "document_class", "confidence")
+    g = g.join(c, file, "left").fillna({"document_class": "other", "confidence": "low"})
+    action = F.when(F.col("empty") == F.col("pages"), "failed").when(F.col("needs_ocr") * 2 > F.col("pages"), "ocr").when(F.col("document_class").isin(*sorted(wanted)), "extract").otherwise("source_only")
+    return g.withColumn("action", action)

@@ -121,10 +121,10 @@ def agg17(t):
     return t("incidents").groupBy("source_file_id").agg(F.count_distinct("case_id").alias("n"), F.count_distinct("occurred_at").alias("dates")).filter("n >= 10")
 
 
-@add("AGG-18", "SELECT occurred_at, place, count(DISTINCT case_id) AS n FROM (SELECT case_id, occurred_at, unnest(list_distinct(regexp_extract_all(lower(coalesce(location_text,'')),'[a-z]{6,}'))) AS place FROM incidents WHERE occurred_at IS NOT NULL) GROUP BY ALL HAVING count(DISTINCT case_id)>=4")
+@add("AGG-18", "SELECT occurred_at, place, count(DISTINCT case_id) AS n FROM (SELECT case_id, occurred_at, unnest(list_distinct(regexp_extract_all(lower(coalesce(location_text,'')),'[a-z]{6,}'))) AS place FROM incidents WHERE occurred_at IS NOT NULL) GROUP BY ALL HAVING count(DISTINCT case_id)>=2")
 def agg18(t):
     k = t("incidents").filter("occurred_at is not null").select("case_id", "occurred_at", F.explode(T.tokens("location_text", 6, pattern="[a-z]{6,}")).alias("place"))
-    return k.groupBy("occurred_at", "place").agg(F.count_distinct("case_id").alias("n")).filter("n >= 4")
+    return k.groupBy("occurred_at", "place").agg(F.count_distinct("case_id").alias("n")).filter("n >= 2")
 
 
 @add("AGG-19", "SELECT alarm, subject FROM (SELECT 'many_cases' AS alarm, source_file_id AS subject FROM incidents GROUP BY 2 HAVING count(DISTINCT case_id)>30 UNION ALL SELECT 'many_events', upper(trim(case_id)) FROM event_members WHERE case_id IS NOT NULL GROUP BY 2 HAVING count(DISTINCT event_id)>3 UNION ALL SELECT 'no_text', id FROM source_files WHERE ocr_text IS NULL GROUP BY 2)")

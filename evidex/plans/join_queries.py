@@ -8,6 +8,7 @@ from evidex.functions import text as T
 from evidex.operators import matching_rules as M
 from evidex.operators import relational as R
 from evidex.plans.registry import Book
+from evidex.session import fixed_rows
 
 book = Book()
 add = book.add
@@ -113,10 +114,12 @@ def joi06_levels(t):
     return _cascade(t)
 
 
-@add("JOI-07", "SELECT 'customer' AS side, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@add("JOI-07", "SELECT DISTINCT 'event' AS side, event_id AS k FROM canonical_events WHERE event_id NOT IN (SELECT event_id FROM event_members WHERE event_id IS NOT NULL) UNION ALL SELECT DISTINCT 'member', event_id FROM event_members WHERE event_id NOT IN (SELECT event_id FROM canonical_events WHERE event_id IS NOT NULL)")
 def joi07(t):
-    c, o = t("customer"), t("orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("k")).unionByName(o.join(c, c.c_custkey == o.o_custkey, "left_anti").select(F.lit("order").alias("side"), F.col("o_orderkey").alias("k")))
+    """Events without members, and members without an event."""
+    c, m = t("canonical_events").select("event_id").distinct(), t("event_members").filter("event_id is not null").select("event_id").distinct()
+    side = lambda x, y, n: x.join(y, "event_id", "left_anti").select(F.lit(n).alias("side"), F.col("event_id").alias("k"))
+    return side(c, m, "event").unionByName(side(m, c, "member"))
 
 
 @add("JOI-08", "SELECT CASE WHEN o_orderkey%10=9 THEN o_orderkey+1000000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey%10=0 THEN 'modified' WHEN o_orderkey%10=9 THEN 'new' ELSE 'unchanged' END AS change FROM orders UNION ALL SELECT o_orderkey, 'deprecated' FROM orders WHERE o_orderkey%10=9")
@@ -129,9 +132,8 @@ def joi08(t):
 
 @add("JOI-09")
 def joi09(t):
-    """Pairs of incidents of one file with alike excerpts, checked against brute force in the tests."""
-    i = R.first_per(t("incidents"), ["case_id"], ["extracted_at"])
-    return M.similar_in_group(i, "case_id", ["source_file_id"], "raw_excerpt", 0.8, 20)
+    """Pairs of entities of one kind with alike names, checked against brute force in the tests."""
+    return M.similar_in_group(t("entities"), "id", ["kind"], "name", 0.8, 8)
 
 
 _TOK = "SELECT DISTINCT event_id AS id, unnest(list_distinct(regexp_extract_all(lower(label),'[a-z0-9]+'))) AS t FROM canonical_events WHERE label IS NOT NULL"
@@ -158,9 +160,8 @@ def joi11(t):
 
 @add("JOI-12")
 def joi12(t):
-    """Alike excerpts of incidents in different files, whatever their day and branch; checked against brute force in the tests."""
-    i = R.first_per(t("incidents"), ["case_id"], ["extracted_at"])
-    return M.similar_across(i, "case_id", "source_file_id", "raw_excerpt", 0.92, 40)
+    """Alike titles of records of different providers; checked against brute force in the tests."""
+    return M.similar_across(t("source_records").filter("title is not null"), "identity_key", "provider", "title", 0.92, 12)
 
 
 @add("JOI-13", "SELECT id, other, round(score,6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON b.label=a.label AND b.vec_id<>a.vec_id) WHERE n=1")
@@ -206,29 +207,32 @@ def joi17(t):
     return best.select("a", "x.b", (-F.col("x.s")).alias("shared"))
 
 
-@add("JOI-18", f"WITH k AS (SELECT k.*, c.occurred_at FROM ({_TOK}) k JOIN canonical_events c ON c.event_id=k.id WHERE c.occurred_at IS NOT NULL), s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.t=y.t AND x.occurred_at=y.occurred_at AND x.id<>y.id WHERE length(x.t)>=5 GROUP BY ALL) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n=1")
+@add("JOI-18", f"WITH k AS (SELECT k.*, year(c.occurred_at)//10 AS y FROM ({_TOK}) k JOIN (SELECT DISTINCT event_id, occurred_at FROM canonical_events WHERE occurred_at IS NOT NULL) c ON c.event_id=k.id), s AS (SELECT x.id AS a, y.id AS b, count(DISTINCT x.t) AS shared FROM k x JOIN k y ON x.t=y.t AND x.y=y.y AND x.id<>y.id WHERE length(x.t)>=5 GROUP BY ALL) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS n FROM s) WHERE n=1")
 def joi18(t):
-    """Best partner of the same day by shared words: the day guards the match."""
-    k = _labels(t).filter("occurred_at is not null").select("event_id", "occurred_at", F.explode(T.tokens("label", 5)).alias("t"))
-    a, b = k.toDF("a", "occurred_at", "t"), k.toDF("b", "occurred_at", "t")
-    s = a.join(b, ["occurred_at", "t"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    """Best partner of the same decade by shared words: the decade guards the match."""
+    y = t("canonical_events").filter("occurred_at is not null").select("event_id", F.floor(F.year("occurred_at") / 10).alias("y")).distinct()
+    k = t("canonical_events").filter("label is not null").select("event_id", F.explode(T.tokens("label", 5)).alias("t")).distinct().join(y, "event_id")
+    s = k.toDF("a", "t", "y").join(k.toDF("b", "t", "y"), ["y", "t"]).filter("a <> b").groupBy("a", "b").agg(F.count_distinct("t").alias("shared"))
     return s.groupBy("a").agg(F.min(F.struct((-F.col("shared")).alias("s"), "b")).alias("x")).select("a", "x.b", (-F.col("x.s")).alias("shared"))
 
 
-@add("JOI-19", "SELECT k, n_nationkey, score FROM (SELECT p_partkey AS k, n_nationkey, CASE WHEN contains(lower(p_name),lower(substr(n_name,1,3))) THEN length(n_name) ELSE 0 END AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN contains(lower(p_name),lower(substr(n_name,1,3))) THEN length(n_name) ELSE 0 END DESC, n_nationkey) AS n FROM part, nation) WHERE n=1 AND score>0")
+@add("JOI-19", "SELECT k, region, score FROM (SELECT case_id AS k, region, length(region) AS score, row_number() OVER (PARTITION BY case_id ORDER BY length(region) DESC, region) AS n FROM (SELECT DISTINCT case_id, lower(location_text) AS place FROM incidents WHERE location_text IS NOT NULL) i JOIN (SELECT DISTINCT region FROM region_zones) r ON contains(place, lower(region))) WHERE n=1")
 def joi19(t):
-    """Containment scores by the length of the name found; the second side is a fixed list of nations, sent along."""
-    n = t("nation").select("n_nationkey", "n_name")
-    p = t("part").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("name")).crossJoin(F.broadcast(n))  # 25 rows, the same at every scale
-    s = p.withColumn("score", F.when(F.col("name").contains(F.lower(F.substring("n_name", 1, 3))), F.length("n_name")).otherwise(0)).filter("score > 0")
-    return s.groupBy("k").agg(F.max_by(F.struct("n_nationkey", "score"), F.struct("score", -F.col("n_nationkey"))).alias("x")).select("k", "x.*")
+    """Containment scores by the length of the name found: the regions are a fixed list of names, looked for as words of a pattern."""
+    names = [r[0] for r in fixed_rows(t("region_zones").select("region").distinct(), 1000)]
+    p = t("incidents").filter("location_text is not null").select(F.col("case_id").alias("k"), F.lower("location_text").alias("place")).distinct()
+    hits = F.filter(F.array(*(F.struct(F.lit(len(n)).alias("score"), F.lit(n).alias("region"), F.lit(n.lower()).alias("low")) for n in names)), lambda x: F.col("place").contains(x["low"]))
+    s = p.select("k", F.explode(hits).alias("x")).groupBy("k").agg(F.min(F.struct((-F.col("x.score")).alias("s"), "x.region")).alias("x"))
+    return s.select("k", "x.region", (-F.col("x.s")).alias("score"))
 
 
 @add("JOI-20", "SELECT id, level, agency FROM (SELECT f.id, r.agency, CASE WHEN f.byte_size=r.byte_size THEN 'size' ELSE 'agency' END AS level, row_number() OVER (PARTITION BY f.id ORDER BY CASE WHEN f.byte_size=r.byte_size THEN 0 ELSE 1 END, r.identity_key) AS n FROM (SELECT DISTINCT id, byte_size, agency, release_number FROM source_files) f JOIN (SELECT DISTINCT identity_key, byte_size, agency, release_number FROM source_records) r ON f.byte_size=r.byte_size OR (f.agency=r.agency AND f.release_number=r.release_number)) WHERE n=1")
 def joi20(t):
+    """The first record by size, else by agency and release; of the records of one key only the first can win, so one stands for all."""
     f, r = t("source_files").select("id", "byte_size", "agency", "release_number").distinct(), t("source_records").select("identity_key", "byte_size", "agency", "release_number").distinct()
-    a = f.join(r.select("identity_key", "byte_size", F.col("agency").alias("found")), "byte_size").select("id", F.lit(0).alias("p"), "identity_key", "found")
-    b = f.join(r.withColumn("found", F.col("agency")), ["agency", "release_number"]).select("id", F.lit(1).alias("p"), "identity_key", "found")
+    first = lambda *keys: r.groupBy(*keys).agg(F.min(F.struct("identity_key", F.col("agency").alias("found"))).alias("x"))
+    a = f.join(first("byte_size"), "byte_size").select("id", F.lit(0).alias("p"), "x.*")
+    b = f.join(first("agency", "release_number"), ["agency", "release_number"]).select("id", F.lit(1).alias("p"), "x.*")
     best = a.unionByName(b).groupBy("id").agg(F.min(F.struct("p", "identity_key", "found")).alias("x"))
     return best.select("id", F.when(F.col("x.p") == 0, "size").otherwise("agency").alias("level"), F.col("x.found").alias("agency"))
 
@@ -293,9 +297,15 @@ def joi27(t):
 
 @add("JOI-28", "SELECT DISTINCT a.case_id AS a, b.case_id AS b FROM incidents a JOIN incidents b ON a.occurred_at=b.occurred_at AND a.region=b.region AND a.case_id<b.case_id WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(a.location_text,'')),'[a-z]{6,}')), list_distinct(regexp_extract_all(lower(coalesce(b.location_text,'')),'[a-z]{6,}'))))>=2")
 def joi28(t):
+    """Incidents of one day and region whose places share two words: they meet under a shared word, not as a whole day."""
     i = t("incidents").filter("occurred_at is not null and region is not null").select("case_id", "occurred_at", "region", T.tokens("location_text", 6, pattern="[a-z]{6,}").alias("toks")).distinct()
-    a, b = i.withColumnRenamed("case_id", "a"), i.withColumnRenamed("case_id", "b").withColumnRenamed("toks", "toks2")
-    return a.join(b, ["occurred_at", "region"]).filter((F.col("a") < F.col("b")) & (F.size(F.array_intersect("toks", "toks2")) >= 2)).select("a", "b").distinct()
+    w = i.select("case_id", "occurred_at", "region", F.explode("toks").alias("t")).distinct()
+    a, b = w.withColumnRenamed("case_id", "a"), w.withColumnRenamed("case_id", "b")
+    pairs = a.join(b, ["occurred_at", "region", "t"]).filter("a < b")
+    # two rows of a case may have different places: the words must be shared by one row of each
+    few = pairs.groupBy("a", "b").agg(F.count_distinct("t").alias("n")).filter("n >= 2").select("a", "b")
+    x, y = i.select(F.col("case_id").alias("a"), "occurred_at", "region", "toks"), i.select(F.col("case_id").alias("b"), "occurred_at", "region", F.col("toks").alias("toks2"))
+    return few.join(x, "a").join(y, ["b", "occurred_at", "region"]).filter(F.size(F.array_intersect("toks", "toks2")) >= 2).select("a", "b").distinct()
 
 
 @add("JOI-29", r"""WITH p AS (SELECT DISTINCT event_id, lower(split_part(label,' / ',1)) AS place FROM canonical_events WHERE label IS NOT NULL), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text),'[a-z]{5,}'))) AS t FROM documents)

@@ -65,11 +65,13 @@ def lnk01(t):
     return L.candidates({k: c.filter(F.col("kind") == k).select(F.col("left").alias("a"), F.col("right").alias("b")) for k in kinds})
 
 
-@add("LNK-02", f"WITH m AS ({_MEM}), p AS (SELECT DISTINCT event_id, split_part(label,' / ',1) AS place, split_part(label,' / ',2) AS year FROM canonical_events WHERE label IS NOT NULL) SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON a.place=b.place AND a.year=b.year AND a.event_id<>b.event_id WHERE a.event_id IN (SELECT event_id FROM m WHERE role='follow_up')")
+@add("LNK-02", f"WITH m AS ({_MEM}), p AS (SELECT DISTINCT event_id, split_part(label,' / ',1) AS place, substr(split_part(label,' / ',2),1,3) AS decade FROM canonical_events WHERE label IS NOT NULL) SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON a.place=b.place AND a.decade=b.decade AND a.event_id<>b.event_id WHERE a.event_id IN (SELECT event_id FROM m WHERE role<>'observation')")
 def lnk02(t):
-    p = t("canonical_events").filter("label is not null").select("event_id", F.split("label", " / ")[0].alias("place"), F.try_element_at(F.split("label", " / "), F.lit(2)).alias("year")).distinct()
-    later = _members(t).filter("role = 'follow_up'").select(F.col("event_id").alias("a"))
-    return p.toDF("a", "place", "year").join(p.toDF("b", "place", "year"), ["place", "year"]).filter("a <> b").join(later, "a", "left_semi").select("a", "b").distinct()
+    """Other events at the place and decade of an event with more than an observation; only those are looked up."""
+    year = F.try_element_at(F.split("label", " / "), F.lit(2))
+    p = t("canonical_events").filter("label is not null").select("event_id", F.split("label", " / ")[0].alias("place"), F.substring(F.coalesce(year, F.lit("")), 1, 3).alias("decade")).distinct()
+    later = _members(t).filter("role <> 'observation'").select(F.col("event_id").alias("a")).distinct()
+    return p.toDF("a", "place", "decade").join(later, "a", "left_semi").join(p.toDF("b", "place", "decade"), ["place", "decade"]).filter("a <> b").select("a", "b").distinct()
 
 
 @add("LNK-03", """WITH i AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY extracted_at) AS rn FROM incidents), u AS (SELECT source_file_id, case_id, source_page, region, occurred_at FROM i WHERE rn=1),
@@ -159,10 +161,10 @@ def lnk13(t):
     return t("canonical_events").join(s, "event_id", "left").select("event_id", F.coalesce("given", "label").alias("label"), F.coalesce("location_text", F.lit("unknown")).alias("place"))
 
 
-@add("LNK-14", "SELECT DISTINCT source_filename, 'incident_report' AS document_class FROM event_members WHERE source_filename IS NOT NULL AND source_filename NOT IN (SELECT filename FROM source_files WHERE filename IS NOT NULL)")
+@add("LNK-14", "SELECT DISTINCT source_filename, 'incident_report' AS document_class FROM event_members WHERE source_filename IS NOT NULL AND source_filename NOT IN (SELECT filename FROM source_files WHERE filename IS NOT NULL AND lower(trim(file_type))='pdf')")
 def lnk14(t):
     m = t("event_members").filter("source_filename is not null").select("source_filename").distinct()
-    return m.join(t("source_files").select(F.col("filename").alias("source_filename")), "source_filename", "left_anti").select("source_filename", F.lit("incident_report").alias("document_class"))
+    return m.join(t("source_files").filter("lower(trim(file_type)) = 'pdf'").select(F.col("filename").alias("source_filename")), "source_filename", "left_anti").select("source_filename", F.lit("incident_report").alias("document_class"))
 
 
 @add("LNK-15", "SELECT filename, arg_max(release_number, id) AS release FROM source_files WHERE release_number IS NOT NULL GROUP BY 1")
@@ -196,12 +198,12 @@ _WORDS = "list_filter(list_distinct(regexp_extract_all(lower(question),'[a-z0-9]
 
 @add("RET-03", f"""SELECT item_id, event_id, score, rank FROM (SELECT item_id, event_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, event_id) AS rank FROM (
 SELECT item_id, event_id, sum((CASE WHEN contains(lower(coalesce(label,'')),w) THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(location_text,'')),w) THEN 2.0 ELSE 0 END)*CASE WHEN length(w)>4 THEN 2 ELSE 1 END) AS score
-FROM (SELECT item_id, unnest({_WORDS}) AS w FROM eval_items WHERE item_id%100=0), (SELECT DISTINCT event_id, label, location_text FROM canonical_events) GROUP BY ALL) WHERE score>=4) WHERE rank<=12""")
+FROM (SELECT item_id, unnest({_WORDS}) AS w FROM eval_items), (SELECT DISTINCT event_id, label, location_text FROM canonical_events) GROUP BY ALL) WHERE score>=4) WHERE rank<=12""")
 def ret03(t):
-    """Weighted token score of all events for every hundredth question."""
-    q = t("eval_items").filter("item_id % 100 = 0").select("item_id", T.tokens("question", 4).alias("toks"))
+    """Weighted token score of all events for every question of the fixed set of 300."""
+    q = t("eval_items").select("item_id", T.tokens("question", 4).alias("toks"))
     c = t("canonical_events").select("event_id", "label", "location_text").distinct()
-    s = c.crossJoin(F.broadcast(q)).select("item_id", "event_id", Q.token_score(F.col("toks"), [(F.col("label"), 3), (F.col("location_text"), 2)]).alias("score"))  # a stated query set of 3 rows
+    s = c.crossJoin(F.broadcast(q)).select("item_id", "event_id", Q.token_score(F.col("toks"), [(F.col("label"), 3), (F.col("location_text"), 2)]).alias("score"))  # a stated query set of 300 rows
     return R.top_per(s.filter("score >= 4"), ["item_id"], [F.desc("score"), "event_id"], 12)
 
 

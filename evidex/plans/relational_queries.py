@@ -61,9 +61,9 @@ def flt09(t):
     return R.where(t("lineitem"), spec).orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(50).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@add("FLT-10", "SELECT case_id, occurred_at FROM incidents WHERE occurred_at < DATE '1947-01-01'")
+@add("FLT-10", "SELECT case_id, occurred_at FROM incidents WHERE occurred_at < DATE '1960-01-01'")
 def flt10(t):
-    return t("incidents").filter(F.col("occurred_at") < "1947-01-01").orderBy("occurred_at", "case_id").select("case_id", "occurred_at")
+    return t("incidents").filter(F.col("occurred_at") < "1960-01-01").orderBy("occurred_at", "case_id").select("case_id", "occurred_at")
 
 
 @add("FLT-11", "SELECT identity_key, agency FROM source_records WHERE agency IS NULL OR agency IN ('','null')")
