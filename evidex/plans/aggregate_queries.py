@@ -68,11 +68,15 @@ def agg09(t):
     return t("incidents").agg(F.coalesce(F.round(F.try_divide(F.count(F.lit(1)), F.count_distinct("source_file_id")), 2), F.lit(0.0)).alias("per_source"))
 
 
-@add("AGG-10", "SELECT flagged, resolution_status, count(*) AS n, count(f.id) AS mapped, count(*)-count(f.id) AS unmapped FROM (SELECT DISTINCT case_id, source_file_id, flagged, resolution_status FROM incidents) LEFT JOIN (SELECT DISTINCT id FROM source_files WHERE file_type='pdf') f ON f.id=source_file_id GROUP BY ALL")
+@add("AGG-10", "SELECT flagged, resolution_status, CASE WHEN f.id IS NOT NULL THEN 'mapped' WHEN source_file_id IS NULL THEN 'no_file' WHEN g.id IS NULL THEN 'unknown_file' ELSE 'other_type' END AS reason, count(*) AS n, count(f.id) AS mapped, count(*)-count(f.id) AS unmapped FROM (SELECT DISTINCT case_id, source_file_id, flagged, resolution_status FROM incidents) LEFT JOIN (SELECT DISTINCT id FROM source_files WHERE file_type='pdf') f ON f.id=source_file_id LEFT JOIN (SELECT DISTINCT id FROM source_files) g ON g.id=source_file_id GROUP BY ALL")
 def agg10(t):
+    """Flagged and unflagged rows by status: mapped to a document, or why not."""
     i = t("incidents").select("case_id", F.col("source_file_id").alias("id"), "flagged", "resolution_status").distinct()
-    f = t("source_files").filter("file_type = 'pdf'").select("id", F.lit(1).alias("m")).distinct()
-    return i.join(f, "id", "left").groupBy("flagged", "resolution_status").agg(n(), F.count("m").alias("mapped"), (F.count(F.lit(1)) - F.count("m")).alias("unmapped"))
+    f = t("source_files").groupBy("id").agg(F.bool_or(F.coalesce(F.col("file_type") == "pdf", F.lit(False))).alias("m"))
+    j = i.join(f, "id", "left")
+    why = F.when(F.col("m"), "mapped").when(F.col("id").isNull(), "no_file").when(F.col("m").isNull(), "unknown_file").otherwise("other_type")
+    hit = F.count_if(F.coalesce(F.col("m"), F.lit(False)))
+    return j.groupBy("flagged", "resolution_status", why.alias("reason")).agg(n(), hit.alias("mapped"), (F.count(F.lit(1)) - hit).alias("unmapped"))
 
 
 @add("AGG-11", "SELECT source_file_id, sum(CASE WHEN resolution_status='identified' THEN 1 ELSE 0 END)::BIGINT AS identified, sum(CASE WHEN resolution_status='unresolved' THEN 1 ELSE 0 END)::BIGINT AS unresolved, round(sum(CASE WHEN resolution_status='unresolved' THEN 1 ELSE 0 END)/count(*),4) AS rate FROM incidents GROUP BY 1")

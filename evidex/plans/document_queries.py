@@ -9,6 +9,7 @@ from evidex.functions import values as V
 from evidex.operators import documents as D
 from evidex.operators import evidence as E
 from evidex.operators import relational as R
+from evidex.plans.join_queries import NEAREST, nearest_rows
 from evidex.plans.registry import Book
 
 book = Book()
@@ -129,11 +130,12 @@ def doc11(t):
     return D.stage_a(p, f, "source_file_id", "text", "ocr_text", _RULES, {"incident_report"})
 
 
-@add("DOC-12", "SELECT vec_id, CASE WHEN round(list_cosine_similarity(embedding::DOUBLE[],(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id=0)),6)>=0.6 THEN 'same_event_new_source' ELSE 'new_event' END AS status FROM embeddings WHERE vec_id<>0")
+@add("DOC-12", f"SELECT id, CASE WHEN score>=0.6 THEN 'same_event_new_source' ELSE 'new_event' END AS status, CASE WHEN score>=0.6 THEN other END AS of FROM ({NEAREST})")
 def doc12(t):
-    e = t("embeddings")
-    one = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.filter("vec_id <> 0").crossJoin(F.broadcast(one)).select("vec_id", F.when(F.round(V.cosine(F.col("embedding"), F.col("q")), 6) >= 0.6, "same_event_new_source").otherwise("new_event").alias("status"))  # one row
+    """New events relabelled after the nearest row: at 0.6 and more it is the same event from a new source."""
+    s = nearest_rows(t)
+    same = F.col("score") >= 0.6
+    return s.select("id", F.when(same, "same_event_new_source").otherwise("new_event").alias("status"), F.when(same, F.col("other")).alias("of"))
 
 
 @add("DOC-13", "SELECT filename, document_class, CASE WHEN document_class IN ('incident_report','radio','transcript') THEN 'extract' ELSE 'source_only' END AS action, rank FROM (SELECT filename, CASE " + " ".join(f"WHEN regexp_matches(t,'{p}') THEN '{c}'" for c, _, p in _RULES) + " ELSE 'other' END AS document_class, row_number() OVER (ORDER BY chars DESC, filename) AS rank FROM (SELECT filename, substr(coalesce(max(ocr_text),''),1,8000) AS t, length(coalesce(max(ocr_text),'')) AS chars FROM source_files WHERE filename IS NOT NULL GROUP BY 1)) WHERE rank<=50")

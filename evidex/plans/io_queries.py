@@ -42,11 +42,20 @@ def src02(t):
     return M.resolve_headers(M.read_csv(spark, path)).select("title", "description", "featured")
 
 
-@add("SRC-03", "SELECT count(*) AS n, 'second' AS used FROM source_records")
+@add("SRC-03", "SELECT count(*) AS n, 'second' AS used, true AS has_bytes, 'refused' AS mirror FROM source_records")
 def src03(t):
+    """A manifest from the first readable place, with the bytes read; a mirror only where it is asked for."""
     spark, path = _csv(t)
     df, used = M.first_readable(spark, [path + "-missing", path])
-    return df.agg(F.count(F.lit(1)).alias("n"), F.lit("second" if used == path else "first").alias("used"))
+    size = M.bytes_at(spark, used)
+    try:
+        M.first_readable(spark, [path + "-missing"], mirror=path)
+        mirror = "taken"
+    except FileNotFoundError:
+        mirror = "refused"
+    allowed, from_ = M.first_readable(spark, [path + "-missing"], mirror=path, use_mirror=True)
+    ok = size > 0 and from_ == path and allowed.columns == df.columns
+    return df.agg(F.count(F.lit(1)).alias("n"), F.lit("second" if used == path else "first").alias("used"), F.lit(ok).alias("has_bytes"), F.lit(mirror).alias("mirror"))
 
 
 @add("SRC-04", r"SELECT original_url AS url, regexp_extract(original_url,'([^/]*)$',1) AS filename, CASE regexp_extract(original_url,'\.([A-Za-z0-9]+)$',1) WHEN 'pdf' THEN 'pdf' ELSE 'other' END AS file_type, CASE WHEN contains(lower(coalesce(title,'')||' '||original_url),'disc') THEN 'DISC' ELSE 'USG' END AS agency FROM source_records WHERE regexp_matches(original_url,'^https?://')")
@@ -186,14 +195,21 @@ def src25(t):
     return a.unionByName(b).groupBy("origin", "words").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("SRC-26", "SELECT DISTINCT id, length(ocr_text) AS chars FROM source_files WHERE lower(trim(file_type)) IN ('webpage','audio') AND ocr_text IS NOT NULL")
+@add("SRC-26", "SELECT f.id, coalesce(p.n, length(f.t)) AS chars, CASE WHEN p.n IS NOT NULL THEN 'pages' ELSE 'file' END AS root FROM (SELECT id, max(ocr_text) AS t, max(lower(trim(file_type))) AS kind FROM source_files GROUP BY 1) f LEFT JOIN (SELECT source_file_id, sum(length(text))::BIGINT AS n FROM (SELECT DISTINCT source_file_id, page_number, text FROM page_results WHERE text<>'') GROUP BY 1) p ON p.source_file_id=f.id WHERE kind<>'video' AND coalesce(p.n, length(f.t)) IS NOT NULL AND f.id NOT IN (SELECT source_file_id FROM incidents WHERE source_file_id IS NOT NULL)")
 def src26(t):
-    return t("source_files").filter("lower(trim(file_type)) in ('webpage', 'audio') and ocr_text is not null").select("id", F.length("ocr_text").alias("chars")).distinct()
+    """Texts for the linker: of files that hold no incidents, from the first root that has one, pages before the file."""
+    f = t("source_files").groupBy("id").agg(F.max("ocr_text").alias("t"), F.max(F.lower(F.trim("file_type"))).alias("kind"))
+    p = t("page_results").filter("text <> ''").select("source_file_id", "page_number", "text").distinct().groupBy(F.col("source_file_id").alias("id")).agg(F.sum(F.length("text")).alias("n"))
+    seen = t("incidents").filter("source_file_id is not null").select(F.col("source_file_id").alias("id")).distinct()
+    j = f.filter("kind <> 'video'").join(seen, "id", "left_anti").join(p, "id", "left").withColumn("chars", F.coalesce("n", F.length("t").cast("long")))
+    return j.filter("chars is not null").select("id", "chars", F.when(F.col("n").isNotNull(), "pages").otherwise("file").alias("root"))
 
 
-@add("SRC-27", "SELECT DISTINCT location_text FROM incidents WHERE location_text IS NOT NULL AND region IS NULL")
+@add("SRC-27", "SELECT location_text, CASE WHEN length(location_text)%4<>0 THEN length(location_text)::DOUBLE END AS lat FROM (SELECT DISTINCT location_text FROM incidents WHERE location_text IS NOT NULL AND region IS NULL)")
 def src27(t):
-    return t("incidents").filter("location_text is not null and region is null").select("location_text").distinct()
+    """Places without coordinates, looked up once each, with a pause between the calls of a task; a stand-in gazetteer knows three of four lengths."""
+    q = t("incidents").filter("location_text is not null and region is null").select("location_text").distinct()
+    return X.look_up(q, "location_text", lambda s: float(len(s)) if len(s) % 4 else None, lambda s: None).select("location_text", F.col("found").alias("lat"))
 
 
 # --- sinks ------------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
+from evidex.operators import documents as D
 from evidex.operators import matching_rules as M
 from evidex.operators import relational as R
 from evidex.plans.registry import Book
@@ -164,16 +165,21 @@ def joi12(t):
     return M.similar_across(t("source_records").filter("title is not null"), "identity_key", "provider", "title", 0.92, 12)
 
 
-@add("JOI-13", "SELECT id, other, round(score,6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON b.label=a.label AND b.vec_id<>a.vec_id) WHERE n=1")
-def joi13(t):
-    from evidex.functions.values import dot
-    from evidex.operators.retrieval import unit
+NEAREST = "SELECT id, other, score, CASE WHEN score>=0.8 THEN 'likely_duplicate' WHEN score>=0.6 THEN 'uncertain' ELSE 'new' END AS verdict FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON b.vec_id<>a.vec_id WHERE a.vec_id%100=0) WHERE n=1"
+
+
+def nearest_rows(t):
+    """For every hundredth row the nearest of all others and what that says: likely_duplicate, uncertain or new."""
+    from evidex.operators.retrieval import nearest
 
     e = t("embeddings")
-    u = unit(e, "vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id")
-    a, b = u.select("label", F.col("vec_id").alias("id"), F.col("v").alias("x")), u.select("label", F.col("vec_id").alias("other"), F.col("v").alias("y"))
-    pairs = a.join(b, "label").filter("id <> other").select("id", "other", F.round(dot(F.col("x"), F.col("y")), 6).alias("score"))
-    return pairs.groupBy("id").agg(F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other"))).alias("b")).select("id", "b.*")
+    b = nearest(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 1, exclude_self=True)
+    return b.select(F.col("vec_id").alias("id"), "other", F.col("similarity").alias("score"), M.ladder([("likely_duplicate", F.col("similarity") >= 0.8), ("uncertain", F.col("similarity") >= 0.6)], "new").alias("verdict"))
+
+
+@add("JOI-13", NEAREST)
+def joi13(t):
+    return nearest_rows(t)
 
 
 @add("JOI-14", "SELECT p_partkey, tok, n FROM (SELECT p_partkey, unnest(string_split(lower(p_type),' ')) AS tok FROM part) JOIN (SELECT tok, count(*) AS n FROM (SELECT unnest(string_split(lower(p_type),' ')) AS tok FROM part) GROUP BY tok) USING (tok) WHERE tok<>''")
@@ -323,10 +329,20 @@ def joi30(t):
     return t("source_files").select("id").distinct().join(m, "id").select("id", "case_id")
 
 
-@add("JOI-31", "SELECT DISTINCT source_file_id, page_number, final_category, CASE WHEN length(trim(text))<120 THEN 'native_thin' ELSE 'native_good' END AS fresh FROM page_results WHERE final_category<>CASE WHEN length(trim(text))<120 THEN 'native_thin' ELSE 'native_good' END")
+_DRIFT = "SELECT filename, CASE WHEN regexp_matches(substr(coalesce(t,''),1,8000),'{0}') THEN 'report' ELSE 'other' END AS class, CASE WHEN length(coalesce(t,''))>4000 THEN 'extract' ELSE 'source_only' END AS action FROM (SELECT filename, max(ocr_text) AS t FROM source_files WHERE filename IS NOT NULL GROUP BY 1)"
+
+
+@add("JOI-31", f"SELECT filename, a.class AS old_class, b.class AS new_class, a.action AS old_action, b.action AS new_action FROM ({_DRIFT.format('(?i)hovered|circled')}) a JOIN ({_DRIFT.format('(?i)hovered|circled|climbed').replace('>4000', '>5000')}) b USING (filename) WHERE a.class<>b.class OR a.action<>b.action")
 def joi31(t):
-    fresh = F.when(F.length(F.trim("text")) < 120, "native_thin").otherwise("native_good")
-    return t("page_results").select("source_file_id", "page_number", "final_category", fresh.alias("fresh")).filter("final_category <> fresh").distinct()
+    """Files whose class or action differ between two runs of the classifier, here with two rule sets and limits."""
+    f = t("source_files").filter("filename is not null").groupBy("filename").agg(F.max("ocr_text").alias("ocr_text"))
+
+    def run(rule, most, n):
+        c = D.classify(f, "ocr_text", [("report", "high", rule)])
+        return c.select("filename", F.col("document_class").alias(f"{n}_class"), F.when(F.length(F.coalesce("ocr_text", F.lit(""))) > most, "extract").otherwise("source_only").alias(f"{n}_action"))
+
+    j = run("(?i)hovered|circled", 4000, "old").join(run("(?i)hovered|circled|climbed", 5000, "new"), "filename")
+    return j.filter("old_class <> new_class or old_action <> new_action").select("filename", "old_class", "new_class", "old_action", "new_action")
 
 
 @add("JOI-32", "SELECT case_id, coalesce(f.filename, 'local') AS origin FROM (SELECT DISTINCT case_id, source_file_id FROM incidents WHERE case_id LIKE 'UNDT-%') LEFT JOIN (SELECT DISTINCT id, filename FROM source_files) f ON f.id=source_file_id")

@@ -273,10 +273,18 @@ def ret11(t):
     return ok.select("vec_id", (F.col("k") == 0).alias("failed"))
 
 
-@add("RET-12", "SELECT (item_id//128)::BIGINT AS batch, count(*) AS n, max(least(length(passage),8000)) AS longest FROM eval_items GROUP BY 1")
+@add("RET-12", "SELECT item_id, least(length(passage),8000) AS chars, 4 AS dims, 0.0::DOUBLE AS last, 2 AS attempts FROM eval_items WHERE passage IS NOT NULL")
 def ret12(t):
-    """How texts go to an embedding model: batches, and what is cut off. The call itself is handed in."""
-    return t("eval_items").groupBy(F.floor(F.col("item_id") / 128).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.max(F.least(F.length("passage"), F.lit(8000))).alias("longest"))
+    """Texts sent to an embedding model in batches, cut to its limit, padded to the stored length, and tried again where the model says it is busy; a stand-in model is busy at first."""
+    from evidex.sources.external import Busy, embed
+
+    def call(texts, attempt):
+        if attempt == 0:
+            raise Busy
+        return [[float(len(x)), 1.0, 2.0] for x in texts]
+
+    e = embed(t("eval_items"), "item_id", "passage", call, 3, 4, lambda s: None)
+    return e.select("item_id", F.col("vector")[0].cast("int").alias("chars"), F.size("vector").alias("dims"), F.col("vector")[3].cast("double").alias("last"), "attempts")
 
 
 @add("RET-13", r"SELECT a.item_id, b.item_id AS cached FROM eval_items a JOIN (SELECT min(item_id) AS item_id, regexp_replace(lower(trim(question)),'\s+',' ','g') AS k FROM eval_items GROUP BY 2) b ON b.k=regexp_replace(lower(trim(a.question)),'\s+',' ','g')")
@@ -285,8 +293,10 @@ def ret13(t):
     return q.join(q.groupBy("k").agg(F.min("item_id").alias("cached")), "k").select("item_id", "cached")
 
 
-@add("RET-14", "SELECT user_id, w, n, n>3 AS limited FROM (SELECT user_id, (epoch_us(ts::TIMESTAMP)//3600000000)::BIGINT AS w, count(*) AS n FROM events GROUP BY ALL)")
+@add("RET-14", "SELECT sha256(user_id::VARCHAR) AS caller, w, n, n>10 AS limited FROM (SELECT user_id, (epoch_us(ts::TIMESTAMP)//60000000)::BIGINT AS w, count(*) AS n FROM events GROUP BY ALL)")
 def ret14(t):
-    """A fixed-window limit: more than three events of a user in an hour."""
-    g = t("events").groupBy("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("*", (F.col("n") > 3).alias("limited"))
+    """A fixed-window limit: more than ten events of a caller, known by a hash, in a minute."""
+    g = t("events").groupBy(F.sha2(F.col("user_id").cast("string"), 256).alias("caller"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("*", (F.col("n") > 10).alias("limited"))
+
+

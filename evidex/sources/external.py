@@ -79,6 +79,54 @@ def answer_or_abstain(ask: Callable[[str, list[str]], list[str]], question: str,
     return ("repaired", 2) if all(c in allowed for c in ask(question, wrong)) else ("abstained", 2)
 
 
+class Busy(Exception):
+    """What a call raises when it is to be made again later."""
+
+
+def embed(df: DataFrame, id_: str, text: str, call: Callable[[list[str], int], list[list[float]]], dims: int, stored: int, wait: Callable[[float], None], batch: int = 128, most: int = 8000, tries: int = 5) -> DataFrame:
+    """(id, vector, attempts): texts sent to an embedding model in batches, one vector each, padded with zeros to the stored length.
+
+    A text is cut to `most` characters, the model's limit. call(texts, attempt) may raise Busy: it is made again after a
+    pause that doubles, up to `tries` times; then, and for a vector of another length than dims, the task fails. Null texts are left out.
+    """
+    src = df.select(F.col(id_).alias("id"), F.substring(text, 1, most).alias("text")).filter("text is not null")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                for attempt in range(tries):
+                    try:
+                        got = call(part["text"].tolist(), attempt)
+                        break
+                    except Busy:
+                        wait(5.0 * 2**attempt)
+                else:
+                    raise RuntimeError(f"the model was busy {tries} times")
+                if len(got) != len(part) or any(len(v) != dims for v in got):
+                    raise RuntimeError(f"the model was to give {len(part)} vectors of {dims} numbers")
+                yield pd.DataFrame({"id": part["id"], "vector": [[*v, *[0.0] * (stored - dims)] for v in got], "attempts": attempt + 1})
+
+    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, vector array<float>, attempts int").withColumnRenamed("id", id_)
+
+
+def look_up(df: DataFrame, key: str, find: Callable[[str], float | None], wait: Callable[[float], None], pause: float = 1.1) -> DataFrame:
+    """(key, found) for every distinct key that is not null: one call each, with a pause between the calls of a task; None where nothing is found."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = []
+            for k in pdf["key"]:
+                if found:
+                    wait(pause)
+                found.append(find(k))
+            yield pd.DataFrame({"key": pdf["key"], "found": pd.Series(found, dtype=float)})
+
+    src = df.select(F.col(key).cast("string").alias("key")).filter("key is not null").distinct()
+    out = src.mapInPandas(run, "key string, found double")
+    return out.select(F.col("key").alias(key), F.expr("nullif(found, double('NaN'))").alias("found"))
+
+
 def ocr_plan(pages: DataFrame, kind: str, size: str, thumbnail: int = 20_000) -> DataFrame:
     """pages with decision: 'keep_native', 'failed' (nothing to read), 'skip_thumbnail' (an image file under so many bytes) or 'ocr'.
 

@@ -50,15 +50,21 @@ def manifest_records(df: DataFrame, provider: str, releases: dict[str, int]) ->
     )
 
 
-def first_readable(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, str]:
-    """The manifest at the first path that exists, and that path; an error if none does."""
-    for p in paths:
-        hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
+def first_readable(spark: SparkSession, paths: list[str], mirror: str | None = None, use_mirror: bool = False) -> tuple[DataFrame, str]:
+    """The manifest at the first path that exists, and that path; the mirror comes last and only if it is asked for; an error if none does."""
+    for p in [*paths, *([mirror] if mirror and use_mirror else [])]:
+        if bytes_at(spark, p) >= 0:
             return read_csv(spark, p), p
     raise FileNotFoundError(", ".join(paths))
 
 
+def bytes_at(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder; -1 if there is none."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(hp).getLength() if fs.exists(hp) else -1
+
+
 # File types by extension.
 EXTENSIONS = {"pdf": "pdf", "jpg": "image", "jpeg": "image", "png": "image", "mp4": "video", "mov": "video", "mp3": "audio", "wav": "audio"}
 
