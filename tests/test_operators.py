@@ -209,6 +209,45 @@ def test_reconcile_against_a_pass(spark, seed):
     assert got == want
 
 
+def test_calls_handed_in(spark, rows):
+    from evidex.sources import external as X
+
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(1, 8)], "i int, t string")
+
+    def call(texts, attempt):
+        if attempt < 2 and len(texts[0]) == 1:
+            raise X.Busy
+        return [[float(len(x)), 1.0] for x in texts]
+
+    got = {r.i: (list(r.vector), r.attempts) for r in X.embed(df.repartition(1), "i", "t", call, 2, 3, lambda s: None, 2, 5).collect()}
+    assert set(got) == {1, 2, 4, 5, 6, 7} and got[7][0] == [5.0, 1.0, 0.0] and got[1][1] in (1, 3)
+    with pytest.raises(Exception, match="vectors of"):
+        X.embed(df, "i", "t", lambda ts, a: [[1.0] for _ in ts], 2, 3, lambda s: None).collect()
+    assert rows(X.look_up(df.unionByName(df), "t", lambda k: float(len(k)) if len(k) > 2 else None, lambda s: None)) == [("x", None), ("xx", None), ("xxxx", 4.0), ("xxxxx", 5.0), ("xxxxxx", 6.0), ("xxxxxxx", 7.0)]
+
+
+def test_hybrid_classes_and_stage_a(spark, rows):
+    df = spark.createDataFrame([(1, "contract"), (2, "report"), (3, "odd"), (4, None)], "i int, t string")
+    rules = [("contract", "high", "contract"), ("incident", "medium", "report")]
+    ask = lambda ids, texts: ["press" if i == 2 else "nonsense" for i in ids]
+    assert rows(D.classify_hybrid(df, "i", "t", rules, ask, ["press"])) == [(1, "contract", "high", "rules"), (2, "press", "medium", "model"), (3, "other", "low", "rules_after_invalid"), (4, "other", "low", "rules_after_invalid")]
+    prose = "The observer watched a silver object move slowly over the northern ridge before it vanished behind the clouds near the old mill. "
+    pages = spark.createDataFrame([("a", 1, prose * 2), ("a", 2, ""), ("b", 1, ""), ("c", 1, "~!a|b^c " * 30), ("d", 1, prose * 2)], "f string, p int, t string")
+    files = spark.createDataFrame([("a", "report"), ("d", "contract")], "f string, x string")
+    got = {r.f: (r.pages, r.empty, r.document_class, r.action) for r in D.stage_a(pages, files, "f", "t", "x", rules, {"incident"}).collect()}
+    assert got["a"] == (2, 1, "incident", "extract") and got["b"][3] == "failed" and got["c"][2:] == ("other", "ocr") and got["d"][3] == "source_only"
+
+
+def test_linking_rules(spark, rows):
+    c = spark.createDataFrame([("catalog_pairing", "m", "r", None, ""), ("catalog_pairing", "r", "m", None, ""), ("catalog_pairing", "m", "x", None, ""), ("analysis_place", "n", "C1", "strong", ""), ("analysis_place", "n", "C9", "strong", ""), ("analysis_place", "n", "C2", None, ""),
+        ("series_identifier", "r", "any", None, "Western event"), ("series_identifier", "r", "caption", None, "a caption"), ("place_overlap", "C1", "C2", None, ""), ("place_overlap", "C1", "C3", None, "")], "kind string, left string, right string, band string, label string")
+    files = spark.createDataFrame([("m", "media_metadata", "source_only"), ("r", "report", "extract"), ("x", "report", "source_only")], "file string, document_class string, action string")
+    members = spark.createDataFrame([("E1", "r"), ("E2", "r")], "event_id string, file string")
+    cases = spark.createDataFrame([("C1", "E1"), ("C2", "E2"), ("C3", "E1")], "case_id string, event_id string")
+    got = rows(L.apply_rules(c, files, members, cases, {"(?i)western.*event": "western"}))
+    assert got == [("analysis_of_event", "auto_supported", "n", "E1", "strong"), ("analysis_of_event", "needs_review", "n", "E2", "medium"), ("media_for_event", "auto_supported", "m", "E1", "strong"), ("media_for_event", "auto_supported", "m", "E2", "strong"), ("same_event", "review_supported", "E1", "E2", "medium"), ("same_series", "auto_supported", "r", "western", "strong")]
+
+
 def test_question_contract(spark, rows):
     df = spark.createDataFrame([(1, "a", "q"), (2, "a", " "), (2, "b", "q"), (3, None, "q")], "id int, c string, t string")
     assert rows(E.contract(df, "id", "c", "t", {"a": 2, "d": 1})) == [("category", "", 1), ("category", "b", 1), ("category", "d", 0), ("duplicate_id", "2", 2), ("no_text", "2", 1), ("total", "", 4)]
