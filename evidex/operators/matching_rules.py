@@ -37,7 +37,7 @@ def reconcile(left: DataFrame, right: DataFrame, id_l: str, id_r: str, position:
     mode 'free' the only one that no earlier left row took, with 'unique' one that has its key for itself and is free. It is 'ambiguous' and takes none
     where several are free ('free'), or several have the key ('unique'). 'last' is 'unique', but ambiguous only where several are free. What one pass in
     order of the positions gives, decided round by round: a row is decided when no undecided row before it shares a candidate
-    with it. Blank keys find nothing; positions are distinct.
+    with it, so the rounds are as many as the longest chain of rows that wait for each other. Blank keys find nothing; positions are distinct.
     """
     spark, root = left.sparkSession, scratch_dir(left.sparkSession)
     frames = []

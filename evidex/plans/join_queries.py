@@ -76,9 +76,9 @@ def _catalog(t):
     """source_files as records of a catalog whose addresses, ids and names depart from the files' in several ways, and the files."""
     f = t("source_files").groupBy("id").agg(F.max("url").alias("url"), F.max("filename").alias("filename")).filter("url is not null")
     n = F.pmod(F.conv(F.substring(F.sha1("id"), 1, 6), 16, 10).cast("long"), F.lit(6))
-    url = F.when(n == 0, F.col("url")).when(n == 1, F.concat(F.upper("url"), F.lit("?x=1"))).when(n == 2, F.concat(F.lit("https://mirror.example/"), "filename")).when(n == 3, F.concat(F.lit("https://mirror.example/video/"), F.substring("id", 1, 2))).when(n == 4, F.lit("https://mirror.example/none"))
+    url = F.when(n == 0, F.col("url")).when(n == 1, F.concat(F.upper("url"), F.lit("?x=1"))).when(n == 2, F.concat(F.lit("https://mirror.example/"), "filename")).when(n == 3, F.concat(F.lit("https://mirror.example/video/"), F.substring("id", 1, 2))).when(n == 4, F.concat(F.lit("https://mirror.example/none/"), F.substring("id", 1, 3)))
     left = f.select(F.col("id").alias("record"), F.col("id").alias("pos"), F.coalesce(url, F.substring_index("url", "-", 2)).alias("url"), F.substring("filename", 1, 6).alias("ext"))
-    right = f.select("id", F.when(F.substring("id", 1, 1) == "0", F.lit("https://mirror.example/none")).otherwise(F.col("url")).alias("url"), F.substring("id", 1, 2).alias("video"), F.substring("filename", 1, 6).alias("ext"), "filename")
+    right = f.select("id", F.when(F.substring("id", 1, 1) == "0", F.concat(F.lit("https://mirror.example/none/"), F.substring("id", 1, 3))).otherwise(F.col("url")).alias("url"), F.substring("id", 1, 2).alias("video"), F.substring("filename", 1, 6).alias("ext"), "filename")
     video = F.nullif(F.regexp_extract(F.col("url"), r"/video/(\w+)$", 1), F.lit(""))
     tail = F.lower(F.regexp_extract(F.col("url"), r"([^/]+)$", 1))
     return left, right, [("exact", F.col("url"), F.col("url"), "free"), ("normalized_url", T.url_key("url"), T.url_key("url"), "free"), ("video_id", video, F.col("video"), "unique"), ("external_id", F.col("ext"), F.col("ext"), "unique"), ("basename", tail, F.lower("filename"), "last")]
@@ -86,8 +86,8 @@ def _catalog(t):
 
 _URL = r"regexp_replace(regexp_replace(regexp_replace(lower(url),'[?#].*$',''),'/+$',''),'([^:])/{{2,}}','\1/','g')"
 _CATALOG = r"""f AS (SELECT id, max(url) AS url, max(filename) AS filename FROM source_files GROUP BY 1 HAVING max(url) IS NOT NULL), n AS (SELECT *, ('0x'||substr(sha1(id),1,6))::BIGINT % 6 AS n FROM f),
-l AS (SELECT id AS record, row_number() OVER (ORDER BY id) AS p, substr(filename,1,6) AS ext, CASE n WHEN 0 THEN url WHEN 1 THEN upper(url)||'?x=1' WHEN 2 THEN 'https://mirror.example/'||filename WHEN 3 THEN 'https://mirror.example/video/'||substr(id,1,2) WHEN 4 THEN 'https://mirror.example/none' ELSE array_to_string(string_split(url,'-')[1:2],'-') END AS url FROM n),
-r AS (SELECT id, CASE WHEN id[1]='0' THEN 'https://mirror.example/none' ELSE url END AS url, substr(id,1,2) AS video, substr(filename,1,6) AS ext, filename FROM f),
+l AS (SELECT id AS record, row_number() OVER (ORDER BY id) AS p, substr(filename,1,6) AS ext, CASE n WHEN 0 THEN url WHEN 1 THEN upper(url)||'?x=1' WHEN 2 THEN 'https://mirror.example/'||filename WHEN 3 THEN 'https://mirror.example/video/'||substr(id,1,2) WHEN 4 THEN 'https://mirror.example/none/'||substr(id,1,3) ELSE array_to_string(string_split(url,'-')[1:2],'-') END AS url FROM n),
+r AS (SELECT id, CASE WHEN id[1]='0' THEN 'https://mirror.example/none/'||substr(id,1,3) ELSE url END AS url, substr(id,1,2) AS video, substr(filename,1,6) AS ext, filename FROM f),
 lk AS (SELECT record, p, unnest([{i:0,m:'free',k:url},{i:1,m:'free',k:regexp_replace(lower(url),'[?].*$','')},{i:2,m:'unique',k:regexp_extract(url,'/video/(\w+)$',1)},{i:3,m:'unique',k:ext},{i:4,m:'last',k:lower(regexp_extract(url,'([^/]+)$',1))}]) AS x FROM l),
 rk AS (SELECT id, unnest([{i:0,k:url},{i:1,k:lower(url)},{i:2,k:video},{i:3,k:ext},{i:4,k:lower(filename)}]) AS x FROM r),
 h AS (SELECT lk.p, lk.x.i AS i, any_value(lk.x.m) AS m, list(rk.id ORDER BY rk.id) AS ids FROM lk JOIN rk ON rk.x.i=lk.x.i AND rk.x.k=lk.x.k WHERE lk.x.k<>'' GROUP BY ALL)"""
