@@ -171,6 +171,24 @@ def test_misread_spellings_of_a_sentence_are_alike(spark):
     assert [(r.a, r.b) for r in M.similar_in_group(df, "id", ["g"], "t", 0.9).collect()] == [(1, 2)]
 
 
+def test_blocks_of_alike_texts_find_what_words_find_and_write_only_what_is_near(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "the old radar light field north".split() for b in ("", "s", "er")]
+    base = [" ".join(rng.choices(words, k=rng.randint(6, 14))) for _ in range(60)]
+    texts = sorted({"".join(c for c in t if rng.random() > 0.06) for t in base for _ in range(3)} | set(base))
+    df = spark.createDataFrame([(n, "ab"[n % 7 == 0], t) for n, t in enumerate(texts)] + [(999, None, base[0])], "k long, g string, t string")
+    cols = ["g", "ka", "kb", "ta", "tb"]
+    want = {tuple(r) for r in M.similar_texts(df, ["g"], 0.8).collect()}
+    wide = M._near_by_words(df, ["g"], 0.8, 0.3).count()
+    for block in (16, 70, 8000):
+        got = [tuple(r) for r in M.similar_texts(df, ["g"], 0.8, block=block).collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+        assert len(want) <= M._near_in_blocks(df, ["g"], 0.8, 0.3, block).select(*cols).distinct().count() < wide / 2
+    assert M.similar_texts(df.limit(0), ["g"], 0.8, block=16).count() == 0
+    for t, u in zip(base, base[1:], strict=False):
+        assert T.similarity_ratio(t, u) <= 2 * M.common_letters(t, u) / (len(t) + len(u)) and M.common_letters(t, t) == len(t)
+
+
 def test_similar_across_against_brute_force(spark):
     data = texts(60, 8)
     df = spark.createDataFrame([(i, g, t) for i, g, t, _ in data], "id int, f string, t string")
