@@ -1,6 +1,7 @@
 """Operators of the core: hand cases, brute force, nulls, ties, repeats and empty tables."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -189,6 +190,16 @@ def test_blocks_of_alike_texts_find_what_words_find_and_write_only_what_is_near(
         assert T.similarity_ratio(t, u) <= 2 * M.common_letters(t, u) / (len(t) + len(u)) and M.common_letters(t, t) == len(t)
 
 
+def test_excerpts_of_a_file_are_not_joined_under_words(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("pairs of words")
+
+    monkeypatch.setattr(M, "_near_by_words", fail, raising=False)
+    rows = [(1, "f", 1, "a red light rose over the lake at noon"), (2, "f", 2, "a red light rose over the lake at noom"), (3, "f", 3, "a red disc fell behind the hill at dusk"), (4, None, 4, "a red light rose over the lake at noon")]
+    df = spark.createDataFrame(rows, "id int, f string, pos int, t string")
+    assert {r.id for r in E.distinct_in_order(df, "id", ["f"], "pos", "t", 0.9, 10).collect()} == {1, 3, 4}
+
+
 def test_similar_across_against_brute_force(spark):
     data = texts(60, 8)
     df = spark.createDataFrame([(i, g, t) for i, g, t, _ in data], "id int, f string, t string")
