@@ -154,9 +154,7 @@ def joi10(t):
 SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.t=b.t AND a.id<b.id AND (a.y=b.y OR a.y='' OR b.y='') GROUP BY ALL HAVING bool_or(a.y<>'' OR b.y<>'') OR max(length(a.t))>=8""")
 def joi11(t):
     k = t("canonical_events").select("event_id", "label").distinct().select(F.col("event_id").alias("id"), F.coalesce(T.year_in("label"), F.lit("")).alias("y"), F.explode(T.capital_tokens("label")).alias("t"))
-    a, b = k.toDF("a", "ya", "t"), k.toDF("b", "yb", "t")
-    pairs = a.join(b, "t").filter("a < b and (ya = yb or ya = '' or yb = '')")
-    return pairs.groupBy("a", "b").agg(F.bool_or((F.col("ya") != "") | (F.col("yb") != "")).alias("dated"), F.max(F.length("t")).alias("n")).filter("dated or n >= 8").select("a", "b")
+    return M.same_event_pairs(k)
 
 
 @add("JOI-12")

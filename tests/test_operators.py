@@ -455,3 +455,28 @@ def test_token_pairs_against_brute_force(spark):
     got = {tuple(x) for x in M.token_pairs(df, df, "id", "t", 2).filter("a < b").collect()}
     sets = {i: set((t or "").split()) for i, t in rows}
     assert got == {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 2}
+
+
+def joined_rows(df):
+    """Rows that the joins of a collected DataFrame gave."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_short_words_of_undated_events_make_no_pairs_on_the_way(spark, rows):
+    labels = ["Lake Meridian / 1952", "Meridian Hill / 1952", "UNDT Meridian", "UNDT Observatory", "Observatory UNDT", "Hill UNDT / 1960", *(f"UNDT {n}" for n in range(300))]
+    k = [(f"{i:03d}", (re.search(r"(?:19|20)\d\d", x) or [""])[0], t) for i, x in enumerate(labels) for t in set(re.findall(r"\b[A-Z][a-zA-Z]{3,}\b", x))]
+    want = {(i, j) for i, y, t in k for j, z, u in k if i < j and t == u and (y == z or not y or not z) and (y or z or len(t) >= 8)}
+    got = M.same_event_pairs(spark.createDataFrame(k, "id string, y string, t string"))
+    assert rows(got) == sorted(want) and len(want) > 300
+    found = got.collect()
+    assert len(found) == len(want) and joined_rows(got) < 2 * len(want)
