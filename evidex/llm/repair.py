@@ -4,7 +4,7 @@
    linked if one plausible confusion of glyphs turns one into the other.
 2. A second pass over the pages gathers, at once, the lines at page edges, words that are not known as usual with the
    words around them, words cut at line ends, and counts of neighbouring usual words.
-3. Skip-gram vectors with negative sampling are trained on these counts, in shards whose results are averaged. Where a word stands, the
+3. Skip-gram vectors with negative sampling are trained on all of these counts, in shards whose results are averaged. Where a word stands, the
    linked word whose vector fits the words around it best is what was printed; where none fits it stays.
 4. Lines at page edges are compared over the pages of a file and, with rare words masked, over all files; the rest is joins.
 
@@ -178,56 +178,61 @@ class Vectors:
         return None if i is None or not len(around) else float((self.u[around] @ self.v[i]).mean())
 
 
-def _step(m: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+def _step(m: np.ndarray, seen: np.ndarray, rows: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
     """One step against the gradients g of rows of m, in place, divided by the root of the squares seen of each row (Adagrad), so that frequent words don't run away."""
-    at, inv = np.unique(rows, return_inverse=True)
-    total = np.zeros((len(at), m.shape[1]), np.float32)
-    np.add.at(total, inv, g)
-    seen[at] += (total * total).mean(1)
-    m[at] -= rate * total / np.sqrt(seen[at] + 1e-8)[:, None]
-
-
-def train(w: np.ndarray, c: np.ndarray, n: np.ndarray, v: np.ndarray, u: np.ndarray, noise: np.ndarray, seed: int, samples: int, negative: int = 5, batch: int = 512, rate: float = 0.1) -> None:
-    """Steps of skip-gram with negative sampling on pairs (w, c) that are drawn by their counts n, in place; noise: cumulated shares that negatives are drawn by."""
-    rng = np.random.default_rng(seed)
-    share = np.cumsum(n)
-    share = share / share[-1]
+    seen[rows] += (g * g).mean(1)
+    m[rows] -= rate * g / np.sqrt(seen[rows] + 1e-8)[:, None]
+
+
+def train(w: np.ndarray, c: np.ndarray, n: np.ndarray, v: np.ndarray, u: np.ndarray, noise: np.ndarray, passes: int, negative: int = 5, rate: float = 0.1) -> None:
+    """Passes of skip-gram with negative sampling over all pairs (w, c), each with its weight n, in place; noise: the shares that negatives have.
+
+    Nothing is drawn: a pair counts by its weight, and in place of drawn negatives stands what they come to on average.
+    Words are taken in blocks; the pairs are sorted by w.
+    """
+    rows, first = np.unique(w, return_index=True)
+    ends = np.r_[first[1:], len(w)]
+    size = max(1, min(256, 4_000_000 // len(u)))
     seen_v, seen_u = np.zeros(len(v), np.float32), np.zeros(len(u), np.float32)
-    for _ in range(0, samples, batch):
-        i = np.minimum(np.searchsorted(share, rng.random(batch)), len(share) - 1)
-        neg = np.minimum(np.searchsorted(noise, rng.random((batch, negative))), len(noise) - 1)
-        near = np.concatenate([c[i][:, None], neg], axis=1)
-        x, y = v[w[i]], u[near]
-        g = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", x, y), -30, 30)))
-        g[:, 0] -= 1
-        _step(v, seen_v, w[i], np.einsum("bk,bkd->bd", g, y).astype(np.float32), rate)
-        _step(u, seen_u, near.ravel(), (g[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1]).astype(np.float32), rate)
+    for _ in range(passes):
+        for i in range(0, len(rows), size):
+            at = rows[i : i + size]
+            own = slice(first[i], ends[min(i + size, len(rows)) - 1])
+            met = np.zeros((len(at), len(u)), np.float32)
+            met[np.searchsorted(at, w[own]), c[own]] = n[own]
+            x = v[at]
+            p = 1 / (1 + np.exp(-np.clip(x @ u.T, -30, 30)))
+            g = (met + negative * met.sum(1)[:, None] * noise[None].astype(np.float32)) * p - met
+            _step(v, seen_v, at, g @ u, rate)
+            _step(u, seen_u, slice(None), g.T @ x, rate)
 
 
 _BLOCK = 512
 
 
-def _learner(sent: Broadcast, r: int, samples: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """What trains one shard of pairs in round r from the vectors sent."""
+def _learner(sent: Broadcast, passes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What trains one shard of pairs from the vectors sent: how far each block of them moves."""
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         v, u, keep, noise = sent.value
-        v, u = v.copy(), u.copy()
+        dv, du = v.copy(), u.copy()
         pdf = pdf.sort_values(["w", "c"])
         a, b = pdf["w"].to_numpy(), pdf["c"].to_numpy()
-        train(a, b, pdf["n"].to_numpy() * keep[a] * keep[b], v, u, noise, 1000 * r + int(pdf["shard"].iloc[0]), samples)
+        train(a, b, (pdf["n"].to_numpy() * keep[a] * keep[b]).astype(np.float32), dv, du, noise, passes)
+        dv, du = dv - v, du - u
         at = range(0, len(v), _BLOCK)
-        return pd.DataFrame({"at": list(at), "v": [v[i : i + _BLOCK].tobytes() for i in at], "u": [u[i : i + _BLOCK].tobytes() for i in at]})
+        return pd.DataFrame({"at": list(at), "shard": int(pdf["shard"].iloc[0]), "v": [dv[i : i + _BLOCK].tobytes() for i in at], "u": [du[i : i + _BLOCK].tobytes() for i in at]})
 
     return learn
 
 
-def skip_grams(pairs: DataFrame, words: list[tuple[str, int]], dims: int = 32, shards: int = 8, rounds: int = 2, samples_a_word: int = 200, often: float = 1e-3) -> Vectors:
+def skip_grams(pairs: DataFrame, words: list[tuple[str, int]], dims: int = 32, shards: int = 8, rounds: int = 2, passes: int = 20, often: float = 1e-3) -> Vectors:
     """Vectors of words (with their counts) from the counts n of neighbours (w, c), both numbers in the list.
 
     Counts are exact over all pages and thinned by the usual sampling of frequent words (the expected share of it is kept, nothing is
-    drawn). They fall into shards by hash; each shard trains from the vectors of the round before with a fixed seed, and the
-    shards' vectors are averaged: the result depends on the counts and the parameters alone. What reaches the driver are the averaged vectors.
+    drawn), and every pair is trained with its count. Words fall into shards by hash; each shard trains its words from the vectors of the round
+    before, and what it makes of the vectors u, which all shards move, is averaged: the result depends on the counts and the parameters
+    alone. What reaches the driver are the moved vectors.
     """
     size = np.array([x for _, x in words], dtype=float)
     rng = np.random.default_rng(0)
@@ -235,25 +240,26 @@ def skip_grams(pairs: DataFrame, words: list[tuple[str, int]], dims: int = 32, s
     if not words:
         return Vectors([], v, u)
     keep = np.minimum(1, np.sqrt(often / (size / size.sum())))
-    noise = np.cumsum(size**0.75)
-    noise /= noise[-1]
+    noise = size**0.75
+    noise /= noise.sum()
     spark = pairs.sparkSession
-    shard = F.pmod(F.xxhash64("w", "c"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("w"), F.lit(shards))
     counts = pairs.groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("shard", shard)
     root = scratch_dir(spark)
     counts = written(counts, f"{root}/counts")
-    for r in range(rounds):
-        learn = _learner(spark.sparkContext.broadcast((v, u, keep, noise)), r, (samples_a_word * len(words) + 200_000) // (shards * rounds))
+    for _ in range(rounds):
+        learn = _learner(spark.sparkContext.broadcast((v, u, keep, noise)), passes)
 
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            pick = lambda c: np.mean([np.frombuffer(x, np.float32) for x in pdf[c]], axis=0).astype(np.float32).tobytes()
-            return pd.DataFrame({"at": [int(pdf["at"].iloc[0])], "v": [pick("v")], "u": [pick("u")]})
+        def move(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("shard")
+            all_ = lambda c: [np.frombuffer(x, np.float32) for x in pdf[c]]
+            return pd.DataFrame({"at": [int(pdf["at"].iloc[0])], "v": [np.sum(all_("v"), axis=0).tobytes()], "u": [np.mean(all_("u"), axis=0).astype(np.float32).tobytes()]})
 
-        got = counts.groupBy("shard").applyInPandas(learn, "at long, v binary, u binary").groupBy("at").applyInPandas(mean, "at long, v binary, u binary").collect()
+        got = counts.groupBy("shard").applyInPandas(learn, "at long, shard int, v binary, u binary").groupBy("at").applyInPandas(move, "at long, v binary, u binary").collect()
         v, u = v.copy(), u.copy()
         for x in got:
             for m, b in ((v, x.v), (u, x.u)):
-                m[x.at : x.at + _BLOCK] = np.frombuffer(b, np.float32).reshape(-1, dims)
+                m[x.at : x.at + _BLOCK] += np.frombuffer(b, np.float32).reshape(-1, dims)
     keep_only(spark, root)
     return Vectors([w for w, _ in words], v, u)
 

@@ -111,6 +111,15 @@ def test_vectors_do_not_depend_on_partitions(spark):
     assert R.skip_grams(pairs.limit(0), words).v.shape == (30, 32) and R.skip_grams(pairs.limit(0), []).ids == {}
 
 
+def test_every_pair_of_neighbours_is_trained(spark):
+    """A pair that is one of millions would hardly ever be drawn."""
+    r = random.Random(6)
+    rows = [(i, j, r.randrange(90_000, 110_000)) for i in range(29) for j in range(29) if (i < 14) == (j < 14)]
+    rows += [(29, 3, 1), (3, 29, 1)]
+    got = R.skip_grams(spark.createDataFrame(rows, "w int, c int, n long"), [(f"w{i}", 1000) for i in range(30)])
+    assert abs(got.v[29]).max() > 0.05 and got.fit("w29", [3]) > max(got.fit("w29", [c]) for c in range(14, 29))
+
+
 def test_reflow_and_pages(spark):
     assert R.reflow("HEAD\n\nA cut wo-\nrd here.\nNext\n\n1) item\n2) item\n   New paragraph\n", {1}, {3}, {4: {"here": "there"}}) == "A cut word there. Next\n\n1) item\n\n2) item\n\nNew paragraph"
     df = spark.createDataFrame([("a", "--- PAGE 1 ---\nx\n--- PAGE 5 ---\ny"), ("b", "plain\ntext"), ("c", None), (None, "z")], "k string, t string")
