@@ -3,8 +3,8 @@
 1. Every text is brought to word ids once (zero-width characters dropped, compatibility forms and digits used as letters
    folded, tags of words and links taken apart, their first words marked) and the ids are written.
 2. Words and pairs of neighbouring words are counted exactly over the whole corpus. The shares of those that make up at least
-   COMMON_SHARE of all are sent to the tasks: at most 1 / COMMON_SHARE each, however large the corpus. Rarer ones count half that share, so
-   mutual information means the same at every size.
+   COMMON_SHARE of all are sent to the tasks: at most 1 / COMMON_SHARE each, however large the corpus. What occurs once needs no
+   sending, and the counts of the rest are joined, so every share is exact.
 3. Each document gets the mean pointwise mutual information of its neighbouring words and the share of its words that stand in
    excessively repeated collocations: pairs with a high information that, over the corpus, occur several times in each text that has
    them at all; where that figure is lower, this text must repeat them itself.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,12 +147,17 @@ _RANGE = 1 << 14
 
 
 class Shares:
-    """Logarithms (base 2) of the shares of common things, by their hashes; others have that of half the least common share."""
+    """Logarithms (base 2) of the shares of common things, by their hashes; others have that of a thing that occurs once."""
 
     def __init__(self, hashes: np.ndarray, shares: np.ndarray, rare: float):
         order = np.argsort(hashes)
         self.hashes, self.logs, self.rare = hashes[order], np.log2(shares[order]).astype(np.float32), np.float32(np.log2(rare))
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.full(len(h), self.rare, np.float32)
@@ -159,8 +165,8 @@ class Shares:
         return np.where(self.hashes[at] == h, self.logs[at], self.rare)
 
 
-def corpus_shares(encoded: DataFrame, least: float = COMMON_SHARE) -> tuple[Shares, Shares]:
-    """Shares of words and of neighbouring pairs among all, counted exactly and kept from the share `least` on.
+def corpus_shares(encoded: DataFrame, least: float = COMMON_SHARE) -> tuple[tuple[Shares, Shares], DataFrame, tuple[int, int]]:
+    """Shares of words and of neighbouring pairs among all, counted exactly and kept from the share `least` on; the counts (kind, h, n) of all; both totals.
 
     Batches are summed before they are shuffled; what reaches the driver is at most 1 / least words and as many pairs.
     """
@@ -177,12 +183,30 @@ def corpus_shares(encoded: DataFrame, least: float = COMMON_SHARE) -> tuple[Shar
     sums = written(sums, f"{scratch_dir(encoded.sparkSession)}/sums")
     total = {r["kind"]: r["n"] for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     out = []
-    for kind in (0, 1):
-        all_ = max(total.get(kind, 0), 1)
+    totals = tuple(max(total.get(kind, 0), 1) for kind in (0, 1))
+    for kind, all_ in enumerate(totals):
         got = sums.filter((F.col("kind") == kind) & (F.col("n") >= least * all_)).select("h", "n").toPandas()
-        # in a corpus of few words a thing that occurs once has a larger share than `least`
-        out.append(Shares(got["h"].to_numpy(np.int64), got["n"].to_numpy(float) / all_, min(least / 2, 0.5 / all_)))
-    return out[0], out[1]
+        out.append(Shares(got["h"].to_numpy(np.int64), got["n"].to_numpy(float) / all_, 1 / all_))
+    return (out[0], out[1]), sums, totals
+
+
+def rare_parts(encoded: DataFrame, sums: DataFrame, common: Broadcast, totals: tuple[int, int], least: float) -> DataFrame:
+    """(row, rare): what the sum of information of a text has to gain over that with Shares alone, by the counts of words and pairs that occur more than once but have none there."""
+    rare = sums.filter((F.col("n") > 1) & (F.col("n") < F.when(F.col("kind") == 0, least * totals[0]).otherwise(least * totals[1]))).select("kind", "h", F.log2("n").alias("gain"))
+
+    def rest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_of, pairs_of = common.value
+        for pdf in it:
+            w, row = _flat(pdf)
+            at, h = _hashes(w, row)
+            ends = np.r_[at, at + 1]
+            for kind, of, x, r, sign in ((0, words_of, w[ends].astype(np.int64), row[ends], -1), (1, pairs_of, h, row[at], 1)):
+                new = ~of.has(x)
+                r, x, n, _ = _per_text(r[new], x[new])
+                yield pd.DataFrame({"row": pdf["row"].to_numpy()[r], "kind": np.full(len(x), kind, np.int8), "h": x, "m": (sign * n).astype(np.int32)})
+
+    parts = encoded.select("row", "words").mapInPandas(rest, "row long, kind byte, h long, m int").join(rare, ["kind", "h"])
+    return parts.groupBy("row").agg(F.sum(F.col("m") * F.col("gain")).alias("rare"))
 
 
 def _bitmap(hashes: DataFrame, bits: int = 24) -> np.ndarray:
@@ -201,7 +225,7 @@ def _bitmap(hashes: DataFrame, bits: int = 24) -> np.ndarray:
 
 
 def burst_pairs(encoded: DataFrame, root: str, least: float, bits: int = 24) -> DataFrame:
-    """(h, burst): pairs of words, by hash, with (count + 1) / (documents + 1) of at least `least`, counted exactly; a logarithm to the base 2.
+    """(h, burst, p, a, b): pairs of words a and b, by hash, p in number, with (count + 1) / (documents + 1) of at least `least`, counted exactly; a logarithm to the base 2.
 
     Such a pair stands that often in some text. Those pairs alone are counted, picked by a bitmap of a fixed size; others
     that share their buckets are counted too, and left out by their own counts.
@@ -224,10 +248,11 @@ def burst_pairs(encoded: DataFrame, root: str, least: float, bits: int = 24) ->
             known = sent.value[_top(h, bits)]
             _, x, n, _ = _per_text(row[at][known], h[known])
             u, inv = np.unique(x, return_inverse=True)
-            yield pd.DataFrame({"h": u, "p": np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64), "d": np.bincount(inv, minlength=len(u))})
+            at = at[known][np.unique(h[known], return_index=True)[1]]
+            yield pd.DataFrame({"h": u, "a": w[at].astype(np.int64), "b": w[at + 1].astype(np.int64), "p": np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64), "d": np.bincount(inv, minlength=len(u))})
 
-    sums = encoded.select("words").mapInPandas(count, "h long, p long, d long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("d").alias("d"))
-    return written(sums.select("h", (F.log2(F.col("p") + 1) - F.log2(F.col("d") + 1)).alias("burst")).filter(F.col("burst") >= math.log2(least) - 1e-9), f"{root}/burst")
+    sums = encoded.select("words").mapInPandas(count, "h long, a long, b long, p long, d long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("d").alias("d"), F.min("a").alias("a"), F.min("b").alias("b"))
+    return written(sums.select("h", "p", "a", "b", (F.log2(F.col("p") + 1) - F.log2(F.col("d") + 1)).alias("burst")).filter(F.col("burst") >= math.log2(least) - 1e-9), f"{root}/burst")
 
 
 def _listed(mark: np.ndarray, row: np.ndarray, k: int, near: int, min_repeats: int) -> np.ndarray:
@@ -259,7 +284,12 @@ def page_scores(df: DataFrame, key: str, text: str, least: float = COMMON_SHARE,
     encoded = written(encode(df, key, text).withColumn("row", F.monotonically_increasing_id()), f"{root}/words")
     bursts = burst_pairs(encoded, root, min(min_burst, sure_burst))
     sent = spark.sparkContext.broadcast(_bitmap(bursts))
-    common = spark.sparkContext.broadcast(corpus_shares(encoded, least))  # at most 2 / least entries of 12 bytes
+    shares, sums, totals = corpus_shares(encoded, least)
+    common = spark.sparkContext.broadcast(shares)  # at most 2 / least entries of 12 bytes
+    words = sums.filter("kind = 0")
+    for c in ("a", "b"):
+        bursts = bursts.join(words.select(F.col("h").alias(c), F.col("n").alias(f"n{c}")), c)
+    bursts = bursts.select("h", "burst", (F.log2(F.col("p") / totals[1]) - F.log2(F.col("na") / totals[0]) - F.log2(F.col("nb") / totals[0])).alias("info"))
     kind = encoded.schema["key"].dataType.simpleString()
 
     def held(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +300,7 @@ def page_scores(df: DataFrame, key: str, text: str, least: float = COMMON_SHARE,
             r, x, _, _ = _per_text(row[at][known], h[known])
             yield pd.DataFrame({"row": pdf["row"].to_numpy()[r], "h": x})
 
-    mine = encoded.select("row", "words").mapInPandas(held, "row long, h long").join(bursts, "h").groupBy("row").agg(*(F.collect_list(c).alias(c) for c in ("h", "burst")))  # the distinct pairs of one text
+    mine = encoded.select("row", "words").mapInPandas(held, "row long, h long").join(bursts, "h").groupBy("row").agg(*(F.collect_list(c).alias(c) for c in ("h", "burst", "info")))  # the distinct pairs of one text
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_of, pairs_of = common.value
@@ -285,12 +315,12 @@ def page_scores(df: DataFrame, key: str, text: str, least: float = COMMON_SHARE,
             _, _, n, inv = _per_text(row[at], h)
             some = lambda x: np.concatenate([np.asarray(v) for v in pdf[x] if v is not None] or [np.empty(0)])  # noqa: B023, E731
             known, first = np.unique(some("h").astype(np.int64), return_index=True)
-            burst = np.full(len(h), -np.inf)
+            burst, exact = np.full(len(h), -np.inf), np.full(len(h), -np.inf)
             if len(known):
                 spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 ok = known[spot] == h
-                burst[ok] = some("burst")[first][spot[ok]]
-            hot = (((n[inv] >= min_repeats) & (burst >= np.log2(min_burst) - 1e-9)) | (burst >= np.log2(sure_burst) - 1e-9)) & (info >= min_information)
+                burst[ok], exact[ok] = some("burst")[first][spot[ok]], some("info")[first][spot[ok]]
+            hot = (((n[inv] >= min_repeats) & (burst >= np.log2(min_burst) - 1e-9)) | (burst >= np.log2(sure_burst) - 1e-9)) & (exact >= min_information - 1e-9)
             rep = np.zeros(len(w), dtype=bool)
             rep[at[hot]] = rep[at[hot] + 1] = True
             listed = _listed(mark, row, k, near, min_repeats)
@@ -299,13 +329,17 @@ def page_scores(df: DataFrame, key: str, text: str, least: float = COMMON_SHARE,
             words = sums(real)
             share = lambda x: sums(x & real) / np.maximum(words, 1)
             pairs = np.bincount(row[at], minlength=k) if len(at) else np.zeros(k)
-            mean = np.bincount(row[at], weights=info, minlength=k) / np.maximum(pairs, 1) if len(at) else np.zeros(k)
+            rare = pdf["rare"].fillna(0).to_numpy(float) if "rare" in pdf else 0
+            mean = (np.bincount(row[at], weights=info, minlength=k) + rare) / np.maximum(pairs, 1) if len(at) else np.zeros(k)
             yield pd.DataFrame({
                 "key": pdf["key"], "words": words.astype(np.int64), "mean_information": np.where(pairs > 0, mean, np.nan),
                 "repeated_share": share(rep), "link_share": share(listed & (kind == 1)), "tag_share": share(listed & (kind == 2)), "spam_share": share(rep | listed),
             })
 
-    out = encoded.join(mine, "row", "left").mapInPandas(score, f"key {kind}, words long, mean_information double, repeated_share double, link_share double, tag_share double, spam_share double")
+    texts = encoded.join(mine, "row", "left")
+    if least * max(totals) > 2:  # else all that occurs more than once is common
+        texts = texts.join(rare_parts(encoded, sums, common, totals, least), "row", "left")
+    out = texts.mapInPandas(score, f"key {kind}, words long, mean_information double, repeated_share double, link_share double, tag_share double, spam_share double")
     return out.withColumn("mean_information", F.expr("nullif(mean_information, double('NaN'))")).withColumnRenamed("key", key)
 
 

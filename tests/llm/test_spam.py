@@ -53,6 +53,14 @@ def test_information_against_brute_force(spark):
         assert got[i] == pytest.approx(want, abs=0.01)
 
 
+def test_information_is_exact_whatever_is_sent(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join(f"w{'abcdefgh'[min(int(r.expovariate(0.6)), 7)]}{'xyz'[r.randrange(3)]}" for _ in range(30)) + " buy now" * (4 * (i == 5))) for i in range(40)], "doc_id long, t string")
+    want, got = ({x.doc_id: tuple(x)[1:] for x in S.page_scores(df, "doc_id", "t", least).collect()} for least in (1e-6, 0.02))
+    assert want.keys() == got.keys() and all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
+    assert want[5][2] > 0.1
+
+
 def test_words():
     ids = S._Ids()
     ws = lambda t: S.word_ids(t, ids)
