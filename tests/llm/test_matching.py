@@ -1,6 +1,7 @@
 """p1: readers, features, exact blocking, mixture, and edge cases."""
 
 import random
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -136,3 +137,68 @@ def test_mixture_column_equals_one_by_one(spark):
     mix = M.Mixture(sums[0])
     for q in df.withColumn("p", mix.column()).collect():
         assert abs(q.p - mix.likelihood(q.asDict())) < 1e-9
+
+
+def mixture_rows(seed):
+    r = np.random.default_rng(seed)
+    return [[float(v) for v in row] + [float(row.mean() > 0.5), i % 3] for i, row in enumerate(np.where(r.random((90, 7)) < 0.2, -1.0, r.random((90, 7))))]
+
+
+def test_code_of_posteriors_is_small_and_the_same_in_all_rounds(spark):
+    codes = []
+    for seed in (1, 2):
+        df = spark.createDataFrame(mixture_rows(seed), [*M.FEATURES, "g", "stratum"])
+        plan = df.withColumn("p", M.Mixture(M.sufficient_sums(df, "g")[0]).column()).select("p", "stratum").filter("p >= 0.01")._jdf.queryExecution().executedPlan()
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        codes.append(getattr(debug, "MODULE$").codegenString(plan))
+    # methods over 8,000 bytes are never compiled by JVMs
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", codes[0])) < 8000
+    source = [c[c.index("Generated code:") :] for c in codes]
+    assert source[0] == source[1]
+
+
+def test_transitive_equals_one_by_one_and_joins_nothing(spark):
+    r = random.Random(4)
+    pairs = [(f"a{i}", f"b{j}", round(r.random(), 3), *(f() for _ in "ab" for f in (lambda: r.choice([None, 5, 9]), lambda: 9, lambda: r.choice([None, 1, 2]), lambda: r.choice([None, 1, 2])))) for i in range(12) for j in range(12) if r.random() < 0.5]
+    names = [f"{c}_{s}" for s in "ab" for c in M.ABOUT]
+    df = spark.createDataFrame(pairs, "a string, b string, post double, " + ", ".join(f"{n} int" for n in names))
+    rows = [dict(zip(df.columns, p, strict=True)) for p in pairs]
+
+    def keep(p, own, other):
+        best = max((q for q in rows if q[own] == p[own]), key=lambda q: (q["post"], q[other]))
+        if best[other] == p[other]:
+            return 1.0
+        x, y = ({c: q[f"{c}_{other}"] for c in M.ABOUT} for q in (p, best))
+        known = lambda c: x[c] is not None and y[c] is not None
+        apart = None if not known("lo") else x["lo"] > y["hi"] + 1 or y["lo"] > x["hi"] + 1
+        clash = any(known(c) and x[c] != y[c] for c in ("head", "colour"))
+        return 1 - best["post"] if (clash if apart is None else apart) else 1.0
+
+    out = M.transitive(df)
+    got = {(q.a, q.b): q.post for q in out.collect()}
+    assert len(got) == len(rows)
+    for p in rows:
+        assert abs(got[p["a"], p["b"]] - p["post"] * keep(p, "a", "b") * keep(p, "b", "a")) < 1e-9
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 2
+
+
+def test_hot_keys_over_the_bound_are_whole(spark, monkeypatch):
+    x, y, _ = make(60, 7, spark, places=["hotsprings"])
+    rows = M.settle_places(x.unionByName(y))
+    sides = rows.filter("side = 'a'"), rows.filter("side = 'b'")
+    whole = sorted(map(tuple, M.candidate_pairs(*sides).select("a", "b", "f_time").collect()))
+    monkeypatch.setattr(M, "SPREAD", 1)
+    monkeypatch.setattr(M, "MOST_HOT", 3)
+    assert sorted(map(tuple, M.candidate_pairs(*sides).select("a", "b", "f_time").collect())) == whole and whole
+
+
+def test_short_cuts_of_the_readers_lose_nothing():
+    r = random.Random(8)
+    words = ["".join(r.choices("abc", k=r.randrange(1, 6))) for _ in range(300)]
+    assert all(M._one_edit(a, b) == (M.osa(a, b, 1) <= 1) for a in words for b in words)
+    read = lambda text: M.read_account(None, text, MADE)[2:]
+    assert read("1234567 seconds, x12 seconds, 7_3 minutes, (4 hours) 15,500 FEET 3-ft") == ([14400], [3, 15500])
+    assert read("9-minute, 2 Hours; 12 ſeconds") == ([12, 540, 7200], [])
+    known = M.Regions(REGIONS)
+    assert [known.find(p) for p in ("kest gulf", "kst gulf", "kestgulf", "k gulf", "wsetermark", "westermar", "orv", "orvaniaa", "kelland", "elsewhere", "x")] == ["kest gulf"] * 4 + ["westermark"] * 2 + [""] * 3 + [None, None]
