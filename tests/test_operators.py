@@ -200,6 +200,55 @@ def test_excerpts_of_a_file_are_not_joined_under_words(spark, monkeypatch):
     assert {r.id for r in E.distinct_in_order(df, "id", ["f"], "pos", "t", 0.9, 10).collect()} == {1, 3, 4}
 
 
+def misread(r, text, share):
+    """text with a letter changed in `share` of its words."""
+    w = text.split()
+    for n in r.sample(range(len(w)), int(share * len(w))):
+        k = r.randrange(len(w[n]))
+        w[n] = w[n][:k] + r.choice("qxzj\u00e9\u4e2d") + w[n][k + 1 :]
+    return " ".join(w)
+
+
+def test_excerpts_with_a_misread_letter_in_most_words_repeat_each_other(spark):
+    r = random.Random(6)
+    a = "observers watched several silver objects drifting slowly toward northern mountains before vanishing completely behind thunderclouds"
+    b, c = misread(r, a, 0.8), misread(r, a, 1)
+    assert jaccard(a, b) < 0.2 and T.similarity_ratio(b, a) >= 0.9 and jaccard(a, c) == 0 and 0.85 <= T.similarity_ratio(c, a) < 0.9
+    data = [(1, "f", 1, a, "d"), (2, "f", 2, b, "e"), (3, "f", 3, c, "d"), (4, "f", 4, c, "e"), (5, "g", 5, b, "d"), (6, "f", 6, "a short text", "d"), (7, "f", 7, "a short texf", "d")]
+    df = spark.createDataFrame(data, "id int, f string, pos int, t string, d string")
+    assert {x.id for x in E.distinct_in_order(df, "id", ["f"], "pos", "t", 0.9, 40, [F.col("d")], 0.85).collect()} == {1, 4, 5, 6, 7}
+    assert {x.id for x in E.distinct_in_order(df, "id", ["f"], "pos", "t", 0.9, 40).collect()} == {1, 3, 5, 6, 7}
+
+
+def test_texts_alike_by_the_ratio_alone_against_brute_force(spark):
+    r = random.Random(7)
+    words = "observers watched several silver objects drifting slowly toward northern mountains a the of near red lights".split()
+    base = [" ".join(r.choices(words, k=n)) for n in (1, 2, 3, 6, 9, 12, 15, 20, 24, 30, 30, 30, 120, 120)]
+    texts = sorted({misread(r, t, s) for t in base for s in (0, 0.3, 0.6, 0.9, 1)} | {t[:-k] + " end" * k for t in base for k in (1, 2)} | {"e" * n for n in (1, 2, 30, 34, 200, 210, 700)})
+    want = {least: {(i, j) for i, t in enumerate(texts) for j, u in enumerate(texts) if i < j and max(T.similarity_ratio(t, u), T.similarity_ratio(u, t)) >= least} for least in (0.92, 0.85)}
+    assert all(any(jaccard(texts[i], texts[j]) < 0.3 for i, j in w) and len(w) > 30 for w in want.values())
+    df = spark.createDataFrame([(n, "g", t) for n, t in enumerate(texts)], "k long, g string, t string")
+    for least, block in ((0.92, 8000), (0.85, 8000), (0.85, 20)):
+        got = [(x.ka, x.kb) for x in M.similar_texts(df, ["g"], least, overlap=0, block=block).collect()]
+        assert set(got) == want[least] and len(got) == len(want[least])
+    with pytest.raises(ValueError, match="blocks"):
+        M.similar_texts(df, ["g"], 0.9, overlap=0)
+
+
+@pytest.mark.parametrize("least", [0.92, 0.85])
+def test_letters_lose_no_pair_of_a_large_block(least):
+    r = random.Random(8)
+    words = "observers watched several silver objects drifting slowly toward northern mountains a the of near red lights".split()
+    a = ["".join(c for c in t if r.random() > s) for t in (" ".join(r.choices(words, k=r.randint(4, 30))) for _ in range(60)) for s in (0, 0.03, 0.06)]
+    b = [misread(r, t, r.random()) for t in a]
+    near = lambda t, u: 2 * M.common_letters(t, u) >= least * (len(t) + len(u))
+    got = list(M.alike_by_letters(a, b, False, least))
+    assert len(a) * len(b) > M._PAIRS and len(got) == len(set(got)) > 200
+    assert set(got) == {(i, j) for i, t in enumerate(a) for j, u in enumerate(b) if near(t, u)}
+    got = list(M.alike_by_letters(a, a, True, least))
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for j, u in enumerate(a) for i, t in enumerate(a[:j]) if near(t, u)}
+
+
 def test_similar_across_against_brute_force(spark):
     data = texts(60, 8)
     df = spark.createDataFrame([(i, g, t) for i, g, t, _ in data], "id int, f string, t string")
